@@ -13,6 +13,8 @@ their ids' checksum; a null doc_id sorts first; an empty table gives an empty st
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 import zlib
@@ -28,8 +30,12 @@ from .common import shared_dir, whole_text
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Chunks that a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 400_000
+#: Chunks of one generation that a worker remembers; bounds its memory.
+REMEMBERED = 300_000
+#: Chunks that go to the library at once.
+SLICE = 4_096
+#: Documents that are turned into Python strings at once.
+ROWS = 128
 END_ID = 1
 #: Controls that Python's split() takes for white space and the tokenizer's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -40,29 +46,56 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, one white-space-free chunk at a time.
 
     For a tokenizer that drops white space and never joins across it, a text's ids are its chunks' ids in
-    order, so each distinct chunk needs the library only once.
+    order, so each distinct chunk needs the library only once. New chunks go through the library's normalizer
+    together, and each distinct word of them through its model once. Chunks that may hold an added token, and
+    texts with unusual control characters, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        first = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"]["type"] == "Sequence" else {}
+        if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+            raise ValueError("this tokenizer's words are not what one pattern matches")
+        self.words = regex.compile(first["pattern"]["Regex"]).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, new: list[str]) -> list[bytes]:
+        """The ids of chunks without white space."""
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(new)).split(" ")
+        if len(normal) != len(new) or any(a in " ".join(new) for a in self.added):
+            return self.direct(new)
+        parts = [[c] if c.isalpha() and c.isascii() else self.words(c) for c in normal]
+        own: dict[str, bytes] = dict.fromkeys(w for p in parts for w in p)
+        marked = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(own))
+        if len(marked) != len(own):
+            return self.direct(new)
+        tokenize = self.tokenizer.model.tokenize
+        for word, (inner, _) in zip(own, marked, strict=True):
+            own[word] = np.array([t.id for t in tokenize(inner)], dtype="<u4").tobytes()
+        return [b"".join(map(own.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {c for s in split if s is not None for c in s if c not in self.known} if len(self.known) <= REMEMBERED else None
-        if new is None:
-            self.known.clear()
-            new = {c for s in split if s is not None for c in s}
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self.direct(new), strict=True))
-        get = self.known.__getitem__
+        if len(self.known) > REMEMBERED:  # the chunks of one generation back are kept, so frequent ones stay
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = {c for s in split if s is not None for c in s if c not in known}
+        known.update((c, before[c]) for c in new if c in before)
+        new = [c for c in new if c not in known]
+        for k in range(0, len(new), SLICE):  # the library's results are large
+            known.update(zip(new[k : k + SLICE], self.chunks(new[k : k + SLICE]), strict=True))
+        get = known.__getitem__
         return [self.direct([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
@@ -73,21 +106,17 @@ def lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, text_bytes: int = 4 << 20) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, n_tokens, ids); keeps partitions and their order."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            start = size = 0
-            for k, text in enumerate(texts):
-                size += len(text)
-                if size >= text_bytes or k == len(texts) - 1:
-                    out = [x + end for x in encoder.encode(texts[start : k + 1])]
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, k + 1 - start), pa.array([len(x) // 4 for x in out], pa.int64()), lists(out)], ["doc_id", "n_tokens", "ids"])
-                    start, size = k + 1, 0
+            for k in range(0, batch.num_rows, ROWS):
+                some = batch.slice(k, ROWS)
+                out = [x + end for x in encoder.encode(some.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), lists(out)], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, STORE)
 

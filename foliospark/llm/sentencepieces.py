@@ -32,8 +32,8 @@ from .common import whole_text
 MARK = "▁"
 #: Score of a byte piece, below that of any ordinary piece's.
 BYTE_SCORE = -1e6
-#: Words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Words of one generation that a worker remembers.
+REMEMBERED = 250_000
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -60,6 +60,7 @@ class Pieces:
             raise ValueError("a piece of this model reaches over a word's border")
         self.automaton.make_automaton()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def best(self, word: str) -> list[int]:
         """Ids of the best path over ``word``: one pass over the automaton's outputs."""
@@ -95,9 +96,10 @@ class Pieces:
     def ids(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = np.array(self.best(word), dtype="<i4").tobytes()
+            if len(self.known) >= REMEMBERED:  # the words of one generation back are kept, so frequent ones stay
+                self.before, self.known = self.known, {}
+            found = self.before.get(word) or np.array(self.best(word), dtype="<i4").tobytes()
+            self.known[word] = found
         return found
 
     def literal(self) -> bytes:
