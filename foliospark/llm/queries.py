@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packed_tokens, quality, sentencepieces
+from . import exact_dedup, mixing, near_join, packed_tokens, quality, sentencepieces
 from .common import fold, table, written
 
 #: The public vocabulary files are parameters of the operators; these are the production ones.
@@ -25,6 +25,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_position")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = packed_tokens.write_store(table(spark, sf_dir, "documents"), WORD_BPE)
     return packed_tokens.catalogue(spark, path)
@@ -39,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_source_mixing, op7_packed_tokens, op9_sentencepiece, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_source_mixing, op5_ngram_jaccard_join, op7_packed_tokens, op9_sentencepiece, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
