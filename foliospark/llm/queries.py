@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_join, packed_tokens, quality, sentencepieces
+from . import additive_search, backoff, exact_dedup, language, mixing, near_join, packed_tokens, quality, sentencepieces, toxicity
 from .common import fold, table, written
 
 #: The public vocabulary files are parameters of the operators; these are the production ones.
@@ -20,6 +20,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_ok").cast("int").alias("predicted"))
 
 
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_position")
@@ -29,11 +39,22 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    found = language.identify(table(spark, sf_dir, "pages"), model)
+    return found.select("page_id", "lang", "probability", "text_lang", "declared", "suffix", "host")
+
+
 def op7_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = packed_tokens.write_store(table(spark, sf_dir, "documents"), WORD_BPE)
     return packed_tokens.catalogue(spark, path)
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), "n_full", "n_backed_off")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepieces.encode(docs, PIECE_MODEL).drop("text")
@@ -43,9 +64,35 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_source_mixing, op5_ngram_jaccard_join, op7_packed_tokens, op9_sentencepiece, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_additive_quantisation, op3_toxicity, op4_source_mixing, op5_ngram_jaccard_join, op6_language_fusion, op7_packed_tokens, op8_stupid_backoff, op9_sentencepiece, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op8_stupid_backoff": r"""
+        WITH docs AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+        places AS (SELECT doc_id, len(w) AS n_tokens, unnest(range(1, len(w) + 1)) AS i, w FROM docs),
+        g AS (SELECT doc_id, i, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] END AS w1 FROM places),
+        c1 AS (SELECT w3 AS a, count(*) AS n FROM g GROUP BY ALL),
+        c2 AS (SELECT w2 AS a, w3 AS b, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+        c3 AS (SELECT w1 AS a, w2 AS b, w3 AS c, count(*) AS n FROM g WHERE w1 IS NOT NULL GROUP BY ALL),
+        total AS (SELECT count(*) AS n FROM g),
+        j AS (
+            SELECT g.*, t3.n AS n3, t2c.n AS n2c, t2.n AS n2, t1c.n AS n1c, t1.n AS n1, total.n AS nn
+            FROM g CROSS JOIN total
+            JOIN c1 t1 ON t1.a = g.w3
+            LEFT JOIN c1 t1c ON t1c.a = g.w2
+            LEFT JOIN c2 t2 ON t2.a = g.w2 AND t2.b = g.w3
+            LEFT JOIN c2 t2c ON t2c.a = g.w1 AND t2c.b = g.w2
+            LEFT JOIN c3 t3 ON t3.a = g.w1 AND t3.b = g.w2 AND t3.c = g.w3),
+        s AS (
+            SELECT doc_id,
+                   CASE WHEN n3 >= 2 THEN ln(n3 / n2c)
+                        WHEN n2 >= 2 THEN ln(n2 / n1c) + CASE WHEN w1 IS NULL THEN 0 ELSE ln(0.4) END
+                        ELSE ln(n1 / nn) + CASE WHEN w2 IS NULL THEN 0 WHEN w1 IS NULL THEN 1 ELSE 2 END * ln(0.4) END AS score,
+                   CASE WHEN w1 IS NOT NULL THEN n3 >= 2 WHEN w2 IS NOT NULL THEN n2 >= 2 ELSE true END AS hit
+            FROM j)
+        SELECT d.doc_id, len(d.w) AS n_tokens, round(coalesce(sum(s.score), 0), 6) AS log_score,
+               count(*) FILTER (s.hit) AS n_full, count(*) FILTER (NOT s.hit) AS n_backed_off
+        FROM docs d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w""",
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER g AS keep_id,
