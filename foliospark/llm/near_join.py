@@ -38,9 +38,9 @@ from .words import WordHasher, mix, ngrams
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.99
-LEVELS = 3
+LEVELS = 2
 #: Sets of a bucket that is compared by brute force.
-LIMIT = 2048
+LIMIT = 1024
 #: Sets of one side of a tile.
 BLOCK = 1024
 SKETCH = 32
@@ -229,7 +229,7 @@ def blocks_of(df: DataFrame, key: str, size: int) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, rep (a key of its text), head (the text that stands for its class; null without words), class_id, n_links, class_size."""
-    runs = runs_needed(recall, threshold, depth=2)
+    runs = runs_needed(recall, threshold, LEVELS)
     text = whole_text(text_column)
     own = docs.select(F.col(id_column).alias("doc_id"), text_key(text).alias("rep"), text.alias("text"))
     sig = written(signatures(own.select("rep", "text"), runs, threshold, n).dropDuplicates(["rep"]).where("size > 0"), "signatures")
@@ -264,7 +264,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
             for a, b in batched(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b], hasher, n)], pa.binary())], ["rep", "shingles"])
 
-    chosen = own.select("rep", "text").join(comp.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    # The same plan at every size: the few texts that take part meet their keys in a shuffle.
+    chosen = own.select("rep", "text").join(comp.select("rep").hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
     sets = chosen.mapInArrow(to_sets, "rep binary, shingles binary")
     pairs = blocks_of(counted.join(sets, "rep"), "comp", block).select("comp", "i", "j", "side", "rep", "copies", "shingles")
     linked = written(map_groups(pairs, ["comp", "i", "j"], exact_links(threshold), "rep binary, root binary, links long", batch_rows=512), "near-links")
@@ -297,7 +298,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The rows of ``docs`` that stay, with all their columns: of each class the one with the least id."""
     found = classes(docs, id_column=id_column, text_column=text_column, **options)
     others = written(found.where(~F.col("rep").eqNullSafe(F.col("head"))).where(F.col("head").isNotNull()).select(F.col("rep").alias("__rep")).distinct(), "near-others")
-    left = docs.withColumn("__rep", text_key(whole_text(text_column))).join(others, "__rep", "left_anti")
+    left = docs.withColumn("__rep", text_key(whole_text(text_column))).join(others.hint("merge"), "__rep", "left_anti")
     again = F.row_number().over(Window.partitionBy("__rep").orderBy(F.col(id_column).asc_nulls_last()))
     wordless = ~whole_text(text_column).rlike(r"(?U)\S")
     return left.withColumn("__again", again).where((F.col("__again") == 1) | wordless).select(*docs.columns)
