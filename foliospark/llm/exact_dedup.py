@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import whole_text, written
 
 PREFIX_CHARS = 64
+#: Parts of a frequent key.
+SALTS = 32
 
 
 def full_hash(text: Column) -> Column:
@@ -34,9 +36,13 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose ``keys`` occur more than once."""
-    more = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    return rows.join(more, list(keys), "left_semi")
+    """Rows whose ``keys`` occur more than once.
+
+    The keys meet the rows in ``SALTS`` parts, so the rows of one frequent key don't gather in one task.
+    """
+    more = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(more, [*keys, "salt"], "left_semi").drop("salt")
 
 
 def refined_groups(keys: DataFrame) -> DataFrame:
