@@ -16,9 +16,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,7 @@ class ChunkEncoder:
             return self.direct(new)
         tokenize = self.tokenizer.model.tokenize
         for word, (inner, _) in zip(own, marked, strict=True):
-            own[word] = np.array([t.id for t in tokenize(inner)], dtype="<u4").tobytes()
+            own[word] = pack(*(t.id for t in tokenize(inner)))
         return [b"".join(map(own.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -99,6 +101,16 @@ class ChunkEncoder:
         return [self.direct([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """One for each worker process, so its tasks share what was learned."""
+    return ChunkEncoder(path)
+
+
+def pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def lists(parts: list[bytes]) -> pa.Array:
     """An array<int> column from little-endian 32-bit buffers."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -111,11 +123,11 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        own = encoder(tokenizer_path)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 some = batch.slice(k, ROWS)
-                out = [x + end for x in encoder.encode(some.column(1).to_pylist())]
+                out = [x + end for x in own.encode(some.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), lists(out)], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, STORE)
