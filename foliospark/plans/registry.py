@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import aggregates, incremental, relational, scalars, texts
+
+FLAGSHIP = "j04_a10_point_in_time_owners"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (scalars, texts, relational, aggregates, incremental):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
