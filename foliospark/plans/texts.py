@@ -1,2 +1,232 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+"""Extraction, matching, rules and classification over the texts of the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import evidence, people, similarity
+from ..operators import classifier, rules
+from ..sources import formats, tables
+from .base import C, Catalogue, table
+
+cat = Catalogue()
+QUERIES, ORACLE_SQL = cat.queries, cat.oracles
+
+RULES = [
+    {"id": "r1", "priority": 10, "when": {"text": ["\\bthe\\b"], "any_of": [{"filename": ["src[1-5]$"]}, {"text": ["\\bund\\b"]}]}, "then": {"category": "03", "confidence": 0.9, "hard": True}},
+    {"id": "r2", "priority": 10, "when": {"text": ["\\bque\\b", "\\bder\\b"]}, "then": {"category": "05", "confidence": 0.8, "hard": True}},
+    {"id": "r3", "priority": 5, "when": {"subject": ["an"]}, "then": {"category": "07", "confidence": 0.9, "hard": True}},
+]
+
+
+@cat.query("e09_e10_u04_rules", r"""
+    WITH h AS (SELECT doc_id, regexp_matches(text, '(?i)(^|[^\pL\pN_])(the)($|[^\pL\pN_])') AND (regexp_matches(source, '(?i)src[1-5]$') OR regexp_matches(text, '(?i)(^|[^\pL\pN_])(und)($|[^\pL\pN_])')) AS r1, regexp_matches(text, '(?i)(^|[^\pL\pN_])(que|der)($|[^\pL\pN_])') AS r2, regexp_matches(substr(text, 1, 20), '(?i)an') AS r3 FROM documents)
+    SELECT doc_id, r1 AND r2 AS conflict, CASE WHEN r1 AND r2 THEN NULL WHEN r1 THEN '03' WHEN r2 THEN '05' WHEN r3 THEN '07' END AS rule_category, CASE WHEN r1 AND r2 THEN NULL WHEN r1 THEN 0.9 WHEN r2 THEN 0.8 WHEN r3 THEN 0.6 END::DOUBLE AS rule_confidence FROM h""")
+def rule_stage(spark, sf_dir):
+    """Rules as one projection."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 20).alias("subject"), C("source").alias("filename"), F.lit("x").alias("management_type"))
+    return rules.evaluate(d, RULES).select("doc_id", "conflict", "rule_category", C("rule_confidence").cast("double").alias("rule_confidence"))
+
+
+@cat.query("e15_e16_e17_decision", r"""
+    WITH d AS (SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))
+    SELECT doc_id, CASE WHEN toxic = 1 THEN 'review' WHEN quality IS NULL AND n_chars < 500 THEN 'misc' WHEN quality = 1 THEN 'file' WHEN quality = 0 THEN 'review' ELSE 'stage3' END AS action, substr(concat_ws(':', source, lang, CASE WHEN quality = 1 THEN '05' ELSE '' END), 1, 120) AS batch_key FROM d""")
+def decision(spark, sf_dir):
+    """The branch table of the final decision and its group key."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    action = F.when(C("toxic") == 1, "review").when(C("quality").isNull() & (C("n_chars") < 500), "misc").when(C("quality") == 1, "file").when(C("quality") == 0, "review").otherwise("stage3")
+    return d.select("doc_id", action.alias("action"), F.substring(F.concat_ws(":", "source", "lang", F.when(C("quality") == 1, "05").otherwise("")), 1, 120).alias("batch_key"))
+
+
+EVIDENCE = "SELECT l_orderkey AS document_id, l_suppkey % 4 AS object_id, CASE l_linenumber % 3 WHEN 0 THEN 'address' WHEN 1 THEN 'number' ELSE 'folder' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN l_discount * 8 ELSE l_tax END AS weight, l_linenumber % 3 = 0 AND l_discount > 0.07 AS strong, l_partkey % 5 AS address_key FROM lineitem"
+
+
+@cat.query("e24_e25_f60_candidates", f"""
+    WITH e AS ({EVIDENCE}), a AS (SELECT DISTINCT document_id, object_id FROM e WHERE kind <> 'address' AND weight > 0), s AS (SELECT document_id, address_key, count(DISTINCT object_id) AS n FROM e WHERE kind = 'address' GROUP BY 1, 2),
+    r AS (SELECT e.*, row_number() OVER (PARTITION BY e.document_id, e.object_id, kind ORDER BY weight DESC, e.address_key) AS k, CASE WHEN kind = 'address' AND s.n > 1 AND a.object_id IS NULL THEN weight / 2 ELSE weight END AS halved FROM e LEFT JOIN a USING (document_id, object_id) LEFT JOIN s ON s.document_id = e.document_id AND s.address_key = e.address_key),
+    u AS (SELECT *, CASE WHEN kind = 'address' AND k > 3 THEN 0 WHEN kind = 'address' AND k > 1 AND weight > 0 THEN 0.05 ELSE halved END AS used FROM r)
+    SELECT document_id, object_id, round(1 - product(1 - least(used, 1)), 6) AS score, bool_or(strong) AS strong FROM u GROUP BY 1, 2""")
+def candidates(spark, sf_dir):
+    """Evidence to candidate scores; address weights change before the fold."""
+    e = table(spark, sf_dir, "lineitem").select(
+        C("l_orderkey").alias("document_id"), (C("l_suppkey") % 4).alias("object_id"), F.when(C("l_linenumber") % 3 == 0, "address").when(C("l_linenumber") % 3 == 1, "number").otherwise("folder").alias("kind"),
+        F.when(C("l_linenumber") % 3 == 0, C("l_discount") * 8).otherwise(C("l_tax")).alias("weight"), ((C("l_linenumber") % 3 == 0) & (C("l_discount") > 0.07)).alias("strong"), (C("l_partkey") % 5).alias("address_key"))
+    return rules.score_candidates(e).select("document_id", "object_id", F.round("score", 6).alias("score"), "strong")
+
+
+@cat.query("e27_cross_check", "SELECT l_orderkey, CASE WHEN bool_or(l_linenumber > 1 AND l_discount > 0.08) THEN 'second_reference' WHEN max(l_discount) = 0 THEN 'no_reference' WHEN NOT bool_or(l_linenumber = 1 AND l_discount >= 0.03) THEN 'weak_reference' ELSE 'clear' END AS kind FROM lineitem GROUP BY 1")
+def cross_check(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (C("l_discount") * 10).alias("score"), (C("l_discount") > 0.08).alias("strong"))
+    return rules.cross_check(l, "l_orderkey", C("l_linenumber") == 1)
+
+
+@cat.query("e08_m07_context", "SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def context(spark, sf_dir):
+    """Ids in the order of their first occurrence."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(F.transform(parts, lambda x: x["role"])), ",").alias("roles"))
+
+
+@cat.query("e07_merge_facts", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END) AS fact FROM orders")
+def merge_facts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(C("o_orderkey") % 2 == 0, C("o_orderstatus")), F.when(C("o_orderkey") % 3 == 0, C("o_orderpriority"))).alias("fact"))
+
+
+LEASE = "concat('Kaltmiete: ', CAST(o_orderkey % 9 + 1 AS VARCHAR), '.', lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0'), ',50 EUR; Kaution ', CAST(o_orderkey % 900 + 100 AS VARCHAR), ',00; Kundennummer: K-', CAST(o_custkey AS VARCHAR), '; vom ', CAST(day(o_orderdate) AS VARCHAR), '.', CAST(month(o_orderdate) AS VARCHAR), '.', CAST(year(o_orderdate) AS VARCHAR))"
+
+
+def lease_texts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", LEASE.replace("AS VARCHAR", "AS STRING") + " AS text")
+
+
+@cat.query("e01_e04_f57_extraction", "SELECT o_orderkey AS k, concat(CAST(o_orderkey % 9 + 1 AS VARCHAR), '.', lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0'), ',50') AS rent, concat(CAST(o_orderkey % 900 + 100 AS VARCHAR), ',00') AS deposit, CASE WHEN o_custkey > 9 THEN 'k' || o_custkey END AS customer, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def extraction(spark, sf_dir):
+    """Amounts by label, numbers by context word and dates of a text."""
+    t = lease_texts(spark, sf_dir).withColumns({"a": rules.amounts(C("text")), "n": rules.numbers(C("text")), "d": rules.dates(C("text"))})
+    pick = lambda label: F.try_element_at(F.filter("a", lambda x: x["label"] == label), F.lit(1))["amount"]
+    return t.select("k", pick("kaltmiete").alias("rent"), pick("kaution").alias("deposit"), F.try_element_at("n", F.lit(1))["value"].alias("customer"), F.try_element_at("d", F.lit(1)).cast("string").alias("day"))
+
+
+@cat.query("f59_keyword_groups", "SELECT doc_id, contains(text, 'the') OR contains(text, 'and') AS en, contains(text, 'und') AS de FROM documents")
+def keyword_groups(spark, sf_dir):
+    g = rules.keyword_groups(C("text"), {"en": ["the", "and"], "de": ["und"]})
+    return table(spark, sf_dir, "documents").select("doc_id", F.map_contains_key(g, "en").alias("en"), F.map_contains_key(g, "de").alias("de"))
+
+
+@cat.query("j15_e02_gazetteer", r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents) SELECT doc_id, n_nationkey, count(*) AS hits FROM w JOIN (SELECT n_nationkey, (['the', 'of', 'der', 'que', 'la'])[n_nationkey % 5 + 1] AS w FROM nation) USING (w) GROUP BY ALL")
+def gazetteer(spark, sf_dir):
+    """Dictionary words in texts by a join on tokens."""
+    n = table(spark, sf_dir, "nation").select(C("n_nationkey").alias("object_id"), F.element_at(F.array(*map(F.lit, ("the", "of", "der", "que", "la"))), C("n_nationkey") % 5 + 1).alias("street_key"), F.lit(1).alias("number"))
+    pages = table(spark, sf_dir, "documents").select(C("doc_id").alias("page_id"), F.lower("text").alias("text"))
+    return rules.gazetteer_hits(pages, n).groupBy(C("page_id").alias("doc_id"), C("object_id").alias("n_nationkey")).agg(F.count("*").alias("hits"))
+
+
+@cat.query("s18_s19_kinds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'image' ELSE 'unsupported' END AS kind FROM pages")
+def kinds(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("name", F.element_at(F.array(*map(F.lit, ("a.PDF", "b.tmp", "c", "d.xyz"))), (C("page_id") % 4 + 1).cast("int")))
+    mime = F.when(C("page_id") % 4 == 2, "image/png").otherwise("application/octet-stream")
+    content = F.when(C("page_id") % 4 == 3, "plain").otherwise(C("html")).cast("binary")
+    return p.select("page_id", formats.kind_checked(C("name"), mime, content)["kind"].alias("kind"))
+
+
+@cat.query("s20_s21_sniff", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'email' WHEN 2 THEN 'png' END AS kind FROM pages")
+def sniff(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    b = F.when(C("page_id") % 4 == 0, C("html").cast("binary")).when(C("page_id") % 4 == 1, F.lit("From: a@b.example\nSubject: x\n\nhello").cast("binary")).when(C("page_id") % 4 == 2, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.lit("plain").cast("binary"))
+    return p.select("page_id", formats.kind_by_content(b).alias("kind"))
+
+
+@cat.query("s23_digital_pages", "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'too_few_chars' WHEN doc_id % 10 < 2 THEN 'garbage_text_layer' WHEN doc_id % 7 = 0 THEN 'full_page_image' ELSE 'text_layer' END AS reason FROM documents")
+def digital(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", formats.digital_page(C("n_chars"), (C("doc_id") % 10) / 4, F.when(C("doc_id") % 7 == 0, 0.95).otherwise(0.1), least=300).alias("reason"))
+
+
+@cat.query("s26_s28_html_text")
+def html_text(spark, sf_dir):
+    """Text of pages by a tolerant parser; no SQL form."""
+    return table(spark, sf_dir, "pages").select("page_id", formats.html_to_text(C("html")).alias("text"))
+
+
+@cat.query("s30_header_block", "SELECT conv_id, turn, 'Betr ' || conv_id AS subject, 'Max ' || turn AS from_name, 'max' || turn || '@haus.example' AS from_address FROM conversations")
+def header_block(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    page = F.concat(F.lit("Von: Max "), C("turn").cast("string"), F.lit(" <MAX"), C("turn").cast("string"), F.lit("@haus.example>\nAn: x\nBetreff: Betr "), C("conv_id").cast("string"), F.lit("\n\nBetreff: other"))
+    h = formats.header_block(page)
+    return c.select("conv_id", "turn", h["subject"].alias("subject"), h["from_name"].alias("from_name"), h["from_address"].alias("from_address"))
+
+
+@cat.query("s06_s07_s08_profiles", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'vendor' WHEN 1 THEN 'contacts' ELSE 'generic' END AS profile FROM part")
+def profiles(spark, sf_dir):
+    """The profile whose headings fit best."""
+    header = F.split(F.when(C("p_partkey") % 3 == 0, "Objekt;Einheit;Mieter").when(C("p_partkey") % 3 == 1, "Name;Telefon;E-Mail").otherwise("a;b"), ";")
+    best = tables.profile_scores(header, {"contacts": (["name", "telefon", "e-mail"], 2, 0.9), "vendor": (["objekt", "einheit", "mieter", "miete"], 3, 0.95)})
+    return table(spark, sf_dir, "part").select("p_partkey", best["name"].alias("profile"))
+
+
+@cat.query("s16_s17_merge_pages", "SELECT conv_id, count(*) AS rows_kept FROM (SELECT conv_id, turn, unnest(CASE WHEN turn = 0 THEN ['h', 'r'] ELSE ['r'] END) AS k FROM conversations) GROUP BY 1")
+def merge_pages(spark, sf_dir):
+    """Repeated heading rows and page-number rows go."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.array(F.array(F.lit("Name"), F.lit("Ort")), F.array(F.col("role"), F.substring("text", 1, 9)), F.array(F.lit(""), F.concat(F.lit("Seite "), C("turn").cast("string"))))).alias("row_no", "cells"))
+    return tables.merge_pages(c.withColumn("page", C("turn") + 1).drop("turn"), "conv_id").groupBy("conv_id").agg(F.count("*").alias("rows_kept"))
+
+
+@cat.query("s13_s15_row_cells", "SELECT user_id % 20 AS page, count(*) AS words FROM events WHERE event_id % 41 = 0 GROUP BY 1")
+def row_cells(spark, sf_dir):
+    """Words to rows and cells; every word lands in one cell."""
+    e = table(spark, sf_dir, "events").where("event_id % 41 = 0")
+    w = e.select((C("user_id") % 20).alias("page"), C("event_type").alias("text"), (C("event_id") % 900).cast("double").alias("x0"), (C("event_id") % 900 + 6).cast("double").alias("x1"), (C("event_id") % 13 * 10).cast("double").alias("top"), (C("event_id") % 13 * 10 + 8).cast("double").alias("bottom"), C("value").alias("conf"))
+    cells = tables.build_cells(tables.row_clusters(w, "page"), F.array(F.lit(200.0), F.lit(500.0)))
+    return cells.groupBy("page").agg(F.sum(F.size(F.split("text", " "))).alias("words"))
+
+
+@cat.query("f23_f24_f25_names", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'person' WHEN 2 THEN 'legal_entity' ELSE 'community' END AS kind, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS persons, CASE c_custkey % 4 WHEN 0 THEN 'Muster' WHEN 1 THEN 'Weber' END AS last FROM customer")
+def names(spark, sf_dir):
+    """Parties of free-text names."""
+    text = F.element_at(F.array(*map(F.lit, ("Eheleute Max und Erika Muster", "Dr. Weber, Anna", "Haus GmbH", "Erbengemeinschaft Klein"))), (C("c_custkey") % 4 + 1).cast("int"))
+    s = people.split_names(text)
+    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("s")).select("c_custkey", C("s.kind").alias("kind"), F.size("s.persons").alias("persons"), F.try_element_at("s.persons", F.lit(1))["last"].alias("last"))
+
+
+@cat.query("f26_legal_form", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'gmbh' END AS form FROM customer")
+def legal_form(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", people.has_marker(F.when(C("c_custkey") % 2 == 0, "Bau GmbH, Köln").otherwise("Agenda")).alias("form"))
+
+
+@cat.query("j08_j09_j10_j11_fuzzy_join")
+def fuzzy_join(spark, sf_dir):
+    """Suppliers to customers of the same nation and first digit, by name similarity; rows only."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("a"), C("s_nationkey").alias("n"), (C("s_suppkey") % 10).alias("b"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("name"), C("c_nationkey").alias("n"), (C("c_custkey") % 10).alias("b"))
+    scored = s.join(c, ["n", "b"]).withColumn("score", similarity.owner_score(similarity.similarity(C("a"), C("name"), "token_set"), F.lit(False), F.lit(True), F.lit(False), F.lit(False), F.lit(False)))
+    w = Window.partitionBy("s_suppkey").orderBy(C("score").desc(), "c_custkey")
+    ranked = scored.withColumns({"rank": F.row_number().over(w), "second": F.lead("score").over(w)}).where("rank = 1")
+    return ranked.select("s_suppkey", "c_custkey", F.round("score", 6).alias("score"), evidence.verdict(C("score") / 100, C("second") / 100, F.lit(False)).alias("outcome"))
+
+
+@cat.query("e18_e22_classifier")
+def trained_stage(spark, sf_dir):
+    """A model trained on labelled documents, applied to all of them; no SQL form."""
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    text = classifier.input_text(F.array("source"), C("text"), 1000)
+    samples = d.join(l, "doc_id").select(C("doc_id").alias("id"), text.alias("text"), C("quality").cast("string").alias("label"))
+    model = classifier.pipeline(1 << 12).fit(classifier.with_weights(samples))
+    return classifier.predict(model, d.select("doc_id", text.alias("text"))).select("doc_id", "top", F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"))
+
+
+@cat.query("w07_propose_mapping", "SELECT p_brand, count(DISTINCT target) = count(*) AS one_to_one FROM (SELECT p_brand, p_partkey AS target FROM part) GROUP BY 1")
+def propose_mapping(spark, sf_dir):
+    """Greedy one-to-one assignment of columns to targets, walked in order inside each batch."""
+    import pandas as pd
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, used, out = set(), set(), []
+        for r in pdf.sort_values(["score", "column", "target"], ascending=[False, True, True]).itertuples():
+            if r.target not in taken and r.column not in used:
+                taken.add(r.target)
+                used.add(r.column)
+                out.append((r.p_brand, r.column, r.target))
+        return pd.DataFrame(out, columns=["p_brand", "column", "target"])
+
+    p = table(spark, sf_dir, "part")
+    pairs = p.select("p_brand", C("p_partkey").alias("column"), C("p_size").alias("z")).withColumn("target", F.explode(F.array(C("column"), C("column") + 1))).withColumn("score", (C("column") % 7 + C("z") % 3).cast("double"))
+    chosen = pairs.groupBy("p_brand").applyInPandas(greedy, "p_brand string, column long, target long")
+    return chosen.groupBy("p_brand").agg((F.count_distinct("target") == F.count("*")).alias("one_to_one"))
+
+
+@cat.query("f29_content_scores", "SELECT source, round(avg(CASE WHEN regexp_matches(substr(text, 1, 60), '[0-9]{4}') THEN 1 ELSE 0 END), 6) AS digits, round(avg(CASE WHEN contains(text, '@') THEN 1 ELSE 0 END), 6) AS mail FROM documents GROUP BY 1")
+def content_scores(spark, sf_dir):
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return table(spark, sf_dir, "documents").groupBy("source").agg(share(F.substring("text", 1, 60).rlike("[0-9]{4}")).alias("digits"), share(C("text").contains("@")).alias("mail"))
+
+
+@cat.query("f06_pattern_count", "SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '[0-9]{12,16}')")
+def pattern_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count_if(C("text").rlike("[0-9]{12,16}")).alias("n"))
+
+
+@cat.query("f36_collisions", "SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || n END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
+def collisions(spark, sf_dir):
+    """equal names of one batch get counters in the order of their ids."""
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return table(spark, sf_dir, "part").withColumn("n", n).select("p_partkey", F.when(C("n") == 1, C("p_brand")).otherwise(F.concat_ws("_", "p_brand", C("n").cast("string"))).alias("name"))
