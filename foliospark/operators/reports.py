@@ -28,16 +28,16 @@ def decimal_text(x: Column, places: int = 2) -> Column:
     return F.coalesce(F.replace(F.format_string(f"%.{places}f", x.cast("double")), F.lit("."), F.lit(",")), F.lit(""))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Semicolons, CR LF; distributed, one file for each task."""
-    df.write.mode("overwrite").csv(path, sep=";", header=True, lineSep="\r\n" if False else "\n", emptyValue="", nullValue="")
-
-
 def crlf_lines(df: DataFrame) -> DataFrame:
     """The lines of the export, each with CR, for a text sink that adds LF."""
     return df.select(F.concat(F.concat_ws(";", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit("\r")).alias("value"))
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Semicolons and CR LF; distributed, one file for each task."""
+    crlf_lines(df).write.mode("overwrite").text(path)
+
+
 def progress(jobs: DataFrame, key: str, status: str, names: list[str]) -> DataFrame:
     """Counts by status as columns."""
     return jobs.groupBy(key).agg(*(F.count_if(F.col(status) == n).alias(n.lower()) for n in names), F.count("*").alias("total"))
