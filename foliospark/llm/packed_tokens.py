@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +40,8 @@ ROWS = 128
 END_ID = 1
 #: Controls that Python's split() takes for white space and the tokenizer's pattern doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters beyond the Latin, Greek and Cyrillic blocks, whose classes depend on a library's Unicode version.
+FAR = re.compile("[^\x00-\u052f]")
 STORE = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -48,43 +49,70 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, one white-space-free chunk at a time.
 
     For a tokenizer that drops white space and never joins across it, a text's ids are its chunks' ids in
-    order, so each distinct chunk needs the library only once. New chunks go through the library's normalizer
-    together, and each distinct word of them through its model once. Chunks that may hold an added token, and
-    texts with unusual control characters, go through the whole tokenizer.
+    order, so each distinct chunk needs the library only once. New chunks are normalized together, split into words
+    by one search, and their distinct words go through the library's model in one call; the vocabulary's word
+    ends tell where each word's ids stop. Chunks that may hold an added token, and texts with unusual control
+    characters, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
-        first = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"]["type"] == "Sequence" else {}
+        first, *rest = spec["pre_tokenizer"]["pretokenizers"] if spec["pre_tokenizer"]["type"] == "Sequence" else [{}]
         if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
             raise ValueError("this tokenizer's words are not what one pattern matches")
-        self.words = regex.compile(first["pattern"]["Regex"]).findall
+        if [r["type"] for r in rest] != ["ByteLevel"] or rest[0]["add_prefix_space"] or rest[0]["use_regex"] or not spec["model"].get("end_of_word_suffix"):
+            raise ValueError("this tokenizer's words are not byte-level with marked ends")
+        self.pattern = regex.compile(first["pattern"]["Regex"] + "|\n")
+        self.of_words = Tokenizer(self.tokenizer.model)  # words parted by a space, already normalized
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word_ids(self, words: list[str]) -> list[bytes] | None:
+        """The ids of normalized words; None if their ends can't be told."""
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = [0, *((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(words) + 1 and cuts[-1] == len(raw) else None
+
     def chunks(self, new: list[str]) -> list[bytes]:
         """The ids of chunks without white space."""
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(new)).split(" ")
-        if len(normal) != len(new) or any(a in " ".join(new) for a in self.added):
+        joined = " ".join(new)
+        normal = joined.lower() if joined.isascii() else self.tokenizer.normalizer.normalize_str(joined)
+        found = self.pattern.findall(normal.replace(" ", "\n"))
+        if normal.count(" ") != len(new) - 1 or found.count("\n") != len(new) - 1 or any(a in joined for a in self.added):
             return self.direct(new)
-        parts = [[c] if c.isalpha() and c.isascii() else self.words(c) for c in normal]
-        own: dict[str, bytes] = dict.fromkeys(w for p in parts for w in p)
-        marked = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(own))
-        if len(marked) != len(own):
+        if FAR.search(normal):
+            odd = " ".join(c for c in normal.split(" ") if FAR.search(c))
+            if [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(odd)] != [m.span() for m in self.pattern.finditer(odd)]:
+                return self.direct(new)
+        own = list(dict.fromkeys(found))
+        if "\n" in own:
+            own.remove("\n")
+        ids = self.word_ids(own)
+        if ids is None:
             return self.direct(new)
-        tokenize = self.tokenizer.model.tokenize
-        for word, (inner, _) in zip(own, marked, strict=True):
-            own[word] = pack(*(t.id for t in tokenize(inner)))
-        return [b"".join(map(own.__getitem__, p)) for p in parts]
+        table = dict(zip(own, ids, strict=True))
+        out, parts = [], []
+        for piece in found:
+            if piece != "\n":
+                parts.append(table[piece])
+            else:
+                out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+                parts = []
+        return [*out, b"".join(parts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -92,11 +120,12 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:  # the chunks of one generation back are kept, so frequent ones stay
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
-        new = {c for s in split if s is not None for c in s if c not in known}
-        known.update((c, before[c]) for c in new if c in before)
-        new = [c for c in new if c not in known]
-        for k in range(0, len(new), SLICE):  # the library's results are large
-            known.update(zip(new[k : k + SLICE], self.chunks(new[k : k + SLICE]), strict=True))
+        new = set().union(*filter(None, split)).difference(known)
+        again = {c for c in new if c in before}
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
+        fresh = list(new - again)
+        for k in range(0, len(fresh), SLICE):  # the library's results are large
+            known.update(zip(fresh[k : k + SLICE], self.chunks(fresh[k : k + SLICE]), strict=True))
         get = known.__getitem__
         return [self.direct([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
@@ -107,10 +136,6 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def pack(*ids: int) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def lists(parts: list[bytes]) -> pa.Array:
     """An array<int> column from little-endian 32-bit buffers."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
