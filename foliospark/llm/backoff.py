@@ -8,7 +8,7 @@ N-grams are 64-bit hashes. Documents form blocks of some megabytes of text. Each
 n-grams with their counts to buckets, which are ranges of the hash; a bucket adds up the counts and answers
 each block with the totals of the n-grams that it sent; the block then scores all its places. So the count
 tables are partitioned by hash and joined to the n-grams by key, both in packed columns: sorted hashes as
-byte planes of their differences, which compress well in the shuffle. A frequent n-gram is one entry for each
+byte planes of their differences, entropy-coded for the shuffle. A frequent n-gram is one entry for each
 block, so it can't make a bucket heavy.
 
 Defined cases: words are lower-case and separated by white space; null and empty texts have no words and the
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,13 @@ RESULT = "doc_id long, n_tokens long, log_score double, n_full long, n_backed_of
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The bytes of unsigned integers, all lowest bytes first, then the next."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """The bytes of unsigned integers, all lowest bytes first, then the next, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def from_planes(raw: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:

@@ -181,7 +181,7 @@ def test_phases_place_every_block_once():
 
 def test_mix(spark, docs_of):
     rng = random.Random(4)
-    rows = [(k, "t", rng.choice(["src0", "src0", "src1", "src2", "z", None])) for k in range(700)] + [(5, "t", "src1"), (None, "t", "src0")]
+    rows = [(k, "t", rng.choice(["src0", "src0", "src1", "src2", "z", None])) for k in range(2800)] + [(5, "t", "src1"), (None, "t", "src0")]
     docs = docs_of(rows)
     out = mixing.mix(docs, {"src0": 0.25, "src1": 0.5, "nobody": 0.05}, block_rows=4, cycle=64).collect()
     assert sorted(r["mix_position"] for r in out) == list(range(len(rows)))
