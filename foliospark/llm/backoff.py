@@ -11,6 +11,10 @@ tables are partitioned by hash and joined to the n-grams by key, both in packed
 byte planes of their differences, entropy-coded for the shuffle. A frequent n-gram is one entry for each
 block, so it can't make a bucket heavy.
 
+Both passes form the same blocks: a block's key is a hash of its partition's number, its place there, and all its
+ids and texts. Blocks that have the same key nevertheless have the same rows and count as copies: each is
+answered and returned. If a source's rows move between the passes, the query fails rather than lose a row.
+
 Defined cases: words are lower-case and separated by white space; null and empty texts have no words and the
 score 0; copies count as often as they occur; repeated and null ids keep their rows; an empty table gives an
 empty result; other columns are ignored.
@@ -75,25 +79,29 @@ def inside(starts: np.ndarray, total: int, order: int) -> np.ndarray:
 
 
 def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(block key, ids, texts). The key comes from the ids and lengths, so any run of the task gives the same."""
+    """(block key, ids, texts). The key covers all that the block holds, so any run of the task gives the same."""
     ids: list = []
     texts: list[str] = []
-    size = 0
+    size = place = 0
+    partition = None
 
     def block() -> tuple[int, list, list[str]]:
-        digest = hashlib.blake2b(repr((ids, [len(t) for t in texts], texts[0][:200], texts[-1][:200])).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        return int.from_bytes(digest, "little", signed=True), ids, texts
+        digest = hashlib.blake2b(repr((partition, place, ids, [len(t) for t in texts])).encode(), digest_size=8)
+        for t in texts:
+            digest.update(t.encode("utf-8", "surrogatepass"))
+        return int.from_bytes(digest.digest(), "little", signed=True), ids, texts
 
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             some = batch.slice(k, 256)
+            partition = some.column(2)[0].as_py()
             for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
                 if size >= BLOCK_CHARS:
                     yield block()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, place = [], [], 0, place + 1
     if texts:
         yield block()
 
@@ -160,7 +168,10 @@ def scores(order: int, alpha: float, min_count: int, total: int):
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "log_score": [], "n_full": [], "n_backed_off": []}
         for g in groups:
             rows = g.to_pylist()
-            body = next(r for r in rows if r["bucket"] < 0)
+            copies = [r for r in rows if r["bucket"] < 0]
+            if not copies:
+                raise RuntimeError("a block was counted and not found again: the rows moved between two passes")
+            body = copies[0]
             own, codes = unpack(body["data"]), from_planes(body["counts"], np.uint32)
             words = own[codes] if len(codes) else np.zeros(0, np.uint64)
             starts = np.concatenate([[0], np.cumsum(body["lengths"])]).astype(np.int64)
@@ -170,16 +181,18 @@ def scores(order: int, alpha: float, min_count: int, total: int):
                 where = inside(starts, len(words), n)
                 if len(where):
                     _, place = np.unique(keys_of(words, n)[where], return_inverse=True)
-                    parts = sorted((r["bucket"], r["data"]) for r in rows if r["part"] == n)
-                    found[where] = np.concatenate([from_planes(d, np.uint64) for _, d in parts])[place]
+                    parts = {r["bucket"]: r["data"] for r in rows if r["part"] == n}  # copies have equal replies
+                    if not parts:
+                        raise RuntimeError("a block was not counted: the rows moved between two passes")
+                    found[where] = np.concatenate([from_planes(parts[b], np.uint64) for b in sorted(parts)])[place]
                 counts.append(found)
             logs, full, backed = place_scores(counts, starts, len(words), alpha, min_count, total)
             sums = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (full, backed)]
-            out["doc_id"] += body["doc_ids"]
-            out["n_tokens"] += body["lengths"]
-            out["log_score"] += [math.fsum(logs[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-            out["n_full"] += np.diff(sums[0]).tolist()
-            out["n_backed_off"] += np.diff(sums[1]).tolist()
+            out["doc_id"] += body["doc_ids"] * len(copies)
+            out["n_tokens"] += body["lengths"] * len(copies)
+            out["log_score"] += [math.fsum(logs[a:b]) for a, b in zip(starts, starts[1:], strict=False)] * len(copies)
+            out["n_full"] += np.diff(sums[0]).tolist() * len(copies)
+            out["n_backed_off"] += np.diff(sums[1]).tolist() * len(copies)
         return pa.table({k: pa.array(v, pa.float64() if k == "log_score" else pa.int64()) for k, v in out.items()})
 
     return work
@@ -212,10 +225,11 @@ def place_scores(counts: list[np.ndarray], starts: np.ndarray, n_words: int, alp
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, log_score, n_full, n_backed_off."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    placed = own.withColumn("partition", F.spark_partition_id())
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     shift = max(4, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
     short = "block long, bucket int, part int, data binary, counts binary"
-    asked = own.mapInArrow(requests(order, shift), short)
+    asked = placed.mapInArrow(requests(order, shift), short)
     answered = map_groups(asked, ["bucket"], answers, "block long, bucket int, part int, data binary", batch_rows=256)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,5 +240,5 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     total = own.mapInArrow(count_words, "n long").agg(F.sum("n")).first()[0] or 0
     empty = {"doc_ids": "array<long>", "lengths": "array<int>", "counts": "binary"}
     replies = answered.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    both = own.mapInArrow(bodies, PACKED).unionByName(replies)
+    both = placed.mapInArrow(bodies, PACKED).unionByName(replies)
     return map_groups(both, ["block"], scores(order, alpha, min_count, total), RESULT, batch_rows=256)

@@ -110,6 +110,39 @@ def test_stupid_backoff_small(docs_of):
     assert backoff.score(docs_of(rows).limit(0)).count() == 0
 
 
+def test_stupid_backoff_equal_blocks(spark):
+    """The same rows in several partitions, and rows that differ only in the middle of a block."""
+    parts = [[(5, "b c b"), (None, "c d")]] * 3 + [[(None, "a b"), (None, x), (None, "a b")] for x in ("c d", "b c", "x y")] + [[(5, "b c b"), (None, "c d")]]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    assert docs.rdd.glom().map(len).collect() == [len(p) for p in parts]
+    texts = [t.split() for p in parts for _, t in p]
+    counts = Counter(tuple(w[i : i + n]) for w in texts for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(map(len, texts))
+
+    def one(context, word):
+        if not context:
+            return counts[word,] / total
+        g = (*context, word)
+        return counts[g] / counts[context] if counts[g] >= 2 else 0.4 * one(context[1:], word)
+
+    want = sorted((str(i), round(sum(math.log(one(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w))), 9)) for i, w in zip([i for p in parts for i, _ in p], texts, strict=True))
+    assert sorted((str(r["doc_id"]), round(r["log_score"], 9)) for r in backoff.score(docs).collect()) == want
+
+
+def test_stupid_backoff_blocks_with_one_key():
+    """Blocks of one key are copies: every body is returned, and a reply counts once."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array(["b c b", "c d"]), pa.array([0, 0])], ["doc_id", "text", "partition"])
+    body = next(backoff.bodies(iter([batch])))
+    asked = pa.Table.from_batches(list(backoff.requests(3, 0)(iter([batch]))) * 2).sort_by("bucket")
+    replies = backoff.answers([asked])
+    group = pa.concat_tables([pa.Table.from_batches([body, body]), replies], promote_options="default")
+    got = backoff.scores(3, 0.4, 2, 10)([group]).to_pylist()
+    assert [r["doc_id"] for r in got] == [5, 6, 5, 6]
+    assert got[:2] == got[2:] and got[0]["log_score"] == pytest.approx(math.log(4 / 10) + math.log(2 / 4) + math.log(2 / 2))
+
+
 def test_language(spark, docs_of):
     model = language.fit(table(spark, SMALL, "documents"))
     pages = [(1, "http://a.example.net/x", '<html lang="de"><p>der die und nicht eine</p></html>'), (2, None, None), (3, "odd", ""), (None, "http://u@h:8/", "<p>the and of that with</p>"), (3, "odd", "")]
