@@ -188,7 +188,7 @@ def fuzzy_join(spark, sf_dir):
 def trained_stage(spark, sf_dir):
     """A model trained on labelled documents, applied to all of them; no SQL form."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    text = classifier.input_text(F.array("source"), C("text"), 1000)
+    text = classifier.input_text(F.array("source"), C("text"))
     samples = d.join(l, "doc_id").select(C("doc_id").alias("id"), text.alias("text"), C("quality").cast("string").alias("label"))
     model = classifier.pipeline(1 << 12).fit(classifier.with_weights(samples))
     return classifier.predict(model, d.select("doc_id", text.alias("text"))).select("doc_id", "top", F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"))

@@ -22,3 +22,12 @@ def test_query_without_sql_has_rows(spark, name):
 
 def test_flagship_is_registered():
     assert registry.FLAGSHIP in registry.QUERIES
+
+
+def test_classifier_sees_words_behind_1000_characters(spark, tmp_path):
+    """The class words lie between the 1,500th and the 4,000th character; one document has no label."""
+    rows = [(k, "word " * 300 + ("good " if k % 2 else "bad ") * 20, "src") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(39)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["top"] for r in registry.QUERIES["e18_e22_classifier"](spark, str(tmp_path)).collect()}
+    assert got == {k: str(k % 2) for k in range(40)}
