@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import whole_text, written
 
 BUCKETS = 1 << 15
-#: Bounds of the training sample: labelled documents of each language, and languages (the most frequent ones).
+#: Bound of the training sample: labelled documents of each language.
 PER_LANGUAGE = 300
-LANGUAGES = 32
 #: 3-grams of a text depend on each other; this share of their number counts as independent evidence.
 TEMPER = 0.2
 KAPPA = 10.0
@@ -62,14 +61,14 @@ class GramModel:
         return (scores - scores.max()).tolist() if len(scores) else []
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> GramModel:
-    """Learn from a bounded sample of documents with their languages."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> GramModel:
+    """Learn from a bounded sample of each language's documents."""
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang")
-    named = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()]
+    named = [r["lang"] for r in known.select("lang").distinct().collect()]
     if not named:
         return GramModel([], np.zeros((0, BUCKETS)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")
-    ids = known.where(F.col("lang").isin(named)).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang")
+    ids = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang")
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id").select("lang", "text").collect()
     named = sorted(named)
     counts = np.full((len(named), BUCKETS), 0.05)

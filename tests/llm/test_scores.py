@@ -162,3 +162,9 @@ def test_language_on_all_pages(spark):
     path = table(spark, SMALL, "pages").select("page_id", F.regexp_extract("url", "/(en|de|fr|es)/", 1).alias("want"))
     good, n = found.join(path, "page_id").where("want <> ''").agg(F.avg((F.col("lang") == F.col("want")).cast("int")), F.count("*")).first()
     assert n > 100 and good > 0.97
+
+
+def test_language_learns_every_language(spark):
+    names = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    model = language.fit(spark.createDataFrame([(k, f"words of {n}", n) for k, n in enumerate(names)], "doc_id long, text string, lang string"))
+    assert model.languages == names
