@@ -6,7 +6,8 @@ Texts are sets of word 5-grams; two texts are linked when the Jaccard similarity
    ``1 / (threshold * |x|)``. Sets that picked the same shingle meet in a bucket. A bucket above ``limit`` sets
    is split again by the next level's picks; what is still large on the last level is compared block by block.
    A pair at the threshold survives a level with probability ``1 - exp(-2 / (1 + threshold))``; the number of runs follows
-   from that, the depth and the target recall.
+   from that, the depth and the target recall. This is for sets of equal size: if one contains the other, a level
+   is survived with ``1 - exp(-1)``, so through two levels the recall at the threshold is 0.983 instead of 0.99.
 2. Small buckets are compared by brute force on bottom-k sketches, which only a pair well below the threshold
    fails. Sets that may be similar get into one component.
 3. Within a component all pairs are compared on their whole sets, in tiles. Links are counted with the number
