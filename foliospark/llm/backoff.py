@@ -1,244 +1,292 @@
 """Stupid-backoff language-model scores with n-gram counts over all documents.
 
-The score of a word after its context is its n-gram's count over the context's count if the n-gram occurs at
-least ``min_count`` times, else ``alpha`` times its score after the context shortened by one word; a single
-word has its count over the number of all words. A document's score is the sum of the logarithms.
-
-N-grams are 64-bit hashes. Documents form blocks of some megabytes of text. Each block sends its distinct
-n-grams with their counts to buckets, which are ranges of the hash; a bucket adds up the counts and answers
-each block with the totals of the n-grams that it sent; the block then scores all its places. So the count
-tables are partitioned by hash and joined to the n-grams by key, both in packed columns: sorted hashes as
-byte planes of their differences, entropy-coded for the shuffle. A frequent n-gram is one entry for each
-block, so it can't make a bucket heavy.
-
-Both passes form the same blocks: a block's key is a hash of its partition's number, its place there, and all its
-ids and texts. Blocks that have the same key nevertheless have the same rows and count as copies: each is
-answered and returned. If a source's rows move between the passes, the query fails rather than lose a row.
-
-Defined cases: words are lower-case and separated by white space; null and empty texts have no words and the
-score 0; copies count as often as they occur; repeated and null ids keep their rows; an empty table gives an
-empty result; other columns are ignored.
+The score of a word after its two predecessors is the 3-gram's count over the 2-gram's if the 3-gram occurs at
+least ``min_count`` times; else ``alpha`` times the 2-gram's count over the word's before it, by the same rule; else
+``alpha`` times ``alpha`` times its share of all words. The first word of a document has its share, the second
+backs off from its 2-gram. A document's score is the sum of the logarithms.
+
+Relational form. Each place is a row with its word ``b``, the word before it ``a`` and the word after it ``c``. Every
+count that the places (.., a, b) and (a, b, c) need counts rows that have the same ``b``: b itself, (a, b), (b, c) and
+(a, b, c). So the exploded n-grams are dealt by a hash, the count tables are windows over the same hash partitions, where
+they meet the n-grams that they count without another shuffle, and the terms are summed by document.
+
+A frequent word would gather in one task, so the key is as long as it must be: the rows of a frequent word are dealt
+by its 2-gram, those of a frequent 2-gram by the 3-gram, once looking back (a, b) and once looking ahead (b, c). Which
+n-grams are frequent comes from a sample of ``SAMPLE`` places; there can be only about ``SHARE`` of each length. Their counts
+are exact, over all documents, and are broadcast; a wrong guess would cost time and change no result. Places whose n-grams
+are all frequent are scored where they are.
+
+The exploded n-grams are many times the texts, so they are taken in ``SLICES`` ranges of the key's hash, one after
+another, each leaving one row for each document. This bounds the disk that shuffles need and leaves out nothing.
+
+Defined cases: words are lower-case and separated by white space, told apart by 64-bit hashes; null and empty texts have
+no words and the score 0; copies count as often as they occur; repeated and null ids keep their rows; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
-from .grouped import map_groups
-from .words import WordHasher, mix, ngrams
+from .common import released, whole_text, written
+from .words import WordHasher, mix
 
-ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_CHARS = 12 << 20
-BUCKET_CHARS = 24 << 20
-PACKED = "block long, bucket int, part int, doc_ids array<long>, lengths array<int>, data binary, counts binary"
-RESULT = "doc_id long, n_tokens long, log_score double, n_full long, n_backed_off long"
+#: Places in the sample that tells which n-grams are frequent, and the part of it that makes one so.
+SAMPLE = 1 << 20
+SHARE = 4_096
+SLICES = 8
+#: Words that a task looks at together.
+STEP = 1 << 18
+#: Stand for what is before the first and after the last word.
+START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
+#: Bits of ``kind``.
+AHEAD, FIRST, SECOND, LAST = 1, 2, 4, 8
+
+WORDS = "doc_id long, n_tokens int, words array<long>"
+ASKED = "row long, key long, near long, far long, kind int, n_word long, n_pair long"
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x * np.uint64(0x2545F4914F6CDD1D) + y)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The bytes of unsigned integers, all lowest bytes first, then the next, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+@dataclass(frozen=True)
+class Known:
+    """Exact counts of some n-grams."""
 
+    keys: np.ndarray
+    counts: np.ndarray
 
-def from_planes(raw: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of ``keys``, 0 for those that are not among them."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
 
 
-def pack(sorted_keys: np.ndarray) -> bytes:
-    return planes(np.diff(sorted_keys, prepend=np.uint64(0)))
+@dataclass(frozen=True)
+class Places:
+    """The places of some documents: own, last and next word, keys of their n-grams, and where they stand."""
 
+    row: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    ab: np.ndarray
+    abc: np.ndarray
+    at: np.ndarray
+    last: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return self.at == 0
+
+    @property
+    def bc(self) -> np.ndarray:
+        """Meaningless at the last word."""
+        return np.roll(self.ab, -1)
 
-def unpack(raw: bytes) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
 
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
+    """Batches of (row, words), some whole documents at a time."""
+    for batch in batches:
+        offsets = batch.column(1).offsets.to_numpy().astype(np.int64)
+        flat = batch.column(1).values.to_numpy().view(np.uint64)
+        rows = batch.column(0).to_numpy()
+        k = 0
+        while k < len(rows):
+            end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + STEP, "right")) - 1)
+            own, sizes = flat[offsets[k] : offsets[end]], np.diff(offsets[k : end + 1])
+            if len(own):
+                begin = np.repeat(offsets[k:end] - offsets[k], sizes)
+                at = np.arange(len(own)) - begin
+                last = at == np.repeat(sizes, sizes) - 1
+                a, c = np.where(at == 0, START, np.roll(own, 1)), np.where(last, END, np.roll(own, -1))
+                ab = joined(a, own)
+                yield Places(np.repeat(rows[k:end], sizes), a, own, c, ab, joined(ab, c), at, last)
+            k = end
+
+
+def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in columns.items()})
+
+
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) as (row, doc_id, n_tokens, words), each row with a number of its own, written."""
 
-def keys_of(words: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the ``order``-grams that begin at each place, told apart from those of other orders."""
-    return mix(ngrams(words, order) ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                words, starts = hasher(some.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(starts), pa.int32()), lists], ["doc_id", "n_tokens", "words"])
+
+    return written(docs.mapInArrow(run, WORDS).select(F.monotonically_increasing_id().alias("row"), "*"), "ngram-words", compression="zstd")
+
+
+def frequent(words: DataFrame, total: int, sample: int, share: int) -> Known:
+    """The n-grams that hold more than one in ``share`` of a sample of places, with their counts over all places."""
+    bound = np.uint64(min(2.0**64 - 2048, max(1.0, sample / max(total, 1) * 2.0**64)))
+
+    def keys_in(p: Places, chosen: np.ndarray) -> Iterator[np.ndarray]:
+        yield p.b[chosen]
+        yield p.ab[chosen & ~p.first]
+        yield p.abc[chosen & ~p.first & ~p.last]
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in places(batches):
+            chosen = joined(p.row.view(np.uint64), p.at.view(np.uint64)) <= bound
+            yield batch_of(key=np.concatenate(list(keys_in(p, chosen))))
+
+    least = max(1, min(sample, total) // share)
+    found = words.mapInArrow(sampled, "key long").groupBy("key").count().where(F.col("count") > least)
+    guessed = np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
+    place_of = Known(guessed, np.arange(1, len(guessed) + 1))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(guessed) + 1, np.int64)
+        for p in places(batches):
+            for keys in keys_in(p, np.ones(len(p.b), bool)):
+                counts += np.bincount(place_of(keys), minlength=len(counts))
+        used = np.flatnonzero(counts[1:])
+        yield batch_of(key=guessed[used], n=counts[1:][used])
+
+    exact = words.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    exact = sorted((int(np.int64(r["key"]).view(np.uint64)), r["n"]) for r in exact)
+    return Known(np.array([k for k, _ in exact], np.uint64), np.array([n for _, n in exact], np.int64))
+
+
+@dataclass(frozen=True)
+class Routed:
+    """What is known of each place, and which of its two questions must be asked elsewhere."""
+
+    n_word: np.ndarray
+    n_back: np.ndarray
+    n_ahead: np.ndarray
+    n_three: np.ndarray
+    ask_back: np.ndarray
+    ask_ahead: np.ndarray
+
+
+def routed(p: Places, known: Known) -> Routed:
+    n_word = known(p.b)
+    n_back = np.zeros(len(p.b), np.int64)
+    maybe = np.flatnonzero(~p.first)
+    n_back[maybe] = known(p.ab[maybe])
+    n_ahead = np.where(p.last, 0, np.roll(n_back, -1))
+    n_three = np.zeros(len(p.b), np.int64)
+    maybe = np.flatnonzero((n_word > 0) & ((n_back > 0) | (n_ahead > 0)) & ~p.first & ~p.last)
+    n_three[maybe] = known(p.abc[maybe])
+    back_known = (n_word > 0) & (p.first | (n_back > 0) & (p.last | (n_three > 0)))
+    ahead_known = (n_word > 0) & (p.last | (n_ahead > 0) & (p.first | (n_three > 0)))
+    return Routed(n_word, n_back, n_ahead, n_three, ~back_known, ~ahead_known)
+
+
+def asked(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Two rows a place: looking back, ``near`` is a and ``far`` c; looking ahead, ``near`` is c and ``far`` a.
+
+    The key is the word if its count is unknown, else the 2-gram if that one's is, else the 3-gram; what the key
+    implies is left out of ``near`` and ``far``.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.uint64(0)
+        for p in places(batches):
+            r = routed(p, known)
+            kind = p.first * FIRST + (p.at == 1) * SECOND + p.last * LAST
+            rare = r.n_word == 0
+            for ahead, wanted, pair, n_pair, near, far in ((0, r.ask_back, p.ab, r.n_back, p.a, p.c), (AHEAD, r.ask_ahead, p.bc, r.n_ahead, p.c, p.a)):
+                key = mix(np.where(rare, p.b, np.where(n_pair == 0, pair, p.abc)) ^ np.uint64(ahead + 1))
+                on = np.flatnonzero(wanted & ((key >> np.uint64(8)) % np.uint64(slices) == slice_no))
+                if len(on):
+                    by_word, by_pair = rare[on], n_pair[on] == 0
+                    yield batch_of(
+                        row=p.row[on],
+                        key=key[on],
+                        near=np.where(by_word, near[on], none),
+                        far=np.where(by_word | by_pair, far[on], none),
+                        kind=(kind[on] | ahead).astype(np.int32),
+                        n_word=r.n_word[on],
+                        n_pair=np.where(by_word, 0, n_pair[on]),
+                    )
 
-def inside(starts: np.ndarray, total: int, order: int) -> np.ndarray:
-    """Places whose ``order``-gram stays within its document."""
-    if total < order:
-        return np.zeros(0, dtype=np.int64)
-    ends = np.repeat(starts[1:], np.diff(starts))
-    at = np.arange(total - order + 1)
-    return at[at + order <= ends[: len(at)]]
+    return run
 
 
-def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(block key, ids, texts). The key covers all that the block holds, so any run of the task gives the same."""
-    ids: list = []
-    texts: list[str] = []
-    size = place = 0
-    partition = None
+def terms(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int, total: int) -> tuple[Column, Column]:
+    """What a row adds to its document's score and number of full matches."""
+    has = lambda bit: kind.bitwiseAND(bit) != 0
+    step = math.log(alpha)
+    whole = ~has(FIRST) & ~has(LAST) & (three >= min_count)
+    # Looking back: the place's own share if its 2-gram is too rare, and the context of the place behind it.
+    steps = F.when(has(FIRST), 0).when(has(SECOND), 1).otherwise(2)
+    share = F.when(has(FIRST) | (pair < min_count), steps * step + F.log(word) - math.log(max(total, 1))).otherwise(0.0)
+    back = share - F.when(whole, F.log(pair)).otherwise(0.0)
+    # Looking ahead: the place behind it by its 3-gram, else by its 2-gram.
+    by_pair = F.when(has(FIRST), 0.0).otherwise(step) + F.log(pair) - F.log(word)
+    ahead = F.when(has(LAST), 0.0).when(whole, F.log(three)).when(pair >= min_count, by_pair).otherwise(0.0)
+    full = F.when(has(AHEAD), whole | has(FIRST) & ~has(LAST) & (pair >= min_count)).otherwise(has(FIRST))
+    return F.when(has(AHEAD), ahead).otherwise(back), full.cast("long")
 
-    def block() -> tuple[int, list, list[str]]:
-        digest = hashlib.blake2b(repr((partition, place, ids, [len(t) for t in texts])).encode(), digest_size=8)
-        for t in texts:
-            digest.update(t.encode("utf-8", "surrogatepass"))
-        return int.from_bytes(digest.digest(), "little", signed=True), ids, texts
 
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            some = batch.slice(k, 256)
-            partition = some.column(2)[0].as_py()
-            for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= BLOCK_CHARS:
-                    yield block()
-                    ids, texts, size, place = [], [], 0, place + 1
-    if texts:
-        yield block()
-
-
-def hashed(texts: list[str], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and starts of many texts, a few hundred at a time to bound the memory."""
-    parts = [hasher(texts[k : k + 256]) for k in range(0, len(texts), 256)]
-    starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))])
-    return np.concatenate([w for w, _ in parts]), starts
-
-
-def requests(order: int, shift: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for block, _, texts in blocks_in(batches):
-            words, starts = hashed(texts, hasher)
-            for n in range(1, order + 1):
-                keys, counts = np.unique(keys_of(words, n)[inside(starts, len(words), n)], return_counts=True)
-                buckets = (keys >> np.uint64(64 - shift)).astype(np.int64) if shift else np.zeros(len(keys), np.int64)
-                used, first = np.unique(buckets, return_index=True)
-                cuts = [*first.tolist(), len(keys)]
-                rows = [(pack(keys[a:b]), planes(counts[a:b].astype(np.uint32))) for a, b in zip(cuts, cuts[1:], strict=False)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(used, pa.int32()), pa.array([n] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["block", "bucket", "part", "data", "counts"])
+def answered(words: DataFrame, known: Known, slice_no: int, slices: int, alpha: float, min_count: int, total: int) -> DataFrame:
+    """Sums by row of the questions of one slice."""
+    dealt = words.mapInArrow(asked(known, slice_no, slices), ASKED).repartition("key").sortWithinPartitions("key", "near", "far")
+    rows_of = lambda *keys: F.count("*").over(Window.partitionBy(*keys))
+    counted = dealt.withColumn("n1", rows_of("key")).withColumn("n2", rows_of("key", "near")).withColumn("n3", rows_of("key", "near", "far"))
+    pick = lambda given, seen: F.when(F.col(given) > 0, F.col(given)).otherwise(F.col(seen))
+    score, full = terms(pick("n_word", "n1"), pick("n_pair", "n2"), F.col("n3"), F.col("kind"), alpha, min_count, total)
+    return counted.select("row", score.alias("score"), full.alias("full")).groupBy("row").agg(F.sum(F.floor("score")).alias("whole"), F.sum(F.col("score") - F.floor("score")).alias("part"), F.sum("full").alias("full"))
 
-    return run
 
+def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: int, total: int) -> DataFrame:
+    """Sums by row of the questions whose n-grams are all known."""
 
-def answers(groups: list[pa.Table]) -> pa.Table:
-    """Totals for each request of a bucket."""
-    block_out, bucket_out, part_out, total_out = [], [], [], []
-    for g in groups:
-        rows = list(zip(g.column("block").to_pylist(), g.column("part").to_pylist(), g.column("data").to_pylist(), g.column("counts").to_pylist(), strict=True))
-        bucket = g.column("bucket")[0].as_py()
-        for n in sorted({r[1] for r in rows}):
-            own = [r for r in rows if r[1] == n]
-            keys = [unpack(r[2]) for r in own]
-            every, place = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(place, weights=np.concatenate([from_planes(r[3], np.uint32) for r in own]), minlength=len(every)).astype(np.uint64)[place]
-            at = 0
-            for r, k in zip(own, keys, strict=True):
-                block_out.append(r[0])
-                bucket_out.append(bucket)
-                part_out.append(n)
-                total_out.append(planes(totals[at : at + len(k)]))
-                at += len(k)
-    return pa.table({"block": pa.array(block_out, pa.int64()), "bucket": pa.array(bucket_out, pa.int32()), "part": pa.array(part_out, pa.int32()), "data": pa.array(total_out, pa.binary())})
-
-
-def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's words as codes into its own list of word hashes."""
-    hasher = WordHasher()
-    for block, ids, texts in blocks_in(batches):
-        words, starts = hashed(texts, hasher)
-        own, codes = np.unique(words, return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(starts).tolist()], pa.list_(pa.int32())), pa.array([pack(own)], pa.binary()), pa.array([planes(codes.astype(np.uint32))], pa.binary())],
-            ["block", "bucket", "part", "doc_ids", "lengths", "data", "counts"],
-        )
-
-
-def scores(order: int, alpha: float, min_count: int, total: int):
-    def work(groups: list[pa.Table]) -> pa.Table:
-        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "log_score": [], "n_full": [], "n_backed_off": []}
-        for g in groups:
-            rows = g.to_pylist()
-            copies = [r for r in rows if r["bucket"] < 0]
-            if not copies:
-                raise RuntimeError("a block was counted and not found again: the rows moved between two passes")
-            body = copies[0]
-            own, codes = unpack(body["data"]), from_planes(body["counts"], np.uint32)
-            words = own[codes] if len(codes) else np.zeros(0, np.uint64)
-            starts = np.concatenate([[0], np.cumsum(body["lengths"])]).astype(np.int64)
-            counts = []  # counts[n - 1][i]: of the n-gram that begins at place i, 0 if it leaves the document
-            for n in range(1, order + 1):
-                found = np.zeros(len(words) + 1, dtype=np.float64)
-                where = inside(starts, len(words), n)
-                if len(where):
-                    _, place = np.unique(keys_of(words, n)[where], return_inverse=True)
-                    parts = {r["bucket"]: r["data"] for r in rows if r["part"] == n}  # copies have equal replies
-                    if not parts:
-                        raise RuntimeError("a block was not counted: the rows moved between two passes")
-                    found[where] = np.concatenate([from_planes(parts[b], np.uint64) for b in sorted(parts)])[place]
-                counts.append(found)
-            logs, full, backed = place_scores(counts, starts, len(words), alpha, min_count, total)
-            sums = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (full, backed)]
-            out["doc_id"] += body["doc_ids"] * len(copies)
-            out["n_tokens"] += body["lengths"] * len(copies)
-            out["log_score"] += [math.fsum(logs[a:b]) for a, b in zip(starts, starts[1:], strict=False)] * len(copies)
-            out["n_full"] += np.diff(sums[0]).tolist() * len(copies)
-            out["n_backed_off"] += np.diff(sums[1]).tolist() * len(copies)
-        return pa.table({k: pa.array(v, pa.float64() if k == "log_score" else pa.int64()) for k, v in out.items()})
-
-    return work
-
-
-def place_scores(counts: list[np.ndarray], starts: np.ndarray, n_words: int, alpha: float, min_count: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: log score, whether its longest n-gram was found, and whether it backed off."""
-    order = len(counts)
-    place = np.arange(n_words)
-    before = place - np.repeat(starts[:-1], np.diff(starts))  # words of the document in front
-    longest = np.minimum(before, order - 1) + 1
-    logs, open_ = np.zeros(n_words), np.ones(n_words, dtype=bool)
-    steps = np.zeros(n_words)
-    full = np.zeros(n_words, dtype=np.int64)
-    for n in range(order, 1, -1):
-        at = np.flatnonzero(open_ & (longest >= n))
-        first = at - (n - 1)
-        hit = counts[n - 1][first] >= min_count
-        done = at[hit]
-        logs[done] = np.log(counts[n - 1][first[hit]] / counts[n - 2][first[hit]]) + steps[done] * np.log(alpha)
-        full[done[longest[done] == n]] = 1
-        open_[done] = False
-        steps[at[~hit]] += 1
-    rest = np.flatnonzero(open_)
-    logs[rest] = np.log(counts[0][rest] / max(total, 1)) + steps[rest] * np.log(alpha)
-    full[rest[longest[rest] == 1]] = 1
-    return logs, full, (steps > 0).astype(np.int64)
-
-
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = math.log(alpha)
+        log = lambda n: np.log(np.maximum(n, 1))
+        for p in places(batches):
+            r = routed(p, known)
+            whole = ~p.first & ~p.last & (r.n_three >= min_count)
+            share = np.where(p.first | (r.n_back < min_count), np.minimum(p.at, 2) * step + log(r.n_word) - math.log(max(total, 1)), 0.0)
+            back = np.where(r.ask_back, 0.0, share - np.where(whole, log(r.n_back), 0.0))
+            paired = ~p.last & ~whole & (r.n_ahead >= min_count)
+            value = np.where(whole, log(r.n_three), np.where(paired, np.where(p.first, 0.0, step) + log(r.n_ahead) - log(r.n_word), 0.0))
+            ahead = np.where(r.ask_ahead | p.last, 0.0, value)
+            full = (~r.ask_back & p.first).astype(np.int64) + (~r.ask_ahead & (whole | p.first & paired))
+            rows, place = np.unique(p.row, return_inverse=True)
+            value = back + ahead
+            whole = np.floor(value)
+            yield batch_of(row=rows, whole=np.bincount(place, whole).astype(np.int64), part=np.bincount(place, value - whole), full=np.bincount(place, full).astype(np.int64))
+
+    return words.mapInArrow(run, "row long, whole long, part double, full long")
+
+
+def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, slices: int = SLICES, sample: int = SAMPLE, share: int = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, log_score, n_full, n_backed_off."""
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    placed = own.withColumn("partition", F.spark_partition_id())
-    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    shift = max(4, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
-    short = "block long, bucket int, part int, data binary, counts binary"
-    asked = placed.mapInArrow(requests(order, shift), short)
-    answered = map_groups(asked, ["bucket"], answers, "block long, bucket int, part int, data binary", batch_rows=256)
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = sum(len(t.lower().split()) for k in range(0, batch.num_rows, 256) for t in batch.column(1).slice(k, 256).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    total = own.mapInArrow(count_words, "n long").agg(F.sum("n")).first()[0] or 0
-    empty = {"doc_ids": "array<long>", "lengths": "array<int>", "counts": "binary"}
-    replies = answered.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    both = placed.mapInArrow(bodies, PACKED).unionByName(replies)
-    return map_groups(both, ["block"], scores(order, alpha, min_count, total), RESULT, batch_rows=256)
+    words = hashed_words(docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")))
+    total = words.agg(F.sum("n_tokens")).first()[0] or 0
+    bare = words.select("row", "words")
+    known = frequent(bare, total, sample, share)
+    sums = written(answered_at_once(bare, known, alpha, min_count, total), "ngram-sums")
+    for k in range(slices):
+        sums = sums.unionByName(written(answered(bare, known, k, slices, alpha, min_count, total), "ngram-sums"))
+        released(docs.sparkSession)
+    # Whole parts are summed exactly: large terms of opposite sign cancel without a rest.
+    by_row = sums.groupBy("row").agg((F.sum("whole") + F.sum("part")).alias("score"), F.sum("full").alias("full"))
+    found = words.select("row", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).join(by_row, "row", "left")
+    full = F.coalesce("full", F.lit(0)).cast("long")
+    return found.select("doc_id", "n_tokens", F.coalesce("score", F.lit(0.0)).alias("log_score"), full.alias("n_full"), (F.col("n_tokens") - full).alias("n_backed_off"))

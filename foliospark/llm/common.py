@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path
+    if spark.sparkContext.master.startswith("local["):  # one machine: its own folder is shared
+        return os.path.join(tempfile.gettempdir(), "checkpoints")
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -28,6 +32,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now instead of at the next collection of the driver's memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_text(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -110,37 +110,49 @@ def test_stupid_backoff_small(docs_of):
     assert backoff.score(docs_of(rows).limit(0)).count() == 0
 
 
-def test_stupid_backoff_equal_blocks(spark):
-    """The same rows in several partitions, and rows that differ only in the middle of a block."""
-    parts = [[(5, "b c b"), (None, "c d")]] * 3 + [[(None, "a b"), (None, x), (None, "a b")] for x in ("c d", "b c", "x y")] + [[(5, "b c b"), (None, "c d")]]
-    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
-    assert docs.rdd.glom().map(len).collect() == [len(p) for p in parts]
-    texts = [t.split() for p in parts for _, t in p]
+def expected_scores(texts, min_count=2):
+    """(log score, number of full matches) of each text, by the definition."""
+    texts = [(t or "").lower().split() for t in texts]
     counts = Counter(tuple(w[i : i + n]) for w in texts for n in (1, 2, 3) for i in range(len(w) - n + 1))
     total = sum(map(len, texts))
 
     def one(context, word):
         if not context:
-            return counts[word,] / total
+            return counts[word,] / total, 1
         g = (*context, word)
-        return counts[g] / counts[context] if counts[g] >= 2 else 0.4 * one(context[1:], word)
-
-    want = sorted((str(i), round(sum(math.log(one(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w))), 9)) for i, w in zip([i for p in parts for i, _ in p], texts, strict=True))
-    assert sorted((str(r["doc_id"]), round(r["log_score"], 9)) for r in backoff.score(docs).collect()) == want
-
-
-def test_stupid_backoff_blocks_with_one_key():
-    """Blocks of one key are copies: every body is returned, and a reply counts once."""
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array(["b c b", "c d"]), pa.array([0, 0])], ["doc_id", "text", "partition"])
-    body = next(backoff.bodies(iter([batch])))
-    asked = pa.Table.from_batches(list(backoff.requests(3, 0)(iter([batch]))) * 2).sort_by("bucket")
-    replies = backoff.answers([asked])
-    group = pa.concat_tables([pa.Table.from_batches([body, body]), replies], promote_options="default")
-    got = backoff.scores(3, 0.4, 2, 10)([group]).to_pylist()
-    assert [r["doc_id"] for r in got] == [5, 6, 5, 6]
-    assert got[:2] == got[2:] and got[0]["log_score"] == pytest.approx(math.log(4 / 10) + math.log(2 / 4) + math.log(2 / 2))
+        return (counts[g] / counts[context], 1) if counts[g] >= min_count else (0.4 * one(context[1:], word)[0], 0)
+
+    scored = [[one(tuple(w[max(0, i - 2) : i]), w[i]) for i in range(len(w))] for w in texts]
+    return [(round(sum(math.log(x) for x, _ in s), 8), sum(f for _, f in s)) for s in scored]
+
+
+def scored(docs, **options):
+    return sorted((str(r["doc_id"]), round(r["log_score"], 8), r["n_full"], r["n_tokens"] - r["n_full"] == r["n_backed_off"]) for r in backoff.score(docs, **options).collect())
+
+
+@pytest.mark.parametrize("options", [{"share": 1, "slices": 2}, {"share": 20, "slices": 3}, {"share": 100_000, "slices": 1}, {"share": 8, "sample": 50}, {"min_count": 1, "share": 20}, {"min_count": 3, "share": 20}])
+def test_stupid_backoff_equals_brute_force(docs_of, options):
+    """With few, some and all n-grams taken for frequent."""
+    rng = random.Random(7)
+    vocabulary = ["the"] * 30 + ["of", "a", "b"] * 5 + [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(30)))) for k in range(60)]
+    rows += [(100, "the of the of"), (100, "the of the of"), (101, rows[3][1]), (None, "alone"), (None, None), (102, ""), (103, "long text " * 20_000)]
+    want = expected_scores([t for _, t in rows], options.get("min_count", 2))
+    assert scored(docs_of(rows), **options) == sorted((str(i), s, f, True) for (i, _), (s, f) in zip(rows, want, strict=True))
+
+
+def test_stupid_backoff_keeps_repeated_rows(spark):
+    """The same rows in several partitions, doubled, moved and filtered inputs."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    doubled = docs.unionByName(docs)
+    rows = docs.collect()
+    for some in (doubled, doubled.repartition(7), doubled.where("doc_id % 2 = 0").coalesce(1)):
+        kept = sorted(r["doc_id"] for r in some.collect())
+        texts = {r["doc_id"]: r["text"] for r in rows}
+        want = expected_scores([texts[i] for i in kept])
+        got = scored(some)
+        assert [g[0] for g in got] == sorted(map(str, kept))
+        assert [(g[0], round(g[1], 5), g[2]) for g in got] == sorted((str(i), round(s, 5), f) for i, (s, f) in zip(kept, want, strict=True))
 
 
 def test_language(spark, docs_of):
