@@ -5,9 +5,12 @@ are trained one after another on residuals of a bounded sample; a beam search ch
 of the coded vector is stored. A query is scored against all codes with lookup tables of its products with
 all entries, and the best ``shortlist`` codes are ranked again by the exact cosine on the original vectors.
 
-Equal vectors are one entry with their smallest ids, as many as a result can hold, so a very common vector
-neither fills the shortlist nor gathers in one task. Queries go in blocks against blocks of codes; each pair
-of blocks is one row of an equi-join, and a task returns the best few of it for each query.
+Vectors are scaled by a power of two, which brings the largest component near 1 and changes no digit: so neither
+very large nor very small components overflow or vanish in a product. Equal vectors are one entry with their smallest
+ids, as many as a result can hold, so a very common vector neither fills the shortlist nor gathers in one task. An
+entry's number is given when the entries are written; nothing is told apart by hashes. Queries go in blocks against
+blocks of codes; each pair of blocks is one row of an equi-join, and a task returns the best few of it for each query.
+There are about as many tasks as blocks of codes, whatever the number of queries.
 
 Defined cases: rows with a null id or vector, a null, NaN or infinite component, only zeros, or another
 dimension than most of the sample take no part, neither as query nor as candidate; ties go to the smaller id;
@@ -33,10 +36,10 @@ BEAM = 4
 #: Bound of the training sample, in vectors.
 SAMPLE = 10_000
 SHORTLIST = 192
-#: Vectors of one block of codes, and queries of one block.
+#: Vectors of one block of codes, queries of one block at most, and bytes of their vectors.
 CODE_BLOCK = 65_536
-QUERY_BLOCK = 1_024
-SPREAD = 8
+QUERY_BLOCK = 32_768
+QUERY_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -116,18 +119,29 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64).reshape(len(column), -1)
 
 
-def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
-    """(cid, vector, ids): equal vectors once, with their ``most`` smallest ids and the least of them as cid."""
-    first = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= most)
-    return first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.xxhash64("vector", F.col("ids")[0]).alias("cid"), "vector", "ids")
+def scaled(v: Column) -> Column:
+    """The vector over a power of two near its largest component: the same digits, safe to multiply."""
+    largest = F.array_max(F.transform(v, F.abs))
+    by = F.pow(F.lit(2.0), F.floor(F.log2(largest)))
+    return F.transform(v, lambda x: x / by)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision on the vectors as they are, scaled by their largest component only to avoid overflow."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    """In double precision, for vectors from ``scaled``."""
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """(cid, vector, ids): equal vectors once, with their ``most`` smallest ids and a number of their own, written."""
+    first = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= most)
+    own = first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return written(own.select(F.monotonically_increasing_id().alias("cid"), "vector", "ids"), "vectors")
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", shortlist: int = SHORTLIST, books: int = BOOKS) -> DataFrame:
     """For each row of ``vectors`` that ``queries`` selects, its ``k`` nearest other rows.
 
@@ -144,11 +158,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     dimension = max(sorted(set(sizes)), key=sizes.count)
     model = spark.sparkContext.broadcast(train(unit(np.array([v for v in sample if len(v) == dimension], dtype=np.float64)), books))
 
-    rows = sound.where(F.size(vector_column) == dimension).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), queries.alias("asked"))
-    every = written(distinct_vectors(rows.select("id", "vector"), k + 1), "vectors")
-    asked = written(rows.where("asked").select("id", "vector").distinct().join(every.select("cid", "vector"), "vector").select(F.col("id").alias("query_id"), F.col("cid").alias("qid"), "vector"), "queries")
+    double = F.col(vector_column).cast("array<double>")
+    rows = sound.where(F.size(vector_column) == dimension).select(F.col(id_column).cast("long").alias("id"), scaled(double).alias("vector"), queries.alias("asked"))
+    every = distinct_vectors(rows.select("id", "vector"), k + 1)
+    chosen = rows.where("asked").select("id", "vector").distinct().join(every.select("cid", "vector"), "vector")
+    asked = written(chosen.select(F.col("id").alias("query_id"), F.col("cid").alias("qid"), "vector"), "queries")
     distinct_queries = asked.select("qid", "vector").dropDuplicates(["qid"])
-    n_blocks = max(1, -(-distinct_queries.count() // QUERY_BLOCK))
+    n_blocks = max(1, -(-distinct_queries.count() // min(QUERY_BLOCK, max(64, QUERY_BYTES // (8 * dimension)))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -168,10 +184,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
             yield block()
 
     codes = written(every.select("cid", "vector").mapInArrow(encode, "ids binary, codes binary, norms binary"), "codes")
-    spread = F.pmod(F.xxhash64("ids"), F.lit(SPREAD)).cast("int")
+    parts = max(1, -(-codes.count() // n_blocks))
+    spread = F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")
     left = codes.withColumns({"s": spread, "q": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
     block_of = F.pmod(F.xxhash64("qid", F.lit(2)), F.lit(n_blocks)).cast("int")
-    right = distinct_queries.withColumn("q", block_of).groupBy("q").agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("vector")).alias("parts")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    blocks = distinct_queries.withColumn("q", block_of).groupBy("q").agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("vector")).alias("parts"))
+    right = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +206,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[a : a + 64], keep)), pa.array(ids[best].ravel()), pa.array(value.ravel())], ["qid", "cid", "estimate"])
 
     near = left.join(right, ["q", "s"]).select("ids", "codes", "norms", "qids", "parts").mapInArrow(score, "qid long, cid long, estimate float")
-    short = near.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("estimate").desc(), "cid"))).where(F.col("n") <= shortlist).select("qid", "cid")
+    by_estimate = Window.partitionBy("qid").orderBy(F.col("estimate").desc(), "cid")
+    short = near.withColumn("n", F.row_number().over(by_estimate)).where(F.col("n") <= shortlist).select("qid", "cid")
     # The query's own class always takes part: it holds the query's copies.
     short = short.unionByName(distinct_queries.select("qid", F.col("qid").alias("cid"))).distinct()
-    exact = short.join(distinct_queries.withColumnRenamed("vector", "own"), "qid").join(every, "cid").select("qid", "ids", cosine(F.col("own"), F.col("vector")).alias("score"))
+    pairs = short.join(distinct_queries.withColumnRenamed("vector", "own"), "qid").join(every, "cid")
+    exact = pairs.select("qid", "ids", cosine(F.col("own"), F.col("vector")).alias("score"))
     by_score = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id")
-    best = exact.select("qid", "score", F.explode("ids").alias("vec_id")).groupBy("qid", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
+    single = exact.select("qid", "score", F.explode("ids").alias("vec_id")).groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
+    best = single.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1)
     answers = asked.select("query_id", "qid").join(best.select("qid", "vec_id", "score"), "qid").where("query_id <> vec_id")
-    ranked = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranked = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(final))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -146,6 +146,45 @@ def test_vector_search(spark):
     assert additive_search.search(df.limit(0), F.lit(True), k=5).count() == 0
 
 
+def test_vector_search_far_ends_of_the_range(spark):
+    """Components near the ends of a double's range, equal directions of different length, and an id with two vectors."""
+    rng = np.random.default_rng(5)
+    sizes = [1.0, 1e-200, 1e200, 1e-308, 1e300]
+    rows = [(i, [float(x) for x in rng.normal(size=8) * sizes[i % 5]]) for i in range(60)]
+    rows += [(60, [2 * x for x in rows[0][1]]), (61, [1e200, 1e-200] * 4), (62, [5e-324] + [0.0] * 7), (7, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in additive_search.search(df, F.col("vec_id") % 50 == 0, k=5, shortlist=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = [(i, np.array(v) / np.abs(v).max()) for i, v in rows]
+    cosine = lambda v, w: float(v @ w / np.linalg.norm(v) / np.linalg.norm(w))
+    for q in (0, 50):
+        best: dict = {}
+        for i, w in whole:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), *(cosine(v, w) for j, v in whole if j == q))
+        want = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=1e-12)
+
+
+def test_vector_search_recall(spark):
+    """Recall of the codes: a shortlist of one in a hundred vectors against all of them."""
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in df.select("vec_id", "embedding").collect()]
+    got: dict = {}
+    for r in additive_search.search(df, F.col("vec_id") % 50 == 0, k=5, shortlist=len(rows) // 100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids = np.array([i for i, _ in rows])
+    units = np.stack([v / np.linalg.norm(v) for _, v in rows])
+    hits = n = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        order = [j for j in np.lexsort((ids, -(units @ units[k]))) if j != k][:5]
+        hits += len(got[int(ids[k])] & {int(ids[j]) for j in order})
+        n += 5
+    assert hits / n >= 0.9
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = additive_search.unit(np.random.default_rng(2).normal(size=(500, 16)))
     model = additive_search.train(x, books=6, entries=16)
