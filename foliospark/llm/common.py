@@ -33,8 +33,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now instead of at the next collection of the driver's memory."""
+    """Let Spark's cleaner drop the shuffle files of finished steps now instead of at the next collection of the driver's memory.
+
+    The scheduler keeps hold of its last job, so an empty one takes its place first.
+    """
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -63,3 +67,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     ids = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
     return sorted((r.doc_id, r.text, r.y) for r in rows.collect())
+
+
+#: Bits of one row of a bitmap, as ``bitmap_construct_agg`` makes them, and rows: 256 of 4 KB, so 1 MB is broadcast at any size.
+MAP_BITS, MAPS = 32_768, 256
+
+
+def bitmap_of(keys: DataFrame, *key: str) -> DataFrame:
+    """The keys as a bitmap of fixed size: (__map, __bits). Two keys may share a bit."""
+    bit = F.pmod(F.xxhash64(*key), F.lit(MAP_BITS * MAPS))
+    bits = keys.select(bit.alias("bit")).select((F.col("bit") / MAP_BITS).cast("int").alias("__map"), (F.col("bit") % MAP_BITS).alias("at"))
+    return bits.groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
+
+
+def asked_of(rows: DataFrame, bitmap: DataFrame, name: str, *key: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: false only if the key isn't in the bitmap. No shuffle."""
+    marked = rows.withColumn("__bit", F.pmod(F.xxhash64(*key), F.lit(MAP_BITS * MAPS)))
+    found = marked.withColumn("__map", (F.col("__bit") / MAP_BITS).cast("int")).join(F.broadcast(bitmap), "__map", "left")
+    at = (F.col("__bit") % MAP_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn(name, F.coalesce(F.bit_get(byte, at % 8) == 1, F.lit(False))).drop("__map", "__bits", "__bit")

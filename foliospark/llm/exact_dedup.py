@@ -7,7 +7,8 @@
 3. Only those texts get a full hash, and equal full hashes form the groups.
 
 Texts never travel to find groups; ``keep_one`` shuffles those that passed the bitmap once, by hash and id, so
-the copies of one frequent text spread over all tasks. Everything is DataFrame functions.
+the copies of one frequent text spread over all tasks. ``digest`` shuffles only the hashes of those that passed,
+and those of very common texts not at all. Everything is DataFrame functions.
 
 Defined cases: a null text counts as empty, so null and empty rows form one group; of equal texts the row
 with the largest id stays (a null id is smaller than any other); of wholly repeated rows (same id and
@@ -20,13 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import asked_of, bitmap_of, whole_text, written
+from .grouped import join_by_key
 
 PREFIX_CHARS = 64
 #: Parts of a frequent length.
 SALTS = 32
-#: Bits of one row of the bitmap, as ``bitmap_construct_agg`` makes them, and rows: 256 of 4 KB, so 1 MB is broadcast at any size.
-MAP_BITS, MAPS = 32_768, 256
 
 
 def full_hash(text: Column) -> Column:
@@ -48,26 +48,17 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
     return salted.join(more, [key, "salt"], "left_semi").drop("salt")
 
 
-def place() -> Column:
-    """The bit of a (length, prefix) key."""
-    return F.pmod(F.xxhash64("__bytes", "__prefix"), F.lit(MAP_BITS * MAPS))
-
-
 def refined(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """The bitmap of the (length, prefix) keys that two or more rows share: (__map, __bits)."""
     keys = written(docs.select(*(c.alias(n) for n, c in cheap_keys(whole_text(text_column)).items())), "exact-keys")
     shared = repeated(keys, "__bytes").groupBy("__bytes", "__prefix").agg(F.count("*").alias("n")).where("n > 1")
-    bits = shared.select(place().alias("bit")).select((F.col("bit") / MAP_BITS).cast("int").alias("__map"), (F.col("bit") % MAP_BITS).alias("at"))
-    return written(bits.groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits")), "exact-bitmap")
+    return written(bitmap_of(shared, "__bytes", "__prefix"), "exact-bitmap")
 
 
 def marked(docs: DataFrame, bitmap: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with ``__text``, and ``__again``: whether a text may have a copy. No shuffle."""
-    rows = docs.withColumns({"__text": whole_text(text_column)}).withColumns(cheap_keys(F.col("__text"))).withColumn("__bit", place())
-    found = rows.withColumn("__map", (F.col("__bit") / MAP_BITS).cast("int")).join(F.broadcast(bitmap), "__map", "left")
-    at = (F.col("__bit") % MAP_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return found.withColumn("__again", F.coalesce(F.bit_get(byte, at % 8) == 1, F.lit(False))).drop("__map", "__bits", "__bit", "__bytes", "__prefix")
+    rows = docs.withColumns({"__text": whole_text(text_column)}).withColumns(cheap_keys(F.col("__text")))
+    return asked_of(rows, bitmap, "__again", "__bytes", "__prefix").drop("__bytes", "__prefix")
 
 
 def full_groups(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -83,18 +74,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of single texts too)."""
-    keys = docs.select(F.col(id_column).alias("doc_id"), full_hash(whole_text(text_column)).alias("text_sha256"))
-    joined = keys.join(written(groups(docs, id_column, text_column), "exact-groups"), "text_sha256", "left")
-    single = F.col("group_size").isNull()
-    rows = written(
-        joined.select(
-            "doc_id",
-            F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-            "text_sha256",
-        ),
-        "exact-rows",
-    )
+    found = marked(docs.select(id_column, text_column), refined(docs, text_column), text_column)
+    keys = found.select(F.col(id_column).alias("doc_id"), full_hash(F.col("__text")).alias("text_sha256"), "__again")
+    hashed = written(keys.where("__again").select("doc_id", "text_sha256"), "exact-hashes")
+    sizes = hashed.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.count("*").alias("n"))
+    grouped = join_by_key(hashed, written(sizes, "exact-groups"), "text_sha256", "n")
+    alone = keys.where(~F.col("__again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    rows = written(alone.unionByName(grouped.select("doc_id", "keep_id", "group_size", "text_sha256")), "exact-rows")
     chosen = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Only the rows that carry the kept id can tie, so the window sees no large group of different rows.
     again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))

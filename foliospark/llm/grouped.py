@@ -51,22 +51,51 @@ def bounds(table: pa.Table, keys: list[str], np) -> list[int]:
     return [0, *np.flatnonzero(change).tolist(), table.num_rows]
 
 
+#: A key with more than one in ``HOT`` of all rows doesn't go through a shuffle; there can be at most ``HOT`` such keys.
+HOT = 1_024
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """``left`` inner-joined to ``right``, which has one row for each key and how many rows of ``left`` have it.
+
+    The few keys that hold a large share of the rows are broadcast, so their rows stay where they are; all others
+    are joined by a shuffle. ``left`` is read twice and must be a written table or a cheap scan, ``right`` as well.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HOT > total
+    hot = right.where(heavy).drop(weight)
+    near = left.join(F.broadcast(hot), key)
+    return near.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(~heavy).drop(weight), key))
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with ``m``, the least of a and its neighbours."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+    return join_by_key(edges, written(least, "least"), "a", "degree")
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges; for different ones only with a probability of 2**-64."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``edges`` (a, b) as (node, root), the root being the least node of its component.
 
     Large-star and small-star steps alternate; each writes its edges into the shared folder, so lineage stays
-    short and no edge reaches the driver. Nodes without an edge to another node don't appear.
+    short and no edge reaches the driver. The many neighbours of a hub don't gather in one task. Nodes without
+    an edge to another node don't appear.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    downwards = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(edges.where("a <> b").select(*downwards).distinct(), "edges")
+    seen = fingerprint(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
-        new = written(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        moved = new.exceptAll(now).limit(1).count() + now.exceptAll(new).limit(1).count()
-        now = new
-        if not moved:
+        large = written(with_least(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        lower = with_least(large)
+        small = lower.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        now = written(small.where("a <> b").select(*downwards).distinct(), "edges")
+        before, seen = seen, fingerprint(now)
+        if before == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     raise RuntimeError(f"components didn't settle in {rounds} rounds")

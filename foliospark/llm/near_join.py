@@ -5,9 +5,9 @@ Texts are sets of word 5-grams; two texts are linked when the Jaccard similarity
 1. In each run and on each level a hash function picks the shingles of a set ``x`` with probability
    ``1 / (threshold * |x|)``. Sets that picked the same shingle meet in a bucket. A bucket above ``limit`` sets
    is split again by the next level's picks; what is still large on the last level is compared block by block.
-   A pair at the threshold survives a level with probability ``1 - exp(-2 / (1 + threshold))``; the number of runs follows
-   from that, the depth and the target recall. This is for sets of equal size: if one contains the other, a level
-   is survived with ``1 - exp(-1)``, so through two levels the recall at the threshold is 0.983 instead of 0.99.
+   A pair at the threshold shares ``t`` times the larger set's shingles at least, and picks each of them alike with
+   probability ``1 / (t * larger)``; so it survives a level with ``1 - exp(-1)`` or more (more if the sets are of
+   equal size), and the number of runs follows from that, the depth and the target recall.
 2. Small buckets are compared by brute force on bottom-k sketches, which only a pair well below the threshold
    fails. Sets that may be similar get into one component.
 3. Within a component all pairs are compared on their whole sets, in tiles. Links are counted with the number
@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
-from .grouped import components, map_groups
+from .common import asked_of, bitmap_of, whole_text, written
+from .grouped import components, join_by_key, map_groups
 from .words import WordHasher, mix, ngrams
 
 N = 5
@@ -47,7 +47,7 @@ BLOCK = 1024
 SKETCH = 32
 #: Common sketch values that a similar pair falls short of with a probability of about one in a million.
 SKETCH_NEED = 14
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -55,9 +55,9 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
-def runs_needed(recall: float, threshold: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``, at that depth."""
-    once = (1 - math.exp(-2 / (1 + threshold))) ** depth
+def runs_needed(recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold, of any two sizes, has met with probability ``recall``, at that depth."""
+    once = (1 - math.exp(-1)) ** depth
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
@@ -230,7 +230,7 @@ def blocks_of(df: DataFrame, key: str, size: int) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, rep (a key of its text), head (the text that stands for its class; null without words), class_id, n_links, class_size."""
-    runs = runs_needed(recall, threshold, LEVELS)
+    runs = runs_needed(recall, LEVELS)
     text = whole_text(text_column)
     own = docs.select(F.col(id_column).alias("doc_id"), text_key(text).alias("rep"), text.alias("text"))
     sig = written(signatures(own.select("rep", "text"), runs, threshold, n).dropDuplicates(["rep"]).where("size > 0"), "signatures")
@@ -274,11 +274,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "root")
     counts = keys.groupBy("rep").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    named = counts.join(links, "rep", "left").join(classes, "rep", "left").select("rep", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("class_id"), F.min_by("rep", F.struct(F.col("least").isNull(), "least", "rep")).alias("head"), F.sum("copies").alias("class_size"))
-    ready = named.join(heads, "root").select("rep", "head", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    given = counts.join(links, "rep", "left").join(classes, "rep", "left")
+    named = written(given.select("rep", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")), "near-named")
+    first = F.min_by("rep", F.struct(F.col("least").isNull(), "least", "rep"))
+    heads = named.groupBy("root").agg(F.min("least").alias("class_id"), first.alias("head"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
+    ready = join_by_key(named, written(heads, "near-heads"), "root", "texts")
     worded = sig.select("rep", F.lit(True).alias("worded"))
-    full = keys.join(ready.join(worded, "rep", "left"), "rep")
+    shown = ready.join(worded, "rep", "left").select("rep", "head", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"), "worded", "copies")
+    full = join_by_key(keys, written(shown, "near-classes"), "rep", "copies")
     alone = F.col("worded").isNull()
     return full.select(
         "doc_id",
@@ -296,10 +299,24 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each class the one with the least id."""
-    found = classes(docs, id_column=id_column, text_column=text_column, **options)
-    others = written(found.where(~F.col("rep").eqNullSafe(F.col("head"))).where(F.col("head").isNotNull()).select(F.col("rep").alias("__rep")).distinct(), "near-others")
-    left = docs.withColumn("__rep", text_key(whole_text(text_column))).join(others.hint("merge"), "__rep", "left_anti")
-    again = F.row_number().over(Window.partitionBy("__rep").orderBy(F.col(id_column).asc_nulls_last()))
-    wordless = ~whole_text(text_column).rlike(r"(?U)\S")
-    return left.withColumn("__again", again).where((F.col("__again") == 1) | wordless).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: of each class the one with the least id.
+
+    Only texts that may have to go travel: a bitmap of fixed size tells them from the rest. They meet the ids that
+    stay by text and id, so the copies of one frequent text spread over all tasks. Column names that begin with two
+    underscores are reserved.
+    """
+    if reserved := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"reserved column names: {reserved}")
+    found = written(classes(docs, id_column=id_column, text_column=text_column, **options).where("class_size > 1 and head is not null").select("doc_id", "rep", "head", "class_id"), "near-found")
+    bitmap = written(bitmap_of(found.select("rep"), "rep"), "near-bitmap")
+    stay = found.where("rep = head and doc_id <=> class_id").select(F.col("rep").alias("__stay"), F.col("doc_id").alias("__id")).distinct()
+    crowded = found.select(F.col("rep").alias("__stay")).distinct()
+    marked = asked_of(docs.withColumn("__rep", text_key(whole_text(text_column))), bitmap, "__maybe", "__rep")
+    maybe = marked.where("__maybe").select(*docs.columns, "__rep")
+    kept = maybe.join(stay.hint("merge"), (F.col("__rep") == F.col("__stay")) & F.col(id_column).eqNullSafe(F.col("__id")), "left_semi")
+    # What is left of a class is its first row and wholly repeated rows, so no window partition is large.
+    first = kept.withColumn("__again", F.row_number().over(Window.partitionBy("__rep").orderBy(F.col(id_column)))).where("__again = 1")
+    # Texts that share a bit with another one's key.
+    other = maybe.join(crowded.hint("merge"), F.col("__rep") == F.col("__stay"), "left_anti")
+    parts = (marked.where(~F.col("__maybe")), first, other)
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import exact_dedup, grouped, near_join
 
@@ -104,8 +106,53 @@ def test_near_keep_one(docs_of):
 
 
 def test_runs_follow_the_recall():
-    assert near_join.runs_needed(0.99, 0.8, 2) > near_join.runs_needed(0.9, 0.8, 2)
-    assert near_join.runs_needed(0.99, 0.8, 3) > near_join.runs_needed(0.99, 0.8, 1)
+    assert near_join.runs_needed(0.99, 2) > near_join.runs_needed(0.9, 2)
+    assert near_join.runs_needed(0.99, 3) > near_join.runs_needed(0.99, 1)
+    for depth in (1, 2):
+        assert 1 - (1 - (1 - math.exp(-1)) ** depth) ** near_join.runs_needed(0.99, depth) >= 0.99
+
+
+def test_near_join_finds_contained_texts(docs_of):
+    """Texts that are nine tenths of another one: the sets differ in size."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 245 + k % 50]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_join.join(docs_of(rows)).collect()}
+    want = brute(rows)
+    missed = sum(got[i] != want[i] for i in want)
+    assert missed <= 2
+
+
+def test_near_join_odd_rows(docs_of):
+    """Null ids, a very long text, blank texts and copies."""
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(None, "same five words are here"), (3, "same five words are here"), (4, long), (5, long + " end"), (6, "   "), (7, "   "), (None, None)]
+    got = [tuple(r) for r in near_join.join(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3, 1, 2), (3, 3, 1, 2), (4, 4, 1, 2), (5, 4, 1, 2), (6, 6, 0, 1), (7, 7, 0, 1), (None, None, 0, 1)], key=str)
+    kept = near_join.keep_one(docs_of(rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "4", "6", "7", "None"]
+
+
+def test_near_join_recall_on_documents(spark):
+    """Measured recall of links against all pairs of the given documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    texts: dict = {}
+    for i, t in rows:
+        texts.setdefault(" ".join((t or "").lower().split()), []).append(i)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    at = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            at[g].append(k)
+    common = Counter((a, b) for ks in at.values() if len(ks) > 1 for x, a in enumerate(ks) for b in ks[x + 1 :])
+    sizes = [len(i) for i in texts.values()]
+    linked = [(a, b) for (a, b), n in common.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    want = sum(2 * sizes[a] * sizes[b] for a, b in linked) + sum(n * (n - 1) for n, s in zip(sizes, sets, strict=True) if s)
+    got = near_join.join(docs).agg(F.sum("n_links")).first()[0]
+    assert linked and 0.99 * want <= got <= want
 
 
 def test_components(spark):
@@ -113,3 +160,6 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["root"] for r in grouped.components(df).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+    hub = [(0, k) for k in range(1, 3000)] + [(k, 5000 + k) for k in range(1, 50)]
+    got = {r["node"]: r["root"] for r in grouped.components(spark.createDataFrame(hub, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 3049
