@@ -16,7 +16,7 @@ n-grams are frequent comes from a sample of ``SAMPLE`` places; there can be only
 are exact, over all documents, and are broadcast; a wrong guess would cost time and change no result. Places whose n-grams
 are all frequent are scored where they are.
 
-The exploded n-grams are many times the texts, so they are taken in ``SLICES`` ranges of the key's hash, one after
+The exploded n-grams are many times the texts, so they are taken in ``SLICES`` slices of the n-grams' hashes, one after
 another, each leaving one row for each document. This bounds the disk that shuffles need and leaves out nothing.
 
 Defined cases: words are lower-case and separated by white space, told apart by 64-bit hashes; null and empty texts have
@@ -41,18 +41,21 @@ from .words import WordHasher, mix
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Places in the sample that tells which n-grams are frequent, and the part of it that makes one so.
-SAMPLE = 1 << 20
-SHARE = 4_096
+SAMPLE = 1 << 22
+SHARE = 16_384
 SLICES = 8
 #: Words that a task looks at together.
 STEP = 1 << 18
+#: Terms are summed as two whole numbers of these units: large terms of opposite sign cancel exactly, in any order.
+WHOLE, PART = 1 << 20, 1 << 32
 #: Stand for what is before the first and after the last word.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 #: Bits of ``kind``.
 AHEAD, FIRST, SECOND, LAST = 1, 2, 4, 8
 
 WORDS = "doc_id long, n_tokens int, words array<long>"
-ASKED = "row long, key long, near long, far long, kind int, n_word long, n_pair long"
+BY_WORD = "row long, key long, near long, far long, kind int"
+BY_PAIR = "row long, key long, far long, kind int, n_word long, n_pair long"
 
 
 def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,37 +198,56 @@ def routed(p: Places, known: Known) -> Routed:
     return Routed(n_word, n_back, n_ahead, n_three, ~back_known, ~ahead_known)
 
 
-def asked(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Two rows a place: looking back, ``near`` is a and ``far`` c; looking ahead, ``near`` is c and ``far`` a.
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return (keys >> np.uint64(8)) % np.uint64(slices)
 
-    The key is the word if its count is unknown, else the 2-gram if that one's is, else the 3-gram; what the key
-    implies is left out of ``near`` and ``far``.
+
+def asked_by_word(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Two rows for each place of a word that isn't frequent: back, ``near`` is a and ``far`` c; ahead, ``near`` is c and ``far`` a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in places(batches):
+            on = np.flatnonzero(slice_of(p.b, slices) == slice_no)
+            on = on[known(p.b[on]) == 0]
+            if not len(on):
+                continue
+            kind = kinds(p, on)
+            for ahead, near, far in ((0, p.a, p.c), (AHEAD, p.c, p.a)):
+                yield batch_of(row=p.row[on], key=mix(p.b[on] ^ np.uint64(ahead)), near=near[on], far=far[on], kind=kind | np.int32(ahead))
+
+    return run
+
+
+def asked_by_pair(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """At most two rows for each place of a frequent word: back, by (a, b) with ``far`` c; ahead, by (b, c) with ``far`` a.
+
+    If the 2-gram is frequent too, the key is the 3-gram, and ``far`` is empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.uint64(0)
         for p in places(batches):
-            r = routed(p, known)
-            kind = p.first * FIRST + (p.at == 1) * SECOND + p.last * LAST
-            rare = r.n_word == 0
-            for ahead, wanted, pair, n_pair, near, far in ((0, r.ask_back, p.ab, r.n_back, p.a, p.c), (AHEAD, r.ask_ahead, p.bc, r.n_ahead, p.c, p.a)):
-                key = mix(np.where(rare, p.b, np.where(n_pair == 0, pair, p.abc)) ^ np.uint64(ahead + 1))
-                on = np.flatnonzero(wanted & ((key >> np.uint64(8)) % np.uint64(slices) == slice_no))
-                if len(on):
-                    by_word, by_pair = rare[on], n_pair[on] == 0
-                    yield batch_of(
-                        row=p.row[on],
-                        key=key[on],
-                        near=np.where(by_word, near[on], none),
-                        far=np.where(by_word | by_pair, far[on], none),
-                        kind=(kind[on] | ahead).astype(np.int32),
-                        n_word=r.n_word[on],
-                        n_pair=np.where(by_word, 0, n_pair[on]),
-                    )
+            frequent_word = known(p.b)
+            for ahead, pairs, ends, far in ((0, p.ab, p.first, p.c), (AHEAD, p.bc, p.last, p.a)):
+                on = np.flatnonzero((frequent_word > 0) & ~ends & (slice_of(pairs, slices) == slice_no))
+                if not len(on):
+                    continue
+                pair, three = pairs[on], p.abc[on]
+                n_pair = known(pair)
+                other = (p.last if ahead == 0 else p.first)[on]  # no 3-gram there
+                open_ = (n_pair == 0) | ~other & (known(three) == 0)
+                on, pair, three, n_pair = on[open_], pair[open_], three[open_], n_pair[open_]
+                rare = n_pair == 0
+                key = mix(np.where(rare, pair, three) ^ np.uint64(ahead + 1))
+                yield batch_of(row=p.row[on], key=key, far=np.where(rare, far[on], np.uint64(0)), kind=kinds(p, on) | np.int32(ahead), n_word=frequent_word[on], n_pair=n_pair)
 
     return run
 
 
+def kinds(p: Places, on: np.ndarray) -> np.ndarray:
+    at = p.at[on]
+    return ((at == 0) * FIRST + (at == 1) * SECOND + p.last[on] * LAST).astype(np.int32)
+
+
 def terms(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int, total: int) -> tuple[Column, Column]:
     """What a row adds to its document's score and number of full matches."""
     has = lambda bit: kind.bitwiseAND(bit) != 0
@@ -242,14 +264,24 @@ def terms(word: Column, pair: Column, three: Column, kind: Column, alpha: float,
     return F.when(has(AHEAD), ahead).otherwise(back), full.cast("long")
 
 
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``n1``, ``n2``, ..: how many have the same first key, the same first two, and so on."""
+    out = rows.repartition(keys[0]).sortWithinPartitions(*keys)
+    for k in range(len(keys)):
+        out = out.withColumn(f"n{k + 1}", F.count("*").over(Window.partitionBy(*keys[: k + 1])))
+    return out
+
+
 def answered(words: DataFrame, known: Known, slice_no: int, slices: int, alpha: float, min_count: int, total: int) -> DataFrame:
     """Sums by row of the questions of one slice."""
-    dealt = words.mapInArrow(asked(known, slice_no, slices), ASKED).repartition("key").sortWithinPartitions("key", "near", "far")
-    rows_of = lambda *keys: F.count("*").over(Window.partitionBy(*keys))
-    counted = dealt.withColumn("n1", rows_of("key")).withColumn("n2", rows_of("key", "near")).withColumn("n3", rows_of("key", "near", "far"))
-    pick = lambda given, seen: F.when(F.col(given) > 0, F.col(given)).otherwise(F.col(seen))
-    score, full = terms(pick("n_word", "n1"), pick("n_pair", "n2"), F.col("n3"), F.col("kind"), alpha, min_count, total)
-    return counted.select("row", score.alias("score"), full.alias("full")).groupBy("row").agg(F.sum(F.floor("score")).alias("whole"), F.sum(F.col("score") - F.floor("score")).alias("part"), F.sum("full").alias("full"))
+    value = lambda word, pair, three: [c.alias(n) for c, n in zip(terms(word, pair, three, F.col("kind"), alpha, min_count, total), ("score", "full"), strict=True)]
+    n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
+    by_word = counted(words.mapInArrow(asked_by_word(known, slice_no, slices), BY_WORD), "key", "near", "far").select("row", *value(n1, n2, n3))
+    pair = F.when(F.col("n_pair") > 0, F.col("n_pair")).otherwise(n1)
+    by_pair = counted(words.mapInArrow(asked_by_pair(known, slice_no, slices), BY_PAIR), "key", "far").select("row", *value(F.col("n_word"), pair, n2))
+    scaled = F.col("score") * float(WHOLE)
+    parts = (F.sum(F.floor(scaled)).alias("whole"), F.sum(F.floor((scaled - F.floor(scaled)) * float(PART))).alias("part"))
+    return by_word.unionByName(by_pair).groupBy("row").agg(*parts, F.sum("full").alias("full"))
 
 
 def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: int, total: int) -> DataFrame:
@@ -268,11 +300,12 @@ def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: in
             ahead = np.where(r.ask_ahead | p.last, 0.0, value)
             full = (~r.ask_back & p.first).astype(np.int64) + (~r.ask_ahead & (whole | p.first & paired))
             rows, place = np.unique(p.row, return_inverse=True)
-            value = back + ahead
+            value = (back + ahead) * WHOLE
             whole = np.floor(value)
-            yield batch_of(row=rows, whole=np.bincount(place, whole).astype(np.int64), part=np.bincount(place, value - whole), full=np.bincount(place, full).astype(np.int64))
+            part = np.floor((value - whole) * PART)
+            yield batch_of(row=rows, **{k: np.bincount(place, v).astype(np.int64) for k, v in (("whole", whole), ("part", part), ("full", full))})
 
-    return words.mapInArrow(run, "row long, whole long, part double, full long")
+    return words.mapInArrow(run, "row long, whole long, part long, full long")
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, slices: int = SLICES, sample: int = SAMPLE, share: int = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -285,8 +318,8 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, sli
     for k in range(slices):
         sums = sums.unionByName(written(answered(bare, known, k, slices, alpha, min_count, total), "ngram-sums"))
         released(docs.sparkSession)
-    # Whole parts are summed exactly: large terms of opposite sign cancel without a rest.
-    by_row = sums.groupBy("row").agg((F.sum("whole") + F.sum("part")).alias("score"), F.sum("full").alias("full"))
+    score_sum = (F.sum("whole") + F.sum("part") / float(PART)) / float(WHOLE)
+    by_row = sums.groupBy("row").agg(score_sum.alias("score"), F.sum("full").alias("full"))
     found = words.select("row", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).join(by_row, "row", "left")
     full = F.coalesce("full", F.lit(0)).cast("long")
     return found.select("doc_id", "n_tokens", F.coalesce("score", F.lit(0.0)).alias("log_score"), full.alias("n_full"), (F.col("n_tokens") - full).alias("n_backed_off"))
