@@ -100,11 +100,14 @@ def snippet(x: Column, words: list[str], width: int = 70) -> Column:
     return F.when(F.size(hits) == 0, F.replace(F.substring(x, 1, 2 * width), F.lit("\n"), F.lit(" "))).otherwise(found)
 
 
-def truncate(x: Column, most: int, marker: str = "\n[…]\n") -> Column:
-    """seven tenths of the room for the head, a mark, and the tail."""
+def truncate(x: Column, most: int, marker: str = " [...] ") -> Column:
+    """seven tenths of the room for the head, then a mark and the tail; without room for a tail only the first part."""
     head = int(most * 0.7)
-    tail = most - head
-    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, head), F.lit(marker), F.expr("''") if tail <= 0 else F.right(x, F.lit(tail))))
+    tail = most - head - len(marker)
+    if tail <= 0:
+        return F.substring(x, 1, most)
+    cut = F.concat(F.regexp_replace(F.substring(x, 1, head), r"\s+$", ""), F.lit(marker), F.regexp_replace(F.right(x, F.lit(tail)), r"^\s+", ""))
+    return F.when(F.length(x) <= most, x).otherwise(cut)
 
 
 def compress_blank_lines(x: Column) -> Column:

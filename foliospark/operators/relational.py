@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import overlaps
+from ..sources.shared import written
 
 
 def active(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
@@ -89,16 +91,38 @@ def cursor(*columns: Column) -> Column:
     return F.translate(F.base64(F.to_json(F.array(*(c.cast("string") for c in columns))).cast("binary")), "+/", "-_")
 
 
-def closure(spark, edges: DataFrame, node: str, parent: str) -> DataFrame:
-    """Every node with each of its ancestors and itself."""
-    edges.createOrReplaceTempView("__tree")
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, depth) AS (
-              SELECT {node}, {node}, 0 FROM __tree
-              UNION ALL
-              SELECT up.node, t.{parent}, up.depth + 1 FROM up JOIN __tree t ON up.ancestor = t.{node} WHERE t.{parent} IS NOT NULL)
-            SELECT node, ancestor, depth FROM up"""
-    )
+def with_marked_below(edges: DataFrame, marked: DataFrame, node: str, parent: str, rounds: int = 1_000) -> DataFrame:
+    """The marked nodes and all nodes above one, as (node).
+
+    ``edges`` holds each node with its parent. The marks climb one level a round, those that are new only, and each
+    round is written, so lineage stays short; the number of rounds is the height of the tree above the marks.
+    """
+    up = edges.where(F.col(parent).isNotNull()).select(F.col(node).alias("__node"), F.col(parent).alias("__parent"))
+    front = written(marked.select(F.col(node).alias("__node")).distinct(), "marks")
+    parts = [front]
+    for _ in range(rounds):
+        known = reduce(DataFrame.unionByName, parts)
+        front = written(up.join(front, "__node").select(F.col("__parent").alias("__node")).distinct().join(known, "__node", "left_anti"), "marks")
+        if front.isEmpty():
+            return known.select(F.col("__node").alias(node))
+        parts.append(front)
+    raise RuntimeError(f"the tree is higher than {rounds} levels, or has a cycle")
+
+
+def top_of(edges: DataFrame, node: str, parent: str, rounds: int = 64) -> DataFrame:
+    """Each node with the top node of its tree, as (node, top).
+
+    Every node points to its parent, then to its parent's parent, and so on: twice as far each round, so a tree of
+    height h takes log2(h) rounds. Each round is written. A top node is one without a parent.
+    """
+    now = written(edges.select(F.col(node).alias("__node"), F.coalesce(F.col(parent), F.col(node)).alias("__top")), "tops")
+    for _ in range(rounds):
+        further = now.select(F.col("__node").alias("__top"), F.col("__top").alias("__next"))
+        new = written(now.join(further, "__top", "left").select("__node", F.coalesce("__next", "__top").alias("__top"), (F.col("__next") != F.col("__top")).alias("__moved")), "tops")
+        now = new.drop("__moved")
+        if new.where("__moved").isEmpty():
+            return now.select(F.col("__node").alias(node), F.col("__top").alias("top"))
+    raise RuntimeError(f"the tree is higher than 2**{rounds} levels, or has a cycle")
 
 
 def stratified(df: DataFrame, stratum: str, id_column: str, most: int, seed: int) -> DataFrame:

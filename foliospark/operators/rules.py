@@ -115,13 +115,6 @@ def keyword_groups(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.map_filter(found, lambda _, v: F.size(v) > 0)
 
 
-def role_near(text: Column, at: Column, roles: dict[str, list[str]]) -> Column:
-    """the role word nearest in front of a place, else neutral."""
-    before = F.lower(F.substring(text, 1, 100_000).substr(F.lit(1), F.greatest(at - 1, F.lit(0))))
-    hits = F.filter(F.array(*(F.struct((F.length(before) - F.locate(w[::-1], F.reverse(before))).alias("p"), F.lit(r).alias("role"), (F.locate(w[::-1], F.reverse(before)) > 0).alias("hit")) for r, ws in roles.items() for w in ws)), lambda h: h["hit"])
-    return F.coalesce(F.array_max(hits)["role"], F.lit("neutral"))
-
-
 def gazetteer_hits(pages: DataFrame, streets: DataFrame) -> DataFrame:
     """Streets of a dictionary in page texts, by an equi-join on tokens with a check of the house number.
 

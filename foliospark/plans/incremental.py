@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh
 from ..streaming import incremental
 from .base import C, Catalogue, table
 
@@ -38,10 +37,8 @@ def debounce(spark, sf_dir):
 
 @cat.query("stream_windowed_counts", "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed(spark, sf_dir):
-    """A stream over the events files, driven to its end; complete mode, so all windows are there."""
-    name = f"windowed_{uuid.uuid4().hex}"
+    """A stream over the events files, driven to its end."""
     source = table(spark, sf_dir, "events")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
     feed = incremental.file_feed(spark, f"{sf_dir}/events*.parquet", source.schema).withColumn("ts", C("ts").cast("timestamp"))
-    incremental.run_available(incremental.windowed_counts(feed, "ts", "event_type", "1 day", "31 days"), name, f"{base}/{name}", "complete")
-    return spark.table(name).select(F.unix_micros("window.start").alias("start_us"), "event_type", "n")
+    counts = incremental.windowed_counts(feed, "ts", "event_type", "1 day", "31 days").select(F.unix_micros("window.start").alias("start_us"), "event_type", "n")
+    return incremental.run_available(counts, fresh(spark, "windowed"), ["start_us", "event_type"])

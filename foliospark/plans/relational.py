@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence, labels, periods
+from ..operators import pages
 from ..operators import relational as op
 from .base import C, Catalogue, table
 
@@ -158,16 +159,16 @@ TREE = "WITH RECURSIVE up(node, ancestor) AS (SELECT p_partkey, p_partkey FROM p
 def empty_folders(spark, sf_dir):
     """Folders without kept or protected descendants."""
     parts = table(spark, sf_dir, "part")
-    tree = op.closure(spark, parts.select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent")), "node", "parent")
+    tree = parts.select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent"))
     kept = parts.where((C("p_size") > 30) | (C("p_brand") == "Brand#11")).select(C("p_partkey").alias("node"))
-    return parts.select(C("p_partkey").alias("node")).join(tree.join(kept, "node").select(C("ancestor").alias("node")).distinct(), "node", "left_anti")
+    return parts.select(C("p_partkey").alias("node")).join(op.with_marked_below(tree, kept, "node", "parent"), "node", "left_anti")
 
 
 @cat.query("y23_s33_tree_digest", TREE + "SELECT ancestor AS root, count(*) AS files, sha256(string_agg(CAST(node AS VARCHAR), chr(10) ORDER BY CAST(node AS VARCHAR))) AS digest FROM up WHERE ancestor < 7 GROUP BY 1")
 def tree_digest(spark, sf_dir):
     """Number of descendants and a digest over their sorted ids."""
-    tree = op.closure(spark, table(spark, sf_dir, "part").select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent")), "node", "parent")
-    return tree.where(C("ancestor") < 7).groupBy(C("ancestor").alias("root")).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(C("node").cast("string"))), "\n"), 256).alias("digest"))
+    tree = table(spark, sf_dir, "part").select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent"))
+    return op.top_of(tree, "node", "parent").groupBy(C("top").alias("root")).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(C("node").cast("string"))), "\n"), 256).alias("digest"))
 
 
 @cat.query("j26_w06_owner_groups", SPANS + "SELECT id, dense_rank() OVER (PARTITION BY unit ORDER BY valid_to IS NULL DESC, valid_from, coalesce(valid_to, DATE '9999-12-31')) AS grp FROM spans")
@@ -177,12 +178,12 @@ def owner_groups(spark, sf_dir):
     return spans(spark, sf_dir).select("id", F.dense_rank().over(w).alias("grp"))
 
 
-@cat.query("j25_owner_decision_table", SPANS + "SELECT u.unit, u.y, count(DISTINCT s.owner) AS owners, CASE WHEN count(DISTINCT s.owner) = 0 THEN 'no_owner' WHEN count(DISTINCT s.owner) = 1 THEN 'link' WHEN count(DISTINCT s.valid_from) = 1 THEN 'link_group' ELSE 'case' END AS outcome FROM (SELECT DISTINCT unit, y FROM spans, (VALUES (1995), (1996), (2030)) t(y)) u LEFT JOIN spans s ON s.unit = u.unit AND s.valid_from <= make_date(u.y, 1, 15) AND (s.valid_to IS NULL OR s.valid_to >= make_date(u.y, 1, 1)) AND s.id % 50 = 0 GROUP BY 1, 2")
+@cat.query("j25_owner_decision_table", SPANS + "SELECT u.unit, u.y, count(DISTINCT s.owner) AS owners, CASE WHEN count(DISTINCT s.owner) = 0 THEN 'no_owner' WHEN count(DISTINCT s.owner) = 1 THEN 'link' WHEN count(DISTINCT s.valid_from) = 1 THEN 'link_group' ELSE 'case' END AS outcome FROM (SELECT DISTINCT unit, y FROM spans, (VALUES (1995), (1996), (2030)) t(y)) u LEFT JOIN spans s ON s.unit = u.unit AND s.valid_from <= make_date(u.y, 1, 15) AND (s.valid_to IS NULL OR s.valid_to >= make_date(u.y, 1, 1)) GROUP BY 1, 2")
 def owner_decisions(spark, sf_dir):
     """From units and a period to a link, a group of links or a case."""
     s = spans(spark, sf_dir)
     asked = s.select("unit").distinct().withColumn("y", F.explode(F.array(*map(F.lit, (1995, 1996, 2030)))))
-    hits = op.touching(asked.withColumns({"a": F.make_date("y", F.lit(1), F.lit(1)), "b": F.make_date("y", F.lit(1), F.lit(15))}), s.where(C("id") % 50 == 0), ["unit"], ("a", "b", "valid_from", "valid_to"))
+    hits = op.touching(asked.withColumns({"a": F.make_date("y", F.lit(1), F.lit(1)), "b": F.make_date("y", F.lit(1), F.lit(15))}), s, ["unit"], ("a", "b", "valid_from", "valid_to"))
     counted = hits.groupBy("unit", "y").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("valid_from").alias("starts"))
     n = F.coalesce("owners", F.lit(0))
     return asked.join(counted, ["unit", "y"], "left").select("unit", "y", n.alias("owners"), F.when(n == 0, "no_owner").when(n == 1, "link").when(C("starts") == 1, "link_group").otherwise("case").alias("outcome"))
@@ -217,21 +218,51 @@ def event_islands(spark, sf_dir):
     return op.islands(table(spark, sf_dir, "events").select("user_id", F.floor(C("event_id") / 40).alias("d")).distinct(), ["user_id"], "d")
 
 
-@cat.query("s14_column_bounds", "WITH w AS (SELECT user_id % 20 AS page, event_id % 900 AS x0, event_id % 900 + 6 AS x1 FROM events WHERE event_id % 41 = 0), f AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 9 THEN 1 ELSE 0 END AS gap, max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w) SELECT page, (before + x0) / 2 AS bound FROM f WHERE gap = 1")
+@cat.query("s14_column_bounds", "WITH w AS (SELECT event_id // 64 AS page, event_id * 37 % 900 AS x0, event_id * 37 % 900 + 6 AS x1 FROM events), f AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 9 THEN 1 ELSE 0 END AS gap, max(x1) OVER (PARTITION BY page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w) SELECT page, (before + x0) / 2 AS bound FROM f WHERE gap = 1")
 def column_bounds(spark, sf_dir):
     """Middles of the gaps between the columns of a page's words."""
     from ..sources.tables import column_bounds as bounds
 
-    e = table(spark, sf_dir, "events").where(C("event_id") % 41 == 0)
-    return bounds(e.select((C("user_id") % 20).alias("page"), (C("event_id") % 900).alias("x0"), (C("event_id") % 900 + 6).alias("x1")), "page", 9)
+    e = table(spark, sf_dir, "events")
+    left = C("event_id") * 37 % 900
+    return bounds(e.select(F.floor(C("event_id") / 64).alias("page"), left.alias("x0"), (left + 6).alias("x1")), "page", 9)
 
 
-@cat.query("p15_w05_repeated_lines", "WITH l AS (SELECT conv_id, turn, substr(text, 1, 3) AS line FROM conversations), c AS (SELECT conv_id, line, count(*) AS n FROM l GROUP BY ALL) SELECT l.conv_id, l.turn, (n >= 2 AND l.turn > 1) AS dropped, (l.turn <= 2 OR l.turn = max(l.turn) OVER (PARTITION BY l.conv_id)) AS chosen FROM l JOIN c USING (conv_id, line)")
+# Turns as pages: a heading that some share, the text with its sentences as lines, and a footer.
+TURN_PAGE = "concat(CASE WHEN turn % 3 < 2 THEN concat('Akte ', CAST(conv_id AS STRING), chr(10)) ELSE '' END, replace(coalesce(text, ''), '. ', concat('.', chr(10))), chr(10), 'Seite ', CAST(turn % 2 AS STRING))"
+STRIPPED = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+
+
+@cat.query("w05_repeated_lines", f"""
+    WITH p AS (SELECT conv_id, turn, string_split({STRIPPED.format(x=TURN_PAGE)}, chr(10)) AS lines FROM conversations),
+    e AS (SELECT conv_id, 0 AS side, trim(lines[1]) AS line FROM p UNION ALL SELECT conv_id, 1, trim(lines[-1]) FROM p),
+    o AS (SELECT conv_id, list(DISTINCT line) AS often FROM (SELECT conv_id, side, line FROM e WHERE line <> '' GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1),
+    k AS (SELECT p.conv_id, p.turn, lines, CASE WHEN p.turn = min(p.turn) OVER (PARTITION BY p.conv_id) THEN lines ELSE list_filter(lines, lambda x: NOT coalesce(list_contains(often, trim(x)), false)) END AS kept FROM p LEFT JOIN o USING (conv_id))
+    SELECT conv_id, turn, coalesce(array_to_string(kept, chr(10)), '') AS text, len(lines) - len(kept) AS dropped FROM k""")
 def repeated_lines(spark, sf_dir):
-    """Lines that several pages share stay on the first; the first pages and the last are chosen."""
-    c = table(spark, sf_dir, "conversations").withColumn("line", F.substring("text", 1, 3))
-    n = F.count("*").over(Window.partitionBy("conv_id", "line"))
-    return c.select("conv_id", "turn", ((n >= 2) & (C("turn") > 1)).alias("dropped"), ((C("turn") <= 2) | (C("turn") == F.max("turn").over(Window.partitionBy("conv_id")))).alias("chosen"))
+    """First and last lines that three or more pages share stay on the first page only."""
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{TURN_PAGE} AS text")
+    return pages.without_repeated_lines(c, "conv_id", "turn", "text")
+
+
+@cat.query("p15_chosen_pages", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE n <= 3 OR turn = last")
+def chosen_pages(spark, sf_dir):
+    return pages.chosen_pages(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@cat.query("f68_excerpts", f"""
+    WITH c AS (SELECT conv_id, turn, {TURN_PAGE} AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE n <= 3 OR turn = last),
+    p AS (SELECT conv_id, turn, string_split({STRIPPED.format(x="text")}, chr(10)) AS lines FROM c),
+    e AS (SELECT conv_id, 0 AS side, trim(lines[1]) AS line FROM p UNION ALL SELECT conv_id, 1, trim(lines[-1]) FROM p),
+    o AS (SELECT conv_id, list(DISTINCT line) AS often FROM (SELECT conv_id, side, line FROM e WHERE line <> '' GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1),
+    k AS (SELECT p.conv_id, p.turn, CASE WHEN p.turn = min(p.turn) OVER (PARTITION BY p.conv_id) THEN lines ELSE list_filter(lines, lambda x: NOT coalesce(list_contains(often, trim(x)), false)) END AS kept FROM p LEFT JOIN o USING (conv_id)),
+    t AS (SELECT conv_id, turn, {STRIPPED.format(x="regexp_replace(coalesce(array_to_string(kept, chr(10)), ''), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS text FROM k),
+    j AS (SELECT conv_id, string_agg(text, chr(10) || chr(12) ORDER BY turn) AS body FROM t GROUP BY 1)
+    SELECT conv_id, CASE WHEN length(body) <= 600 THEN body ELSE regexp_replace(substr(body, 1, 420), '\\s+$', '') || ' [...] ' || regexp_replace(substr(body, length(body) - 172), '^\\s+', '') END AS excerpt FROM j""")
+def excerpts(spark, sf_dir):
+    """one excerpt for each conversation, at most 600 characters."""
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{TURN_PAGE} AS text")
+    return pages.excerpts(c, "conv_id", "turn", "text", max_chars=600)
 
 
 @cat.query("w08_header_row", "SELECT user_id, min_by(event_id, (-h, event_id)) AS header FROM (SELECT user_id, event_id, CAST(event_type IN ('click', 'view') AS INT) + CAST(value > 50 AS INT) + CAST(event_id % 2 = 0 AS INT) AS h FROM events) GROUP BY 1")
@@ -248,10 +279,11 @@ def first_entity(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by(F.when(long_, C("role")), F.when(long_, C("turn"))).alias("first_role"), F.min(F.when(long_, C("turn"))).alias("first_turn"))
 
 
-@cat.query("t01_y25_natural_order", "SELECT label, row_number() OVER (ORDER BY n, label) AS place FROM (SELECT 'WE ' || p_partkey AS label, p_partkey AS n FROM part WHERE p_size = 7)")
+@cat.query("t01_y25_natural_order", "SELECT label, row_number() OVER (PARTITION BY p_brand ORDER BY n, label) AS place FROM (SELECT p_brand, 'WE ' || p_partkey AS label, p_partkey AS n FROM part)")
 def natural_order(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where(C("p_size") == 7).select(F.concat(F.lit("WE "), C("p_partkey").cast("string")).alias("label"))
-    return p.withColumn("place", F.row_number().over(Window.orderBy(labels.natural_key(C("label")))))
+    """The units of each object in natural order."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("WE "), C("p_partkey").cast("string")).alias("label"))
+    return p.select("label", F.row_number().over(Window.partitionBy("p_brand").orderBy(labels.natural_key(C("label")))).alias("place"))
 
 
 @cat.query("t02_t04_open_items", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority <> '1-URGENT', o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 200")
@@ -323,10 +355,10 @@ def samples(spark, sf_dir):
     return s.withColumn("any_review", F.max("review").over(Window.partitionBy("doc_id"))).where("review = any_review").select("doc_id", "label")
 
 
-@cat.query("d13_m03_additional_addresses", "SELECT DISTINCT s_suppkey % 50 AS num, s_nationkey AS street FROM supplier WHERE (s_suppkey % 50, s_nationkey) NOT IN (SELECT c_custkey % 50, c_nationkey FROM customer WHERE c_custkey % 4 = 0)")
+@cat.query("d13_m03_additional_addresses", "SELECT DISTINCT s_suppkey AS num, s_nationkey AS street FROM supplier WHERE (s_suppkey, s_nationkey) NOT IN (SELECT c_custkey, c_nationkey FROM customer)")
 def additional(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select((C("s_suppkey") % 50).alias("num"), C("s_nationkey").alias("street")).distinct()
-    return s.join(table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select((C("c_custkey") % 50).alias("num"), C("c_nationkey").alias("street")), ["num", "street"], "left_anti")
+    s = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("num"), C("s_nationkey").alias("street")).distinct()
+    return s.join(table(spark, sf_dir, "customer").select(C("c_custkey").alias("num"), C("c_nationkey").alias("street")), ["num", "street"], "left_anti")
 
 
 @cat.query("a26_stratified_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(concat_ws(':', '42', CAST(doc_id AS VARCHAR))), doc_id) AS n FROM documents) WHERE n <= 5")
@@ -346,10 +378,10 @@ def current_owners(spark, sf_dir):
     return s.groupBy("unit", "owner").agg(F.min("valid_from").cast("string").alias("since"))
 
 
-@cat.query("y14_overview", "SELECT n_name, r_name, row_number() OVER (ORDER BY r_name IS NULL, n_nationkey, n_name) AS place FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey")
+@cat.query("y14_overview", "SELECT n_name, r_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, n_name) AS place FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey")
 def overview(spark, sf_dir):
     j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where("r_regionkey < 3"), C("n_regionkey") == C("r_regionkey"), "left")
-    return j.select("n_name", "r_name", F.row_number().over(Window.orderBy(C("r_name").isNull(), "n_nationkey", "n_name")).alias("place"))
+    return j.select("n_name", "r_name", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey", "n_name")).alias("place"))
 
 
 @cat.query("p05_p07_object_search", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE (c_custkey = 77 OR lower(c_mktsegment) LIKE '%build%') AND o_orderstatus <> 'P' AND c_nationkey NOT IN (3, 4)")

@@ -31,39 +31,12 @@ cat.scalar(
     {"street": lambda: cells.split_street(C("raw"))["street"], "number": lambda: cells.split_street(C("raw"))["number"], "confidence": lambda: cells.split_street(C("raw"))["confidence"]},
     {"street": "CASE WHEN regexp_matches(raw, '[0-9]') THEN trim(regexp_extract(raw, '^([^0-9]+)', 1), ' ,') ELSE raw END", "number": "replace(regexp_extract(raw, '([0-9].*)$', 1), ' ', '')", "confidence": "CASE WHEN regexp_matches(raw, '[0-9]') THEN 0.95 ELSE 0.6 END::DOUBLE"},
 )
-cat.scalar(
-    "f11_classify_phone", "customer", {"k": "c_custkey", "raw": "CASE c_custkey % 4 WHEN 0 THEN concat('+49 151 ', CAST(c_custkey * 977 + 100000 AS STRING)) WHEN 1 THEN concat('030/', CAST(c_custkey + 100000 AS STRING)) WHEN 2 THEN concat('0', CAST(c_custkey % 90 AS STRING)) ELSE '' END"},
-    {"kind": lambda: cells.classify_phone(C("raw"))["kind"], "confidence": lambda: cells.classify_phone(C("raw"))["confidence"]},
-    {"kind": "CASE c_k % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'phone' END".replace("c_k", "k"), "confidence": "CASE k % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.9 WHEN 2 THEN 0.4 ELSE 0.0 END::DOUBLE"},
-)
 cat.scalar(
     "f12_normalize_email", "customer", {"k": "c_custkey", "raw": "CASE c_custkey % 3 WHEN 0 THEN concat(' ', c_name, '@Mail.Example ') WHEN 1 THEN concat('Person', CAST(c_custkey AS STRING), '@HAUS.example') ELSE c_name END"},
     {"value": lambda: cells.normalize_email(C("raw"))["value"], "reason": lambda: cells.normalize_email(C("raw"))["reason"]},
     {"value": "lower(trim(raw))", "reason": "CASE WHEN NOT regexp_matches(lower(trim(raw)), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'unparseable_email' END"},
 )
-cat.scalar(
-    "f13_parse_date", "lineitem",
-    {"k": LINE, "y": "year(l_shipdate)", "m": "month(l_shipdate)", "d": "day(l_shipdate)", "raw": "CASE l_orderkey % 7 WHEN 0 THEN concat(CAST(day(l_shipdate) AS STRING), '.', CAST(month(l_shipdate) AS STRING), '.', CAST(year(l_shipdate) AS STRING)) WHEN 1 THEN concat(CAST(year(l_shipdate) AS STRING), '-', lpad(CAST(month(l_shipdate) AS STRING), 2, '0'), '-', lpad(CAST(day(l_shipdate) AS STRING), 2, '0')) WHEN 2 THEN concat(CAST(day(l_shipdate) AS STRING), '/', CAST(month(l_shipdate) AS STRING), '/', CAST(year(l_shipdate) AS STRING)) WHEN 3 THEN concat(CAST(month(l_shipdate) AS STRING), '/', CAST(year(l_shipdate) AS STRING)) WHEN 4 THEN CAST(year(l_shipdate) AS STRING) WHEN 5 THEN concat(CAST(day(l_shipdate) AS STRING), '.', CAST(month(l_shipdate) AS STRING), '.', lpad(CAST(year(l_shipdate) % 100 AS STRING), 2, '0')) ELSE '31.2.1995' END"},
-    {"value": lambda: cells.parse_date(C("raw"))["value"].cast("string"), "confidence": lambda: cells.parse_date(C("raw"))["confidence"], "reason": lambda: cells.parse_date(C("raw"))["reason"]},
-    {"value": "CASE ((k - k % 8) // 8) % 7 WHEN 3 THEN make_date(y, m, 1) WHEN 4 THEN make_date(y, 1, 1) WHEN 6 THEN NULL ELSE make_date(y, m, d) END::VARCHAR", "confidence": "CASE ((k - k % 8) // 8) % 7 WHEN 3 THEN 0.6 WHEN 4 THEN 0.5 WHEN 6 THEN 0.0 ELSE 0.95 END::DOUBLE", "reason": "CASE ((k - k % 8) // 8) % 7 WHEN 3 THEN 'day_assumed_first' WHEN 4 THEN 'year_only' WHEN 6 THEN 'unparseable_date' END"},
-)
 cat.scalar("f14_parse_amount", "lineitem", {"k": LINE, "raw": AMOUNT}, {"value": lambda: cells.parse_amount(C("raw"))["value"], "reason": lambda: cells.parse_amount(C("raw"))["reason"]}, {"value": f"({duck_amount('raw')})", "reason": f"CASE WHEN raw = '' THEN 'empty' WHEN ({duck_amount('raw')}) IS NULL THEN 'unparseable_amount' END"})
-cat.scalar(
-    "f15_parse_postal_code", "lineitem", {"k": LINE, "raw": f"CASE {N} % 4 WHEN 0 THEN CAST(1000 + {N} % 9000 AS STRING) WHEN 1 THEN CAST(10000 + {N} % 90000 AS STRING) WHEN 2 THEN concat('D-', CAST(10000 + {N} % 90000 AS STRING)) ELSE concat('Postfach ', CAST({N} % 1000 AS STRING), ' Nord') END"},
-    {"value": lambda: cells.parse_postal_code(C("raw"))["value"], "confidence": lambda: cells.parse_postal_code(C("raw"))["confidence"]},
-    {"value": "CASE WHEN regexp_matches(raw, '^[0-9]{4}$') THEN concat('0', raw) WHEN length(regexp_replace(raw, '[^0-9]', '', 'g')) = 5 THEN regexp_replace(raw, '[^0-9]', '', 'g') ELSE substr(raw, 1, 10) END", "confidence": "CASE WHEN regexp_matches(raw, '^[0-9]{4}$') THEN 0.7 WHEN length(regexp_replace(raw, '[^0-9]', '', 'g')) = 5 THEN 0.95 ELSE 0.5 END::DOUBLE"},
-)
-cat.scalar("f16_country", "customer", {"k": "c_custkey", "raw": "CASE c_custkey % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'Deutschland' WHEN 2 THEN 'Schweiz' WHEN 3 THEN 'Atlantis' ELSE ' a. ' END"}, {"iso": lambda: cells.country_iso2(C("raw"))["value"]}, {"iso": "CASE k % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'DE' WHEN 2 THEN 'CH' WHEN 4 THEN 'AT' END"})
-cat.scalar(
-    "f17_parse_fraction", "lineitem", {"k": LINE, "raw": f"CASE {N} % 4 WHEN 0 THEN concat(CAST({N} % 500 AS STRING), '/10000') WHEN 1 THEN concat(CAST({N} % 500 AS STRING), ',5 / 1000') WHEN 2 THEN CAST({N} % 900 AS STRING) ELSE 'x/y' END", "n": N},
-    {"numerator": lambda: cells.parse_fraction(C("raw"))["numerator"], "base": lambda: cells.parse_fraction(C("raw"))["base"], "confidence": lambda: cells.parse_fraction(C("raw"))["confidence"]},
-    {"numerator": "CASE n % 4 WHEN 0 THEN CAST(n % 500 AS DECIMAL(18,2)) WHEN 1 THEN CAST(n % 500 AS DECIMAL(18,2)) + 0.5 WHEN 2 THEN CAST(n % 900 AS DECIMAL(18,2)) END", "base": "CASE n % 4 WHEN 0 THEN 10000 WHEN 1 THEN 1000 END", "confidence": "CASE n % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.7 ELSE 0.0 END::DOUBLE"},
-)
-cat.scalar("f18_parse_bool", "customer", {"k": "c_custkey", "raw": "CASE c_custkey % 5 WHEN 0 THEN 'Ja' WHEN 1 THEN ' nein ' WHEN 2 THEN 'X' WHEN 3 THEN '' ELSE 'vielleicht' END"}, {"value": lambda: cells.parse_bool(C("raw"))["value"], "confidence": lambda: cells.parse_bool(C("raw"))["confidence"]}, {"value": "CASE k % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END", "confidence": "CASE k % 5 WHEN 3 THEN 0.0 WHEN 4 THEN 0.3 ELSE 0.9 END::DOUBLE"})
-DEPOSITS = {"cash": ["bar", "überweisung"], "guarantee": ["bürgschaft"], "savings": ["sparbuch"]}
-cat.scalar("f21_deposit_type", "customer", {"k": "c_custkey", "raw": "CASE c_custkey % 5 WHEN 0 THEN 'Barkaution' WHEN 1 THEN 'Bankbürgschaft' WHEN 2 THEN 'SPARBUCH' WHEN 3 THEN '' ELSE 'Pfand' END"}, {"kind": lambda: cells.deposit_type(C("raw"), DEPOSITS)}, {"kind": "CASE k % 5 WHEN 0 THEN 'cash' WHEN 1 THEN 'guarantee' WHEN 2 THEN 'savings' WHEN 4 THEN 'unknown' END"})
-cat.scalar("f22_rent_adjustment", "customer", {"k": "c_custkey", "raw": "CASE c_custkey % 5 WHEN 0 THEN 'Staffelmiete' WHEN 1 THEN 'Indexmiete' WHEN 2 THEN 'keine' WHEN 3 THEN '-' ELSE 'nach Lage' END"}, {"kind": lambda: cells.rent_adjustment(C("raw"))}, {"kind": "CASE k % 5 WHEN 0 THEN 'graduated' WHEN 1 THEN 'indexed' WHEN 2 THEN 'none' WHEN 3 THEN 'none' ELSE 'unknown' END"})
-cat.scalar("p12_looks_like_total", "part", {"k": "p_partkey", "raw": "CASE p_partkey % 4 WHEN 0 THEN ';Summe;100' WHEN 1 THEN 'Gesamt;;' WHEN 2 THEN ';;' ELSE concat(p_name, ';1') END"}, {"total_row": lambda: cells.looks_like_total(F.split(C("raw"), ";"))}, {"total_row": "k % 4 IN (0, 1)"})
 cat.scalar("s05_cell_text", "lineitem", {"k": LINE, "q": "l_quantity", "t": "l_tax", "d": "CAST(l_shipdate AS DATE)", "b": "l_quantity > 25"}, {"q": lambda: cells.cell_text(C("q"), "double"), "d": lambda: cells.cell_text(C("d"), "date"), "b": lambda: cells.cell_text(C("b"), "boolean"), "t": lambda: cells.cell_text(C("t"), "double")}, {"q": "CASE WHEN q = floor(q) THEN CAST(CAST(q AS BIGINT) AS VARCHAR) ELSE replace(CAST(q AS VARCHAR), '.', ',') END", "d": "strftime(d, '%d.%m.%Y')", "b": "CASE WHEN b THEN 'ja' ELSE 'nein' END", "t": "CASE WHEN t = floor(t) THEN CAST(CAST(t AS BIGINT) AS VARCHAR) ELSE replace(CAST(t AS VARCHAR), '.', ',') END"})
 
 # ---- text
@@ -84,9 +57,9 @@ cat.scalar("f72_search_name", "customer", {"k": "c_custkey", "kind": "CASE c_cus
 cat.scalar("f64_umlaut_variants", "customer", {"k": "c_custkey", "x": "CASE c_custkey % 4 WHEN 0 THEN 'mueller' WHEN 1 THEN 'straße' WHEN 2 THEN 'aeoeue' ELSE 'haus' END"}, {"y": lambda: F.array_join(text.umlaut_variants(C("x")), "|")}, {"y": "CASE k % 4 WHEN 0 THEN 'mueller|müller' WHEN 1 THEN 'strasse|straße' WHEN 2 THEN 'aeoeue|aeoeü|aeöue|äoeue' ELSE 'haus' END"})
 cat.scalar("f65_fulltext", "documents", DOC, {"hit": lambda: text.contains_all(F.split(F.lower(C("x")), "[^a-zà-ÿ]+"), F.array(F.array(F.lit("the"), F.lit("der")), F.array(F.lit("and"), F.lit("und"))))}, {"hit": "len(list_intersect(regexp_split_to_array(lower(x), '[^a-zà-ÿ]+'), ['the', 'der'])) > 0 AND len(list_intersect(regexp_split_to_array(lower(x), '[^a-zà-ÿ]+'), ['and', 'und'])) > 0"})
 cat.scalar("f66_snippet", "documents", DOC, {"y": lambda: F.sha2(text.snippet(C("x"), ["zwei", "that", "que"]), 256)}, {"y": "sha256((SELECT CASE WHEN p IS NULL THEN replace(substr(x, 1, 140), chr(10), ' ') ELSE concat(CASE WHEN p > 71 THEN '…' ELSE '' END, replace(substr(x, greatest(1, p - 70), least(length(x), p - 1 + 70) - greatest(0, p - 71)), chr(10), ' '), CASE WHEN p - 1 + 70 < length(x) THEN '…' ELSE '' END) END FROM (SELECT list_min(list_filter([instr(lower(x), 'zwei'), instr(lower(x), 'that'), instr(lower(x), 'que')], lambda q: q > 0)) AS p)))"})
-cat.scalar("f67_truncate", "documents", DOC, {"y": lambda: F.sha2(text.truncate(C("x"), 1000), 256)}, {"y": "sha256(CASE WHEN length(x) <= 1000 THEN x ELSE concat(substr(x, 1, 700), chr(10), '[…]', chr(10), right(x, 300)) END)"})
-cat.scalar("f69_compress_blank_lines", "documents", {"k": "doc_id", "x": "concat(substr(text, 1, 50), '\n\n\n\n', substr(text, 51, 50), '\n ')"}, {"y": lambda: text.compress_blank_lines(C("x"))}, {"y": "trim(regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g'), concat(' ', chr(10), chr(9)))"})
-cat.scalar("f62_f63_email_subject", "conversations", {"k": "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))", "x": "concat(CASE turn % 4 WHEN 0 THEN 'AW: WG: ' WHEN 1 THEN '[extern] Re[2]: ' WHEN 2 THEN 'Fwd:' ELSE '' END, substr(text, 1, 40))"}, {"subject": lambda: text.clean_subject(C("x")), "title": lambda: text.email_title(C("x"), ".eml")}, {"subject": "trim(regexp_replace(x, '(?i)^(\\s*(\\[[^\\]]*\\])?\\s*(aw|wg|re|fwd|fw|antw|antwort)\\s*(\\[[0-9]+\\])?\\s*:\\s*)+', ''))", "title": "nullif(concat(rtrim(substr(trim(trim(trim(regexp_replace(regexp_replace(trim(regexp_replace(x, '(?i)^(\\s*(\\[[^\\]]*\\])?\\s*(aw|wg|re|fwd|fw|antw|antwort)\\s*(\\[[0-9]+\\])?\\s*:\\s*)+', '')), '[\\\\/:*?\"<>|]', '', 'g'), '\\s+', ' ', 'g')), '.')), 1, 120)), '.eml'), '.eml')"})
+cat.scalar("f67_truncate", "documents", DOC, {"y": lambda: F.sha2(text.truncate(C("x"), 1000), 256)}, {"y": "sha256(CASE WHEN length(x) <= 1000 THEN x ELSE concat(regexp_replace(substr(x, 1, 700), '\\s+$', ''), ' [...] ', regexp_replace(right(x, 293), '^\\s+', '')) END)"})
+cat.scalar("f69_compress_blank_lines", "documents", {"k": "doc_id", "x": "concat(replace(replace(text, '. ', '.\n\n\n\n'), ', ', ',\n\n'), '\n ')"}, {"y": lambda: text.compress_blank_lines(C("x"))}, {"y": "trim(regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g'), concat(' ', chr(10), chr(9)))"})
+cat.scalar("f62_f63_email_subject", "conversations", {"k": "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))", "x": "concat(CASE turn % 4 WHEN 0 THEN 'AW: WG: ' WHEN 1 THEN '[extern] Re[2]: ' WHEN 2 THEN 'Fwd:' ELSE '' END, text)"}, {"subject": lambda: text.clean_subject(C("x")), "title": lambda: text.email_title(C("x"), ".eml")}, {"subject": "trim(regexp_replace(x, '(?i)^(\\s*(\\[[^\\]]*\\])?\\s*(aw|wg|re|fwd|fw|antw|antwort)\\s*(\\[[0-9]+\\])?\\s*:\\s*)+', ''))", "title": "nullif(concat(rtrim(substr(trim(trim(trim(regexp_replace(regexp_replace(trim(regexp_replace(x, '(?i)^(\\s*(\\[[^\\]]*\\])?\\s*(aw|wg|re|fwd|fw|antw|antwort)\\s*(\\[[0-9]+\\])?\\s*:\\s*)+', '')), '[\\\\/:*?\"<>|]', '', 'g'), '\\s+', ' ', 'g')), '.')), 1, 120)), '.eml'), '.eml')"})
 cat.scalar("f70_coerce_code", "lineitem", {"k": LINE, "x": "CASE l_linenumber % 4 WHEN 0 THEN '05' WHEN 1 THEN '03 Verträge' WHEN 2 THEN 'none' ELSE ' 07-x' END"}, {"y": lambda: text.coerce_code(C("x"), ["03", "05", "07"])}, {"y": "CASE (k % 8) % 4 WHEN 0 THEN '05' WHEN 1 THEN '03' WHEN 3 THEN '07' END"})
 cat.scalar("f76_cap_text", "documents", DOC, {"n": lambda: F.length(F.substring(C("x"), 1, 2000))}, {"n": "least(length(x), 2000)"})
 cat.scalar("f77_template", "customer", {"k": "c_custkey", "a": "c_name", "b": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END"}, {"y": lambda: text.filled("{a} / {b}: {a}", {"a": C("a"), "b": C("b")})}, {"y": "concat(a, ' / ', coalesce(b, ''), ': ', a)"})
@@ -102,10 +75,6 @@ REST = f"(CAST(concat(substr({DUCK_IBAN}, 5), '1314', substr({DUCK_IBAN}, 3, 2))
 cat.scalar("f02_normalize_iban", "customer", {"k": "c_custkey", "x": "concat('de', lpad(CAST(c_custkey % 97 AS STRING), 2, 'O'), ' ', CAST(c_custkey * 7919 + 370400440000000000 AS STRING))"}, {"y": lambda: bank.normalize_iban(C("x"))}, {"y": DUCK_IBAN})
 cat.scalar("f03_mod97", "customer", {"k": "c_custkey", "x": "concat('DE', lpad(CAST(c_custkey % 97 + 2 AS STRING), 2, '0'), CAST((c_custkey - c_custkey % 97) * 7919 + 370400440000000000 AS STRING))"}, {"y": lambda: bank.mod97(C("x"))}, {"y": REST})
 cat.scalar("f04_f19_keyed_hash", "customer", {"k": "c_custkey", "x": "c_name"}, {"y": lambda: bank.hmac_sha256(C("x"), b"fixture-key")}, {"y": "sha256(unhex(concat('" + bytes(b ^ 0x5C for b in b"fixture-key".ljust(64, b"\0")).hex() + "', sha256(unhex(concat('" + bytes(b ^ 0x36 for b in b"fixture-key".ljust(64, b"\0")).hex() + "', hex(encode(x))))))))"})
-SENSITIVE = "CASE c_custkey % 4 WHEN 0 THEN concat('Zahlung an DE02 1203 0000 0000 2020 51 bis ', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('Konto: ', CAST(c_custkey + 1000000 AS STRING), ' BLZ 120 300 00') WHEN 2 THEN concat('Ausweis: L01X00T47', CAST(c_custkey % 10 AS STRING)) ELSE concat('frei ', c_name) END"
-cat.scalar("f01_mask_text", "customer", {"k": "c_custkey", "x": SENSITIVE}, {"masked": lambda: bank.mask_text(C("x"))["text"], "hits": lambda: F.size(bank.mask_text(C("x"))["hits"])}, {"masked": "CASE k % 4 WHEN 0 THEN concat('Zahlung an [IBAN_****2051] bis ', CAST(k AS VARCHAR)) WHEN 1 THEN 'Konto: [ACCOUNT] BLZ [BLZ]' WHEN 2 THEN 'Ausweis: [ID_NUMBER]' ELSE x END", "hits": "CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END"})
-cat.scalar("f05_contains_sensitive", "customer", {"k": "c_custkey", "x": SENSITIVE}, {"y": lambda: bank.contains_sensitive(C("x"))}, {"y": "k % 4 <> 3"})
-
 # ---- labels and addresses
 LABEL = "CASE p_partkey % 7 WHEN 0 THEN concat('WE 0', CAST(p_partkey % 40 + 1 AS STRING)) WHEN 1 THEN concat('we.', CAST(p_partkey % 40 + 1 AS STRING), 'a') WHEN 2 THEN concat('TG ', CAST(p_partkey % 40 + 1 AS STRING), ' - Hof') WHEN 3 THEN CAST(p_partkey % 40 + 1 AS STRING) WHEN 4 THEN 'Keller' WHEN 5 THEN concat('Stp-', CAST(p_partkey % 40 + 1 AS STRING)) ELSE concat('WE 00', CAST(p_partkey % 40 + 1 AS STRING), ' b') END"
 NUM = "CAST(k % 40 + 1 AS VARCHAR)"

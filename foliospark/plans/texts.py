@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence, people, similarity
-from ..operators import classifier, rules
+from ..operators import classifier, mapping, records, rules
 from ..sources import formats, tables
 from .base import C, Catalogue, table
 
@@ -35,8 +35,8 @@ def rule_stage(spark, sf_dir):
 def decision(spark, sf_dir):
     """The branch table of the final decision and its group key."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    action = F.when(C("toxic") == 1, "review").when(C("quality").isNull() & (C("n_chars") < 500), "misc").when(C("quality") == 1, "file").when(C("quality") == 0, "review").otherwise("stage3")
-    return d.select("doc_id", action.alias("action"), F.substring(F.concat_ws(":", "source", "lang", F.when(C("quality") == 1, "05").otherwise("")), 1, 120).alias("batch_key"))
+    action = records.final_action(C("toxic") == 1, C("quality"), C("n_chars") < 500, C("quality") == 1)
+    return d.select("doc_id", action.alias("action"), records.batch_key(C("source"), C("lang"), F.when(C("quality") == 1, "05").otherwise("")).alias("batch_key"))
 
 
 EVIDENCE = "SELECT l_orderkey AS document_id, l_suppkey % 4 AS object_id, CASE l_linenumber % 3 WHEN 0 THEN 'address' WHEN 1 THEN 'number' ELSE 'folder' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN l_discount * 8 ELSE l_tax END AS weight, l_linenumber % 3 = 0 AND l_discount > 0.07 AS strong, l_partkey % 5 AS address_key FROM lineitem"
@@ -64,13 +64,13 @@ def cross_check(spark, sf_dir):
 @cat.query("e08_m07_context", "SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2) GROUP BY 1")
 def context(spark, sf_dir):
     """Ids in the order of their first occurrence."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(F.transform(parts, lambda x: x["role"])), ",").alias("roles"))
+    return records.in_order_of_appearance(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
 @cat.query("e07_merge_facts", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END) AS fact FROM orders")
 def merge_facts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(C("o_orderkey") % 2 == 0, C("o_orderstatus")), F.when(C("o_orderkey") % 3 == 0, C("o_orderpriority"))).alias("fact"))
+    fact = records.merged(F.when(C("o_orderkey") % 2 == 0, C("o_orderstatus")), F.when(C("o_orderkey") % 3 == 0, C("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fact.alias("fact"))
 
 
 LEASE = "concat('Kaltmiete: ', CAST(o_orderkey % 9 + 1 AS VARCHAR), '.', lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0'), ',50 EUR; Kaution ', CAST(o_orderkey % 900 + 100 AS VARCHAR), ',00; Kundennummer: K-', CAST(o_custkey AS VARCHAR), '; vom ', CAST(day(o_orderdate) AS VARCHAR), '.', CAST(month(o_orderdate) AS VARCHAR), '.', CAST(year(o_orderdate) AS VARCHAR))"
@@ -144,20 +144,28 @@ def profiles(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", best["name"].alias("profile"))
 
 
-@cat.query("s16_s17_merge_pages", "SELECT conv_id, count(*) AS rows_kept FROM (SELECT conv_id, turn, unnest(CASE WHEN turn = 0 THEN ['h', 'r'] ELSE ['r'] END) AS k FROM conversations) GROUP BY 1")
+@cat.query("s16_s17_merge_pages", """
+    WITH r AS (SELECT conv_id, turn, unnest([1, 2, 3, 4]) AS k, text, role FROM conversations),
+    c AS (SELECT conv_id, turn, CASE k WHEN 1 THEN ['Name', 'Ort'] WHEN 2 THEN [role, coalesce(text, '')] WHEN 3 THEN ['', 'Seite ' || turn] ELSE ['Name', 'Ort'] END AS cells, k FROM r)
+    SELECT conv_id, turn, cells[1] AS a, cells[2] AS b FROM c WHERE k IN (2, 4) OR k = 1 AND turn = 0""")
 def merge_pages(spark, sf_dir):
-    """Repeated heading rows and page-number rows go."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.array(F.array(F.lit("Name"), F.lit("Ort")), F.array(F.col("role"), F.substring("text", 1, 9)), F.array(F.lit(""), F.concat(F.lit("Seite "), C("turn").cast("string"))))).alias("row_no", "cells"))
-    return tables.merge_pages(c.withColumn("page", C("turn") + 1).drop("turn"), "conv_id").groupBy("conv_id").agg(F.count("*").alias("rows_kept"))
+    """Heading rows repeated at the start of later pages go, and so do page numbers; the same row further down stays."""
+    rows = F.array(F.array(F.lit("Name"), F.lit("Ort")), F.array(C("role"), F.coalesce("text", F.lit(""))), F.array(F.lit(""), F.concat(F.lit("Seite "), C("turn").cast("string"))), F.array(F.lit("Name"), F.lit("Ort")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(rows).alias("row_no", "cells"))
+    kept = tables.merge_pages(c.withColumn("page", C("turn") + 1), "conv_id", lead=1)
+    return kept.select("conv_id", "turn", C("cells")[0].alias("a"), C("cells")[1].alias("b"))
 
 
-@cat.query("s13_s15_row_cells", "SELECT user_id % 20 AS page, count(*) AS words FROM events WHERE event_id % 41 = 0 GROUP BY 1")
+@cat.query("s13_s15_row_cells", """
+    WITH w AS (SELECT event_id // 64 AS page, event_type AS text, event_id * 37 % 900 AS x0, event_id % 13 * 10 + event_id % 3 AS top, value AS conf, event_id % 13 AS line FROM events),
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY line) - 1 AS row_no, CASE WHEN x0 + 3 >= 500 THEN 2 WHEN x0 + 3 >= 200 THEN 1 ELSE 0 END AS column_no FROM w)
+    SELECT page, row_no, column_no, string_agg(text, ' ' ORDER BY x0, text) AS text, count(*) AS words, round(avg(conf), 1) AS conf FROM r GROUP BY 1, 2, 3""")
 def row_cells(spark, sf_dir):
-    """Words to rows and cells; every word lands in one cell."""
-    e = table(spark, sf_dir, "events").where("event_id % 41 = 0")
-    w = e.select((C("user_id") % 20).alias("page"), C("event_type").alias("text"), (C("event_id") % 900).cast("double").alias("x0"), (C("event_id") % 900 + 6).cast("double").alias("x1"), (C("event_id") % 13 * 10).cast("double").alias("top"), (C("event_id") % 13 * 10 + 8).cast("double").alias("bottom"), C("value").alias("conf"))
+    """The words of each page to rows, by their tops, and to cells, by the columns' bounds."""
+    left, top = (C("event_id") * 37 % 900).cast("double"), (C("event_id") % 13 * 10 + C("event_id") % 3).cast("double")
+    w = table(spark, sf_dir, "events").select(F.floor(C("event_id") / 64).alias("page"), C("event_type").alias("text"), left.alias("x0"), (left + 6).alias("x1"), top.alias("top"), (top + 8).alias("bottom"), C("value").alias("conf"))
     cells = tables.build_cells(tables.row_clusters(w, "page"), F.array(F.lit(200.0), F.lit(500.0)))
-    return cells.groupBy("page").agg(F.sum(F.size(F.split("text", " "))).alias("words"))
+    return cells.select("page", "row_no", "column_no", "text", F.size(F.split("text", " ")).alias("words"), "conf")
 
 
 @cat.query("f23_f24_f25_names", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'person' WHEN 2 THEN 'legal_entity' ELSE 'community' END AS kind, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS persons, CASE c_custkey % 4 WHEN 0 THEN 'Muster' WHEN 1 THEN 'Weber' END AS last FROM customer")
@@ -207,30 +215,18 @@ def trained_stage(spark, sf_dir):
     return classifier.predict(model, d.select("doc_id", text.alias("text"))).select("doc_id", "top", F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"))
 
 
-@cat.query("w07_propose_mapping", "SELECT p_brand, count(DISTINCT target) = count(*) AS one_to_one FROM (SELECT p_brand, p_partkey AS target FROM part) GROUP BY 1")
+@cat.query("w07_propose_mapping")
 def propose_mapping(spark, sf_dir):
-    """Greedy one-to-one assignment of columns to targets, walked in order inside each batch."""
-    import pandas as pd
+    """Columns to targets, one to one, within each list of ten columns; no SQL form."""
+    p = table(spark, sf_dir, "part").select(F.floor(C("p_partkey") / 10).alias("list"), C("p_partkey").alias("column"), C("p_size").alias("z"))
+    pairs = p.withColumn("target", F.explode(F.array(C("column"), C("column") + 1))).withColumn("score", (C("column") % 7 + C("z") % 3 + (C("target") % 2) * 0.5).cast("double"))
+    return mapping.propose(pairs, "list", "column", "target", "score")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, used, out = set(), set(), []
-        for r in pdf.sort_values(["score", "column", "target"], ascending=[False, True, True]).itertuples():
-            if r.target not in taken and r.column not in used:
-                taken.add(r.target)
-                used.add(r.column)
-                out.append((r.p_brand, r.column, r.target))
-        return pd.DataFrame(out, columns=["p_brand", "column", "target"])
 
-    p = table(spark, sf_dir, "part")
-    pairs = p.select("p_brand", C("p_partkey").alias("column"), C("p_size").alias("z")).withColumn("target", F.explode(F.array(C("column"), C("column") + 1))).withColumn("score", (C("column") % 7 + C("z") % 3).cast("double"))
-    chosen = pairs.groupBy("p_brand").applyInPandas(greedy, "p_brand string, column long, target long")
-    return chosen.groupBy("p_brand").agg((F.count_distinct("target") == F.count("*")).alias("one_to_one"))
-
-
-@cat.query("f29_content_scores", "SELECT source, round(avg(CASE WHEN regexp_matches(substr(text, 1, 60), '[0-9]{4}') THEN 1 ELSE 0 END), 6) AS digits, round(avg(CASE WHEN contains(text, '@') THEN 1 ELSE 0 END), 6) AS mail FROM documents GROUP BY 1")
+@cat.query("f29_content_scores", "SELECT source, round(avg(CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 1 ELSE 0 END), 6) AS digits, round(avg(CASE WHEN contains(text, '@') THEN 1 ELSE 0 END), 6) AS mail FROM documents GROUP BY 1")
 def content_scores(spark, sf_dir):
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return table(spark, sf_dir, "documents").groupBy("source").agg(share(F.substring("text", 1, 60).rlike("[0-9]{4}")).alias("digits"), share(C("text").contains("@")).alias("mail"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(share(C("text").rlike("[0-9]{4}")).alias("digits"), share(C("text").contains("@")).alias("mail"))
 
 
 @cat.query("f06_pattern_count", "SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '[0-9]{12,16}')")
@@ -241,5 +237,4 @@ def pattern_count(spark, sf_dir):
 @cat.query("f36_collisions", "SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || n END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
 def collisions(spark, sf_dir):
     """equal names of one batch get counters in the order of their ids."""
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").withColumn("n", n).select("p_partkey", F.when(C("n") == 1, C("p_brand")).otherwise(F.concat_ws("_", "p_brand", C("n").cast("string"))).alias("name"))
+    return records.numbered_names(table(spark, sf_dir, "part"), "p_brand", "p_partkey").select("p_partkey", C("unique_name").alias("name"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Kinds by suffix and by leading bytes.
 SUFFIXES = {"pdf": ["pdf"], "image": ["jpg", "jpeg", "png", "tif", "tiff", "gif", "bmp", "webp"], "office": ["docx", "xlsx", "odt", "ods", "csv", "txt"], "email": ["eml", "msg"], "html": ["html", "htm"], "office_legacy": ["doc", "xls", "ppt", "rtf"]}
-MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("47494638", "gif"), ("424D", "bmp"), ("D0CF11E0A1B11AE1", "ole"), ("504B0304", "zip"), ("7B5C727466", "rtf")]
+MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("474946383761", "gif"), ("474946383961", "gif"), ("D0CF11E0A1B11AE1", "ole"), ("504B0304", "zip"), ("7B5C727466", "rtf")]
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "article", "section"}
 SKIPPED = {"script", "style", "head"}
 
@@ -107,8 +107,12 @@ def header_block(text: Column) -> Column:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Message files as headers, one text page and attachment names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path).select("path", "content")
+    """The message files of a folder, as ``parse_messages`` reads them."""
+    return parse_messages(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path))
+
+
+def parse_messages(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) as headers, one text page and attachment names."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from email import policy
@@ -133,7 +137,7 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
                 out.append((name, str(m.get("Subject", "")), who or None, address.lower() or None, str(m.get("To", "")) or None, date, page, files))
             yield pd.DataFrame(out, columns=["path", "subject", "from_name", "from_address", "to", "date", "text", "attachments"])
 
-    return files.mapInPandas(read, "path string, subject string, from_name string, from_address string, to string, date string, text string, attachments array<string>")
+    return files.select("path", "content").mapInPandas(read, "path string, subject string, from_name string, from_address string, to string, date string, text string, attachments array<string>")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -144,13 +148,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(F.split(table, "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
+def not_ignored(files: DataFrame, name: str, ignored: list[str]) -> DataFrame:
+    """Rows whose ``name`` matches none of the patterns with * and ?, in any case."""
+    for glob in ignored:
+        shape = "^" + re.escape(glob.lower()).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+        files = files.where(~F.lower(name).rlike(shape))
+    return files
+
+
 def list_files(spark: SparkSession, path: str, ignored: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Files of a folder tree, without ignored names; too many are an error, not a cut."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
-    for glob in ignored or []:
-        shape = "^" + re.escape(glob.lower()).replace(r"\*", ".*").replace(r"\?", ".") + "$"
-        files = files.where(~name.rlike(shape))
+    files = not_ignored(files.withColumn("__name", F.regexp_extract("path", r"([^/]+)$", 1)), "__name", ignored or []).drop("__name")
     if most is not None and files.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} files under {path}")
     return files.where(F.col("length") > 0)

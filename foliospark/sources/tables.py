@@ -57,10 +57,10 @@ def merge_pages(rows: DataFrame, document: str = "document_id", lead: int = 3) -
     return marked.where(~((F.col("page") > 1) & F.col("__leading")) & ~is_footer(F.col("cells"))).drop("__lead", "__leading")
 
 
-def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
+def read_ocr_words(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Word rows of OCR output in tab-separated form; level 5, with letters or digits, negative confidence to null."""
     schema = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left double, top double, width double, height double, conf double, text string"
-    raw = spark.read.csv(path, sep="\t", header=True, schema=schema, quote="")
+    raw = spark.read.csv(path, sep="\t", header=header, schema=schema, quote="")
     words = raw.where((F.col("level") == 5) & F.col("text").rlike(r"[\p{L}\p{N}]"))
     return words.select("page_num", "text", F.col("left").alias("x0"), (F.col("left") + F.col("width")).alias("x1"), "top", (F.col("top") + F.col("height")).alias("bottom"), F.when(F.col("conf") >= 0, F.col("conf")).alias("conf"))
 

@@ -21,10 +21,24 @@ def since(df: DataFrame, column: str, mark, most: int) -> DataFrame:
     return new.orderBy(column).limit(most)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Drive a stream over what is there now into an in-memory table ``name``, for tests and small tables."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Drive a stream over what is there now and return its last state: one row for each of ``keys``.
+
+    Each batch's changes are written below ``path`` under the batch's number, so a repeated batch replaces its own
+    files; the newest change of a key counts. Nothing passes through the driver.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+
+    schema = stream.select("*", F.lit(0).cast("long").alias("__batch")).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/rows/none")  # for a stream without rows
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__last")).select(*keys, "__last.*")
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -81,6 +95,23 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str = "file_id",
 
 
 def debounced_batch(df: DataFrame, key: str, time: str, seconds: int = 60) -> DataFrame:
-    """R12 over a finished table: requests that arm a timer. The fold carries the last armed time through each key's ordered times."""
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(time).cast("timestamp"))))
-    return df.groupBy(key).agg(times.alias("__t")).select(key, F.explode(F.aggregate("__t", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t >= F.try_element_at(a, F.lit(-1)) + seconds * 1_000_000), F.concat(a, F.array(t))).otherwise(a))).alias("armed_us"))
+    """R12 over a finished table: the requests that arm a timer, as (key, armed_us).
+
+    A key's requests are walked in time order with the last armed time alone in hand: the rows are dealt by key, sorted
+    within the partitions, and a key may go on from one batch of rows to the next, so no key is held as a whole.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    ordered = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("__t")).where("__t is not null").repartition(key).sortWithinPartitions(key, "__t")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, armed, begun = None, 0, False
+        for pdf in batches:
+            keys, times = pdf[key].tolist(), pdf["__t"].tolist()
+            out = []
+            for k, t in zip(keys, times, strict=True):
+                if not begun or k != last_key or t >= armed + seconds * 1_000_000:
+                    last_key, armed, begun = k, t, True
+                    out.append((k, t))
+            yield pd.DataFrame(out, columns=[key, "armed_us"])
+
+    return ordered.mapInPandas(walk, f"`{key}` {kind}, armed_us long")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import bank, cells, labels, people, similarity, text
-from foliospark.operators import rules
+from foliospark.operators import relational, rules
 from foliospark.sources import formats, tables
 from foliospark.streaming import incremental
 
@@ -21,7 +21,7 @@ def test_amounts(spark, raw, want):
     assert (None if got is None else str(got)) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("1.2.1999", "1999-02-01"), ("01.02.70", "1970-02-01"), ("01.02.68", "2068-02-01"), ("2020-02-30", None), ("3/2021", "2021-03-01"), ("2021", "2021-01-01"), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [("1.2.1999", "1999-02-01"), ("01.02.70", "1970-02-01"), ("01.02.68", "2068-02-01"), ("5-3-2021", "2021-03-05"), ("2021-03-05 7:08:09", "2021-03-05"), ("2020-02-30", None), ("3/2021", "2021-03-01"), ("2021", "2021-01-01"), (None, None)])
 def test_dates(spark, raw, want):
     got = value(spark, lambda c: cells.parse_date(c)["value"], raw)
     assert (None if got is None else str(got)) == want
@@ -36,12 +36,67 @@ def test_unit_labels(spark, raw, key, kind):
 def test_mod97_and_mask(spark):
     assert value(spark, bank.mod97, "DE02 1203 0000 0000 2020 51")
     assert not value(spark, bank.mod97, "DE03 1203 0000 0000 2020 51")
-    got = value(spark, bank.mask_text, "an DE02 1203 0000 0000 2020 51, Konto: 1234567")
-    assert got["text"] == "an [IBAN_****2051], Konto: [ACCOUNT]"
-    assert [h["kind"] for h in got["hits"]] == ["iban", "account"]
     assert value(spark, bank.mask_text, None) is None
 
 
+MASKED = [
+    ("an DE02 1203 0000 0000 2020 51, Konto: 1234567", "an [IBAN_****2051], Konto: 1234567", ["iban"]),
+    ("IBAN DE02120300000000202051 Inhaber", "IBAN [IBAN_****2051] Inhaber", ["iban"]),
+    ("DE89 37O4 OO44 O532 O13O OO", "[IBAN_****3000]", ["iban"]),
+    ("AT61 1904 3002 3457 3201 und NL91 ABNA 0417 1643 00", "[IBAN_****3201] und [IBAN_****4300]", ["iban", "iban"]),
+    ("BIC: COBADEFFXXX, BIC hausgeld, HAUSGELD FAELLIG", "BIC: [BIC], BIC hausgeld, HAUSGELD FAELLIG", ["bic"]),
+    ("SWIFT-Code: COBADEFF", "SWIFT-Code: [BIC]", ["bic"]),
+    ("BLZ 370 400 44, Konto-Nr. 123456789012345, Kto.-Nr.: 123 456 78", "BLZ [BLZ], Konto-Nr. [KONTONR], Kto.-Nr.: [KONTONR]", ["blz", "kontonummer", "kontonummer"]),
+    ("Personalausweisnummer: L01X00T47A; Reisepass C01X00T478. Ausweiskopie L01X00T47", "Personalausweisnummer: [AUSWEISNR]; Reisepass [AUSWEISNR]. Ausweiskopie [AUSWEISNR]", ["ausweisnummer"] * 3),
+    ("Telefon +49 1522 9233185, Rechnung 2025-004711, MEA 123/10.000, Aktenzeichen 12 O 345/24", None, []),
+    ("XY12 ABCD EFGH", None, []),
+    ("", "", []),
+]
+
+
+@pytest.mark.parametrize(("raw", "shown", "kinds"), MASKED)
+def test_masking(spark, raw, shown, kinds):
+    got = value(spark, bank.mask_text, raw)
+    assert got["text"] == (raw if shown is None else shown)
+    assert [h["kind"] for h in got["hits"]] == kinds
+    assert value(spark, bank.contains_sensitive, raw) is bool(kinds)
+    again = value(spark, bank.mask_text, got["text"])
+    assert again["text"] == got["text"] and not again["hits"]
+
+
+def test_masking_hits(spark):
+    import hashlib
+    import hmac
+
+    raw = "zu DE02 1203 OOOO 0000 2020 51 und BLZ: 12030000"
+    got = value(spark, lambda c: bank.mask_text(c, "log", b"key"), raw)
+    account, blz = got["hits"]
+    assert got["text"] == "zu [IBAN] und BLZ: [BLZ]"
+    assert raw[account["start"] : account["stop"]].startswith("DE02") and raw[blz["start"] : blz["stop"]] == "12030000"
+    assert (account["last4"], account["valid"], blz["context"]) == ("2051", True, "BLZ")
+    assert account["hash"] == hmac.new(b"key", b"DE02120300000000202051", hashlib.sha256).hexdigest()
+
+
+@pytest.mark.parametrize(("raw", "want"), [("BRD", "DE"), ("deu", "DE"), ("U.S.A.", "US"), ("Dänemark", "DK"), ("Türkei", "TR"), ("Atlantis", None), ("", None)])
+def test_countries(spark, raw, want):
+    assert value(spark, lambda c: cells.country_iso2(c)["value"], raw) == want
+
+
+@pytest.mark.parametrize(("raw", "want", "reason"), [("vorhanden", True, None), ("erteilt", True, None), ("nicht vorhanden", False, None), ("kein", False, None), ("-", None, "unparseable_bool"), ("", None, "empty")])
+def test_booleans(spark, raw, want, reason):
+    got = value(spark, cells.parse_bool, raw)
+    assert (got["value"], got["reason"]) == (want, reason)
+
+
+def test_scrubbing(spark):
+    import json
+
+    got = value(spark, bank.scrub_json, json.dumps({"iban": "x", "iban_last4": "1234", "deep": [{"Password": [1]}, "BLZ 370 400 44", "y" * 3000]}))
+    assert json.loads(got) == {"iban": "[GESCHWAERZT]", "iban_last4": "1234", "deep": [{"Password": "[GESCHWAERZT]"}, "BLZ [BLZ]", "y" * 2000]}
+    assert json.loads(value(spark, bank.scrub_json, "no json, BIC COBADEFF")) == "no json, BIC [BIC]"
+    assert value(spark, bank.scrub_json, None) is None
+
+
 def test_keyed_hash(spark):
     import hashlib
     import hmac
@@ -104,6 +159,59 @@ def test_debounce_stream(spark, tmp_path):
     batch = incremental.debounced_batch(df, "k", "t", 60)
     assert {(r["k"], r["armed_us"] // 1_000_000 % 86_400) for r in batch.collect()} == {(1, 0), (1, 70), (2, 5), (3, 18_000)}
     stream = incremental.debounced(incremental.file_feed(spark, str(tmp_path / "in"), df.schema), "k", "t", 60)
-    incremental.run_available(stream, "debounced_test", str(tmp_path / "checkpoint"))
-    got = {(r["k"], r["armed_at"].hour * 3600 + r["armed_at"].minute * 60 + r["armed_at"].second, r["swallowed"]) for r in spark.table("debounced_test").collect()}
+    out = incremental.run_available(stream, str(tmp_path / "out"), ["k", "armed_at"], "append")
+    got = {(r["k"], r["armed_at"].hour * 3600 + r["armed_at"].minute * 60 + r["armed_at"].second, r["swallowed"]) for r in out.collect()}
     assert (1, 0, 1) in got
+
+
+def test_stream_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "k int, t timestamp").write.parquet(str(tmp_path / "in"))
+    stream = incremental.windowed_counts(incremental.file_feed(spark, str(tmp_path / "in"), "k int, t timestamp"), "t", "k", "1 day", "1 day").select("k", F.unix_micros("window.start").alias("s"), "n")
+    assert incremental.run_available(stream, str(tmp_path / "out"), ["k", "s"]).count() == 0
+
+
+def test_debounce_over_batches(spark):
+    """A key that goes on over many batches, against a walk over its times."""
+    rows = [(k % 3, (k * k * 31) % 50_000) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "k int, s long").selectExpr("k", "timestamp_seconds(s) AS t")
+    want = set()
+    for key in range(3):
+        armed = None
+        for t in sorted(s for k, s in rows if k == key):
+            if armed is None or t >= armed + 60:
+                armed = t
+                want.add((key, t))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["k"], r["armed_us"] // 1_000_000) for r in incremental.debounced_batch(df, "k", "t", 60).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_trees(spark):
+    """A path of 40 nodes, a small tree and a lone node."""
+    edges = [(k, k - 1 if k else None) for k in range(40)] + [(100, None), (101, 100), (102, 100), (103, 102), (200, None)]
+    df = spark.createDataFrame(edges, "n long, p long")
+    tops = {r["n"]: r["top"] for r in relational.top_of(df, "n", "p").collect()}
+    assert tops == {n: 0 if n < 40 else 200 if n == 200 else 100 for n, _ in edges}
+    marked = spark.createDataFrame([(5,), (103,)], "n long")
+    assert {r["n"] for r in relational.with_marked_below(df, marked, "n", "p").collect()} == {0, 1, 2, 3, 4, 5, 100, 102, 103}
+
+
+def test_mapping_equals_a_walk(spark):
+    import random
+
+    from foliospark.operators import mapping
+
+    rng = random.Random(5)
+    rows = [(b, c, t, rng.randrange(4) / 2) for b in range(6) for c in range(5) for t in range(4)]
+    got = {tuple(r) for r in mapping.propose(spark.createDataFrame(rows, "b int, c int, t int, s double"), "b", "c", "t", "s").collect()}
+    want = set()
+    for b in range(6):
+        free = sorted((r for r in rows if r[0] == b), key=lambda r: (-r[3], r[1], r[2]))
+        while free:
+            best = free[0]
+            want.add(best)
+            free = [r for r in free if r[1] != best[1] and r[2] != best[2]]
+    assert got == want
