@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,21 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def with_own_names(docs: DataFrame, run: Callable[..., DataFrame], **columns: str) -> DataFrame:
+    """``run`` on ``docs`` under neutral column names, for operators that return a part of the rows.
+
+    ``columns`` are the columns that ``run`` needs, which get their new names; so a column of the input may have any
+    name, even one that the operator uses itself.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return run(docs.toDF(*names), **{k: names[docs.columns.index(v)] for k, v in columns.items()}).select(*names).toDF(*docs.columns)
+
+
+def replacing(docs: DataFrame, *added: str) -> list[str]:
+    """The columns of ``docs`` that stay beside new ones: an input column of a new one's name gives way to it."""
+    return [c for c in docs.columns if c not in added]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -57,16 +73,18 @@ def fold(id_column: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, seed: int) -> list:
-    """At most ``per_class`` labelled rows of each class, as ``(text, label)`` rows on the driver.
+    """At most ``per_class`` labelled rows of each class, as ``(doc_id, text, label)`` rows on the driver.
 
     The choice is by a hash of the id, so it doesn't depend on partitioning. ``per_class`` is the
-    documented bound that makes this sample safe to collect.
+    documented bound that makes this sample safe to collect, whatever ids are repeated.
     """
     known = labels.where(keep & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("y")]
     ids = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
-    return sorted((r.doc_id, r.text, r.y) for r in rows.collect())
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids.distinct()), "doc_id")
+    # A repeated id counts once for each label, with its least text, so the bound holds for rows too.
+    once = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return sorted((r.doc_id, r.text, r.y) for r in once.collect())
 
 
 #: Bits of one row of a bitmap, as ``bitmap_construct_agg`` makes them, and rows: 256 of 4 KB, so 1 MB is broadcast at any size.

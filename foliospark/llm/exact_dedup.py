@@ -12,8 +12,7 @@ and those of very common texts not at all. Everything is DataFrame functions.
 
 Defined cases: a null text counts as empty, so null and empty rows form one group; of equal texts the row
 with the largest id stays (a null id is smaller than any other); of wholly repeated rows (same id and
-text) exactly one stays; an empty table gives an empty result; other columns are ignored (names that begin
-with two underscores are reserved).
+text) exactly one stays; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import asked_of, bitmap_of, whole_text, written
+from .common import asked_of, bitmap_of, whole_text, with_own_names, written
 from .grouped import join_by_key
 
 PREFIX_CHARS = 64
@@ -91,6 +90,10 @@ def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    return with_own_names(docs, kept_rows, id_column=id_column, text_column=text_column)
+
+
+def kept_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     found = marked(docs, refined(docs, text_column), text_column)
     kept = written(full_groups(found, id_column), "exact-groups").select(F.col("text_sha256").alias("__kept_sha"), F.col("keep_id").alias("__keep"))
     own = found.where("__again").withColumn("__sha", full_hash(F.col("__text")))

@@ -32,11 +32,38 @@ PER_LANGUAGE = 300
 TEMPER = 0.2
 KAPPA = 10.0
 ALPHA = 1.0
-HIDDEN = re.compile(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Where something may be hidden: a comment, a script, a style, a head, or any other tag.
+OPENING = re.compile(r"<(?:(!--)|(script|style|head)\b)?", re.IGNORECASE)
+ENDS = {"!--": re.compile("-->")} | {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "head")}
+TAG_END = re.compile(">")
 
 
 def visible(html: str) -> str:
-    return re.sub(r"&#?\w+;", " ", HIDDEN.sub(" ", html))
+    """The text outside of tags, comments, scripts, styles and heads. What is never closed hides nothing; each kind of
+    end is looked for once behind its last place, so the work is linear even in broken pages."""
+    out, at = [], 0
+    closed: dict[str, bool] = {}
+
+    def end_of(kind: str, pattern: re.Pattern, start: int) -> int | None:
+        if closed.get(kind, True):
+            if found := pattern.search(html, start):
+                return found.end()
+            closed[kind] = False
+        return None
+
+    while opening := OPENING.search(html, at):
+        kind = (opening.group(1) or opening.group(2) or "").lower()
+        stop = end_of(kind, ENDS[kind], opening.end()) if kind else None
+        stop = stop or end_of(">", TAG_END, opening.end())
+        if stop is None:
+            out.append(html[at : opening.end()])
+            at = opening.end()
+            continue
+        out.append(html[at : opening.start()])
+        out.append(" ")
+        at = stop
+    out.append(html[at:])
+    return re.sub(r"&#?\w+;", " ", "".join(out))
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +95,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> GramModel:
     if not named:
         return GramModel([], np.zeros((0, BUCKETS)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id")
-    ids = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang")
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id").select("lang", "text").collect()
+    ids = known.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang")
+    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
+    # A repeated id counts once for each language, with its least text, so the bound holds for rows too.
+    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     named = sorted(named)
     counts = np.full((len(named), BUCKETS), 0.05)
     for r in rows:
@@ -119,9 +148,9 @@ def identify(pages: DataFrame, model: GramModel, id_column: str = "page_id") ->
     rows = written(evidence(pages, model, id_column), "evidence").withColumn("soft", softmax(F.col("text_logs")))
     world = F.transform(F.array(*(F.lit(float(x)) for x in [v or 0.0 for v in (rows.agg(sums(size).alias("s")).first()["s"])])), lambda x: x)
     all_pages = F.aggregate(world, F.lit(0.0), lambda a, b: a + b)
-    tables = {c: rows.groupBy(c).agg(sums(size).alias(f"{c}_counts")) for c in ("declared", "suffix", "host", "domain")}
+    tables = {c: written(rows.groupBy(c).agg(sums(size).alias(f"{c}_counts")), f"language-{c}") for c in ("declared", "suffix", "host", "domain")}
     wide = rows
-    for c in ("declared", "suffix", "domain", "host"):
+    for c in ("declared", "suffix", "domain", "host"):  # written tables, so Spark can split a host that holds a third of all pages
         wide = wide.join(tables[c], c)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     own = lambda a: F.zip_with(a, "soft", lambda x, y: F.greatest(x - y, F.lit(0.0)))

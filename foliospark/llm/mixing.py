@@ -15,23 +15,27 @@ if nothing is left over, they follow when all others are used up). The number of
 given by the user, so nothing that the driver holds grows with the input.
 
 Defined cases: a null source belongs to the pool; a source without documents is left out; equal and repeated
-rows are placed separately; an empty table gives an empty result; other columns are kept (names that begin
-with two underscores are reserved).
+rows are placed separately; an empty table gives an empty result; other columns are kept, but an input column with
+the name of a new one gives way to it in ``mix`` (``mixed`` keeps all).
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import replacing, with_own_names
+
 #: Slots of one cycle; weights are rounded to multiples of its reciprocal.
 CYCLE = 1024
 #: Documents of one block.
 BLOCK_ROWS = 4
 POOL = "*"
+ADDED = ["mix_source", "mix_block", "mix_slot", "mix_position"]
 #: Slices of a source for ranking its documents; a slice is one window partition.
 SLICES = 4096
 #: Production weights: the large source is held down, a few are raised, the pool has the rest.
@@ -136,9 +140,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
         for s, n in phase["slots"].items():
             tails.append((s, k, phase["before"][s], n, phase["before"][s] + n * phase["cycles"], phase["start"], sum(phase["slots"].values())))
     spark = docs.sparkSession
+    kept = replacing(docs, *ADDED)
     extra = ["mix_source string", "mix_block long", "mix_slot long", "mix_position long"]
     if not plan:
-        return docs.limit(0).selectExpr("*", *(f"cast(null as {e.split()[1]}) as {e.split()[0]}" for e in extra))
+        return docs.limit(0).select(*kept, *(F.lit(None).cast(e.split()[1]).alias(e.split()[0]) for e in extra))
     # Both tables are bounded by the number of named sources and the cycle, whatever the input's size.
     pieces = spark.createDataFrame(tails, "__source string, __phase int, __from long, __share int, __to long, __start long, __slots int")
     places = spark.createDataFrame(cells, "__phase int, __source string, __j int, __place int")
@@ -164,10 +169,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
         .join(F.broadcast(places), ["__phase", "__source", "__j"])
         .withColumn("mix_slot", (F.col("__start") + F.floor(F.col("__k") / F.col("__share")) * F.col("__slots") + F.col("__place")).cast("long"))
     )
-    return placed.withColumn("mix_position", (F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - missing).cast("long")).select(*(F.col(c) for c in docs.columns), F.col("__source").alias("mix_source"), "mix_block", "mix_slot", "mix_position")
+    return placed.withColumn("mix_position", (F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - missing).cast("long")).select(*kept, F.col("__source").alias("mix_source"), *ADDED[1:])
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` in mixed order: files and rows follow the schedule."""
-    placed = mix(docs, weights, **options)
-    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return with_own_names(docs, partial(in_order, weights=weights, **options), id_column=id_column, source_column=source_column)
+
+
+def in_order(docs: DataFrame, weights: dict[str, float] | None, **options) -> DataFrame:
+    return mix(docs, weights, **options).repartitionByRange("mix_position").sortWithinPartitions("mix_position")

@@ -5,10 +5,10 @@ ascending id order as ``ids array<int>`` beside small metadata columns. Row grou
 Parquet's page indexes let a reader fetch the metadata or a range of documents without touching other ids.
 
 File format (one folder of Parquet files, ordered by ``part`` then ``doc_id``):
-``part int, doc_id long, n_tokens long, ids array<int>``.
+``part int, place long, doc_id long, n_tokens long, ids array<int>``; ``place`` counts the rows of a part.
 
-Defined cases: a null text is empty and gets only the end id; repeated ids stay separate rows, ordered by
-their ids' checksum; a null doc_id sorts first; an empty table gives an empty store; other columns are ignored.
+Defined cases: a null text is empty and gets only the end id; repeated ids stay separate rows, ordered by a
+hash of their texts; a null doc_id sorts first; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ END_ID = 1
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Characters beyond the Latin, Greek and Cyrillic blocks, whose classes depend on a library's Unicode version.
 FAR = re.compile("[^\x00-\u052f]")
-STORE = "doc_id long, n_tokens long, ids array<int>"
+STORE = "place long, doc_id long, n_tokens long, ids array<int>"
 
 
 class ChunkEncoder:
@@ -144,16 +144,18 @@ def lists(parts: list[bytes]) -> pa.Array:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, n_tokens, ids); keeps partitions and their order."""
+    """``docs`` (doc_id, text) as (place, doc_id, n_tokens, ids); keeps partitions and their order, which ``place`` counts."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path)
+        own, place = encoder(tokenizer_path), 0
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 some = batch.slice(k, ROWS)
                 out = [x + end for x in own.encode(some.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), lists(out)], ["doc_id", "n_tokens", "ids"])
+                places = pa.array(np.arange(place, place + len(out)))
+                place += len(out)
+                yield pa.RecordBatch.from_arrays([places, some.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), lists(out)], ["place", "doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, STORE)
 
@@ -176,7 +178,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
 
 def read_store(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """The store's columns; naming some reads no others."""
-    return spark.read.schema("part int, doc_id long, n_tokens long, ids array<int>").parquet(path).select(*(columns or ("*",)))
+    return spark.read.schema(f"part int, {STORE}").parquet(path).select(*(columns or ("*",)))
 
 
 def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
@@ -189,14 +191,14 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(3)
-            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(batch.column(2).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            ids = batch.column(4)
+            flat, offsets = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(batch.column(3).to_numpy(zero_copy_only=False))]).astype(np.int64)
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(crc, pa.int64())], ["part", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read_store(spark, path).mapInArrow(sums, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read_store(spark, path).mapInArrow(sums, "part int, place long, doc_id long, n_tokens long, ids_crc32 long")
     parts = read_store(spark, path, "part", "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     # One row for each part, of which there are as many as tasks wrote: a single small window.
     before = parts.select("part", (F.sum("part_tokens").over(Window.orderBy("part")) - F.col("part_tokens")).alias("before"))
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).cast("long").alias("start"), "n_tokens", "ids_crc32")

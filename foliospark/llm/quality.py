@@ -6,7 +6,8 @@ over the raw size is mapped to a probability by a logistic curve fitted on rows
 
 Defined cases: a null or empty text has difference 0 and gets the curve's value there; repeated rows are
 scored alike; an empty table gives an empty result; without both classes in the training rows the score is
-the share of good rows (0.5 without any). Further columns of the input are ignored.
+the share of good rows (0.5 without any; at least 0.001 and at most 0.999). Other columns are kept, but an input column
+with the name of a new one gives way to it in ``score`` (``keep_good`` keeps all).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, whole_text
+from .common import fold, labelled_sample, replacing, whole_text, with_own_names
 
 BLOCK_BYTES = 512
 DICTIONARY_BYTES = 112_640
@@ -125,4 +126,10 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
         one = shared.value.scorer()
         return batches.map(one).astype(float)
 
-    return docs.withColumn("quality_score", quality(whole_text())).withColumn("quality_ok", F.col("quality_score") >= threshold)
+    scored = docs.withColumn("quality_score", quality(whole_text())).withColumn("quality_ok", F.col("quality_score") >= threshold)
+    return scored.select(*replacing(docs, "quality_score", "quality_ok"), "quality_score", "quality_ok")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    return with_own_names(docs, lambda d, text: score(d.withColumn("text", F.col(text)), model, threshold).where("quality_ok"), text=text_column)

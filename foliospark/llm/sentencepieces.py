@@ -13,7 +13,8 @@ Among equal scores the path with fewer pieces wins, then the longer last piece.
 
 Defined cases: null counts as the empty text, which has no ids; a word mark that stands in the text itself is
 written as bytes, so that it doesn't turn into a space; lone surrogates can't occur in Spark strings; repeated
-rows are encoded alike; an empty table gives an empty result; all input columns are kept.
+rows are encoded alike; an empty table gives an empty result; all input columns are kept, but one with the name of a
+new column gives way to it.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import replacing, whole_text
 
 MARK = "▁"
 #: Score of a byte piece, below that of any ordinary piece's.
@@ -159,7 +160,8 @@ def encode(docs: DataFrame, model_path: str, text_column: str = "text", verify:
             yield pa.StructArray.from_arrays([lists(out), pa.array([len(o) // 4 for o in out], pa.int64()), pa.array(same, pa.bool_())], ["piece_ids", "n_pieces", "round_trip"])
 
     added = docs.withColumn("__enc", run(whole_text(text_column)))
-    return added.select(*(F.col(c) for c in docs.columns), "__enc.piece_ids", "__enc.n_pieces", *(["__enc.round_trip"] if verify else []))
+    new = ["piece_ids", "n_pieces", *(["round_trip"] if verify else [])]
+    return added.select(*replacing(docs, *new), *(f"__enc.{c}" for c in new))
 
 
 def decode(column: Column | str, model_path: str) -> Column:

@@ -10,7 +10,8 @@ the log odds of words and character n-grams, later by the network itself); windo
 
 Defined cases: a null or empty text has no window and gets the prior probability; copies are scored alike;
 an empty table gives an empty result; without both classes in the training rows the score is the share
-of toxic rows (0 without any); other columns are kept.
+of toxic rows, at least 0.001 and at most 0.999 (0.001 without any row); other columns are kept, but an input column
+with the name of a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, whole_text
+from .common import fold, labelled_sample, replacing, whole_text
 from .quality import logistic
 
 WINDOW = 32
@@ -213,8 +214,11 @@ def log_odds(present: list[set], labels: np.ndarray) -> dict:
     return {x: float(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) for x, (a, b) in seen.items() if a + b >= 3}
 
 
-def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: int = 256) -> Network:
-    """``rows``: (doc_id, text, label). Every fourth row is kept for the curve."""
+def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: int = 256, informed: bool = True) -> Network:
+    """``rows``: (doc_id, text, label). Every fourth row is kept for the curve.
+
+    ``informed`` starts one dimension of either embedding at the log odds; without it all dimensions start at random.
+    """
     rng = np.random.default_rng(seed)
     rows = [rows[k] for k in rng.permutation(len(rows))]
     fit_rows, curve_rows = [r for k, r in enumerate(rows) if k % 4], [r for k, r in enumerate(rows) if not k % 4]
@@ -241,8 +245,9 @@ def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: i
     net.vocabulary = {w: k + 1 for k, w in enumerate(sorted(odds))}
     net.p["words"] = rng.normal(0, 0.1, (len(net.vocabulary) + 1, WORD_DIM)).astype(np.float32)
     net.p["chars"] = rng.normal(0, 0.1, (BUCKETS, CHAR_DIM)).astype(np.float32)
-    net.p["words"][1:, 0] = np.clip([odds[w] for w in sorted(odds)], -3, 3)
-    net.p["chars"][:, 0] = np.clip(gram_odds, -3, 3)
+    if informed:
+        net.p["words"][1:, 0] = np.clip([odds[w] for w in sorted(odds)], -3, 3)
+        net.p["chars"][:, 0] = np.clip(gram_odds, -3, 3)
     token_odds = np.array([max(odds.get(w.strip(EDGE), 0.0), 0.0) for w in unique]) + np.maximum(np.add.reduceat(gram_odds[grams], begins[:-1]) / np.maximum(np.diff(begins), 1), 0)
     windows = [(k, s) for k, seq in enumerate(seqs) for s in spans(len(seq))]
     owner = np.array([k for k, _ in windows])
@@ -328,4 +333,5 @@ def score(docs: DataFrame, model: Network, threshold: float = THRESHOLD) -> Data
             parts = [model.document_logits(texts.iloc[k : k + 128].tolist()) for k in range(0, len(texts), 128)]
             yield pd.Series(model.probabilities(np.concatenate(parts) if parts else np.zeros(0)))
 
-    return docs.withColumn("toxicity", toxicity(whole_text())).withColumn("toxic", F.col("toxicity") >= threshold)
+    scored = docs.withColumn("toxicity", toxicity(whole_text())).withColumn("toxic", F.col("toxicity") >= threshold)
+    return scored.select(*replacing(docs, "toxicity", "toxic"), "toxicity", "toxic")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -180,3 +181,107 @@ def test_language_learns_every_language(spark):
     names = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
     model = language.fit(spark.createDataFrame([(k, f"words of {n}", n) for k, n in enumerate(names)], "doc_id long, text string, lang string"))
     assert model.languages == names
+
+
+def test_visible_text_of_broken_pages():
+    assert language.visible("<head><title>x</title></head><p>a&amp;b</p><!-- c --><script>d</script>e<f") .split() == ["a", "b", "e<f"]
+    assert language.visible("<script>never closed <b>x</b>").split() == ["never", "closed", "x"]
+    assert language.visible("<header>a</header><HEAD>b</HEAD >c").split() == ["a", "c"]
+    many = "<script " * 60_000 + "<!--" * 60_000
+    began = time.time()
+    assert language.visible(many + ">end").endswith("end")
+    assert time.time() - began < 5
+
+
+def test_language_equals_brute_force(spark, docs_of):
+    """The posterior by its definition, page by page."""
+    import numpy as np
+
+    rng = random.Random(9)
+    model = language.fit(docs_of([(k, " ".join(rng.choices(w, k=30))) for k, w in enumerate([["der", "und", "nicht"], ["the", "and", "of"]])]).withColumn("lang", F.when(F.col("doc_id") == 0, "de").otherwise("en")))
+    words = {"de": "der und nicht", "en": "the and of"}
+    pages = []
+    for k in range(40):
+        lang = rng.choice(["de", "en"])
+        host = rng.choice(["a.one.example", "b.one.example", "two.test", "c.d.two.test"])
+        said = rng.choice([f'<html lang="{lang}">', "<html>", '<html lang="xx">'])
+        pages.append((k, f"https://{host}/p{k}", f"{said}<p>{words[lang] if k % 5 else ''}</p>"))
+    pages += [(50, None, None), (50, None, None), (None, "odd", "<p>the</p>")]
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()
+
+    size = len(model.languages)
+    logs = [np.array(model.log_likelihoods(language.visible(h or ""))) for _, _, h in pages]
+    soft = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logs]
+    hosts = ["" if not u or "://" not in u else u.split("/")[2] for _, u, _ in pages]
+    keys = {"host": hosts, "domain": [".".join(h.split(".")[-2:]) for h in hosts], "suffix": [h.split(".")[-1] for h in hosts]}
+    keys["declared"] = ["none" if not h or "lang=" not in h else "other" if "xx" in h else h.split('"')[1] for _, _, h in pages]
+    world = sum(soft)
+    want = []
+    for k in range(len(pages)):
+        own = lambda kind: np.maximum(sum(soft[j] for j in range(len(pages)) if keys[kind][j] == keys[kind][k]) - soft[k], 0)  # noqa: B023, E731
+        base = (np.maximum(world - soft[k], 0) + language.ALPHA) / (max(world.sum() - 1, 0) + language.ALPHA * size)
+        domain = (own("domain") + language.KAPPA * base) / (own("domain").sum() + language.KAPPA)
+        prior = (own("host") + language.KAPPA * domain) / (own("host").sum() + language.KAPPA)
+        total = np.log(prior) + logs[k]
+        for kind, values in (("declared", size + 2), ("suffix", 64)):
+            total = total + np.log((own(kind) + language.ALPHA) / (world + language.ALPHA * values))
+        p = np.exp(total - total.max())
+        want.append((str(pages[k][0]), *np.round(p / p.sum(), 9).tolist()))
+    assert sorted((str(r["page_id"]), *(round(x, 9) for x in r["posterior"])) for r in got) == sorted(want)
+
+
+def test_quality_equals_plain_compression(spark, docs_of):
+    """Scores against sizes from plain compression with the two dictionaries, on every document."""
+    import zstandard
+
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = quality.fit(docs, labels)
+    size = lambda raw, d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+    for r in quality.score(docs.where("doc_id % 37 = 0"), model).collect():
+        raw = (r["text"] or "").encode()
+        blocks = [raw[k : k + quality.BLOCK_BYTES] for k in range(0, len(raw), quality.BLOCK_BYTES)]
+        d = sum(size(b, model.bad) - size(b, model.good) for b in blocks) / len(raw) if raw else 0.0
+        assert r["quality_score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * d + model.intercept))), abs=1e-9)
+
+
+def test_toxicity_equals_single_windows(spark, docs_of):
+    """A document's score is that of its worst window, each scored alone."""
+    import numpy as np
+
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs.where("doc_id % 97 = 0"), model).collect():
+        words = (r["text"] or "").lower().split()
+        if not words:
+            continue
+        alone = [model.document_logits([" ".join(words[s : s + toxicity.WINDOW])])[0] for s in toxicity.spans(len(words))]
+        assert r["toxicity"] == pytest.approx(float(model.probabilities(np.array([max(alone)]))[0]), abs=1e-4)
+
+
+def test_toxicity_network_learns_without_log_odds(spark):
+    """The network alone, all embeddings started at random, on rows that it never saw."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    from foliospark.llm.common import fold, labelled_sample
+
+    rows = labelled_sample(docs, labels, "toxic", fold("doc_id", 3) != 1, 1_500, 23)
+    model = toxicity.train(rows, 0.1, informed=False)
+    scored = toxicity.score(docs.join(labels, "doc_id").where(fold("doc_id", 3) == 1).select("doc_id", "text", F.col("toxic").alias("truth")), model)
+    hits, n = scored.agg(F.avg((F.col("toxic") == (F.col("truth") == 1)).cast("int")), F.count("*")).first()
+    assert n > 300 and hits > 0.9
+
+
+def test_repeated_ids_and_clashing_columns(spark, docs_of):
+    """Labelled rows with one id, and input columns named like the results."""
+    docs = docs_of([(1, f"text {k}") for k in range(50)] + [(2, "other"), (None, "none")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 0, 1), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    from foliospark.llm.common import labelled_sample
+
+    rows = labelled_sample(docs, labels, "quality", F.lit(True), 10, 1)
+    assert [(i, t, y) for i, t, y in rows] == [(1, "text 0", 0), (1, "text 0", 1), (2, "other", 0)]
+    named = docs.withColumns({"quality_score": F.lit("own"), "quality_ok": F.lit("own"), "toxicity": F.lit("own"), "__x": F.lit("own")})
+    model = quality.fit(named, labels)
+    got = quality.score(named, model)
+    assert got.columns.count("quality_score") == 1 and all(0 <= r["quality_score"] <= 1 for r in got.collect())
+    kept = quality.keep_good(named, model, 0.0)
+    assert kept.columns == named.columns and {r["quality_score"] for r in kept.collect()} == {"own"} and kept.count() == 52
+    assert toxicity.score(named, toxicity.fit(named, labels)).columns.count("toxicity") == 1

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import additive_search, mixing, near_join, packed_tokens, quality, queries, sentencepieces
+from foliospark.llm import additive_search, exact_dedup, mixing, near_join, packed_tokens, quality, queries, sentencepieces
 from foliospark.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,11 +59,24 @@ def test_store(spark, docs_of, chunk_encoder, tmp_path, encoding):
     assert [tuple(r) for r in got] == want
     assert [r["doc_id"] for r in packed_tokens.read_range(spark, path, 2, 5).collect()] and {r["doc_id"] for r in packed_tokens.read_range(spark, path, 2, 5).collect()} <= {2, 3, 4, 5}
     files = [p for p in (tmp_path / "store").glob("*.parquet") if pq.read_metadata(p).num_rows]
-    column = next(c for c in (pq.read_metadata(files[0]).row_group(0).column(k) for k in range(4)) if c.path_in_schema.startswith("ids"))
+    column = next(c for c in (pq.read_metadata(files[0]).row_group(0).column(k) for k in range(5)) if c.path_in_schema.startswith("ids"))
     assert ("DELTA_BINARY_PACKED" in column.encodings) == (encoding == "delta")
     assert packed_tokens.catalogue(spark, packed_tokens.write_store(docs_of([(1, "a")]).limit(0), queries.WORD_BPE, str(tmp_path / "none"))).count() == 0
 
 
+def test_store_order_of_equal_ids(spark, docs_of, tmp_path):
+    """``start`` counts the ids that lie before a row in the files, for equal ids with different texts too."""
+    rows = [(7, f"text number {k} {'x ' * k}") for k in range(30)] + [(None, f"null {k}") for k in range(5)] + [(3, "a"), (9, "b")]
+    path = packed_tokens.write_store(docs_of(rows).repartition(4), queries.WORD_BPE, str(tmp_path / "store"))
+    at, want = 0, set()
+    for r in sorted(packed_tokens.read_store(spark, path).collect(), key=lambda r: (r["part"], r["place"])):
+        raw = np.array(r["ids"], "<u4").tobytes()
+        want.add((r["doc_id"], at, r["n_tokens"], zlib.crc32(raw)))
+        at += r["n_tokens"]
+    assert {tuple(r) for r in packed_tokens.catalogue(spark, path).collect()} == want
+    assert len(want) == len(rows)
+
+
 def brute_best(model, word):
     """Best score over all segmentations, by plain dynamic programming over every piece."""
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
@@ -195,6 +208,45 @@ def test_beam_search_is_no_worse_than_greedy():
     assert np.allclose(model.scores(x[:5], codes, norms), exact, atol=1e-4)
 
 
+def test_mix_equals_a_slot_by_slot_schedule(spark, docs_of):
+    """Positions against a schedule made slot by slot from the definition."""
+    from fractions import Fraction
+
+    rng = random.Random(6)
+    rows = [(k, "t", rng.choice(["a", "a", "a", "b", "c"])) for k in range(700)]
+    weights, cycle, block = {"a": 0.5, "b": 0.25}, 16, 4
+    out = mixing.mix(docs_of(rows), weights, block_rows=block, cycle=cycle).collect()
+    sizes = Counter(s if s in weights else "*" for _, _, s in rows)
+    left, done, order = {s: -(-n // block) for s, n in sizes.items()}, Counter(), []
+    while any(left.values()):
+        own = mixing.shares({s: w for s, w in mixing.targets(weights).items() if left.get(s)}, cycle)
+        whole = min(left[s] // own[s] for s in own)
+        for times, slots in ((whole, own), (1, None)):
+            slots = slots or {s: min(left[s], own[s]) for s in own if left[s]}
+            total = sum(slots.values())
+            for _ in range(times if slots else 0):
+                given: Counter = Counter()
+                for t in range(total):  # of all sources whose next block is released, the earliest deadline
+                    ready = [(math.ceil(Fraction((given[s] + 1) * total, n)), s) for s, n in slots.items() if given[s] < n and math.floor(Fraction(given[s] * total, n)) <= t]
+                    s = min(ready)[1]
+                    order.append((s, done[s]))
+                    given[s] += 1
+                    done[s] += 1
+                    left[s] -= 1
+    assert {(r["mix_source"], r["mix_block"], r["mix_slot"]) for r in out} == {(s, k, slot) for slot, (s, k) in enumerate(order)}
+
+
+def test_clashing_columns(spark, docs_of):
+    docs = docs_of([(k, "a b", "src0") for k in range(9)]).withColumns({c: F.lit("own") for c in ("mix_slot", "mix_block", "piece_ids", "n_pieces", "__source", "__rep")})
+    out = mixing.mix(docs)
+    assert sorted(out.columns) == sorted({*docs.columns, *mixing.ADDED}) and sorted(r["mix_position"] for r in out.collect()) == list(range(9))
+    assert mixing.mix(docs.limit(0)).columns == out.columns
+    for kept in (mixing.mixed(docs), near_join.keep_one(docs), exact_dedup.keep_one(docs)):
+        assert kept.columns == docs.columns and {r["mix_slot"] for r in kept.collect()} == {"own"}
+    coded = sentencepieces.encode(docs, queries.PIECE_MODEL)
+    assert coded.columns.count("piece_ids") == 1 and all(r["n_pieces"] for r in coded.collect())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 400), min_size=1))
 def test_pattern_deviates_by_less_than_one_block(slots):
