@@ -60,14 +60,9 @@ cat.scalar("f66_snippet", "documents", DOC, {"y": lambda: F.sha2(text.snippet(C(
 cat.scalar("f67_truncate", "documents", DOC, {"y": lambda: F.sha2(text.truncate(C("x"), 1000), 256)}, {"y": "sha256(CASE WHEN length(x) <= 1000 THEN x ELSE concat(regexp_replace(substr(x, 1, 700), '\\s+$', ''), ' [...] ', regexp_replace(right(x, 293), '^\\s+', '')) END)"})
 cat.scalar("f69_compress_blank_lines", "documents", {"k": "doc_id", "x": "concat(replace(replace(text, '. ', '.\n\n\n\n'), ', ', ',\n\n'), '\n ')"}, {"y": lambda: text.compress_blank_lines(C("x"))}, {"y": "trim(regexp_replace(x, '\\n{3,}', chr(10) || chr(10), 'g'), concat(' ', chr(10), chr(9)))"})
 cat.scalar("f62_f63_email_subject", "conversations", {"k": "concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING))", "x": "concat(CASE turn % 4 WHEN 0 THEN 'AW: WG: ' WHEN 1 THEN '[extern] Re[2]: ' WHEN 2 THEN 'Fwd:' ELSE '' END, text)"}, {"subject": lambda: text.clean_subject(C("x")), "title": lambda: text.email_title(C("x"), ".eml")}, {"subject": "trim(regexp_replace(x, '(?i)^(\\s*(\\[[^\\]]*\\])?\\s*(aw|wg|re|fwd|fw|antw|antwort)\\s*(\\[[0-9]+\\])?\\s*:\\s*)+', ''))", "title": "nullif(concat(rtrim(substr(trim(trim(trim(regexp_replace(regexp_replace(trim(regexp_replace(x, '(?i)^(\\s*(\\[[^\\]]*\\])?\\s*(aw|wg|re|fwd|fw|antw|antwort)\\s*(\\[[0-9]+\\])?\\s*:\\s*)+', '')), '[\\\\/:*?\"<>|]', '', 'g'), '\\s+', ' ', 'g')), '.')), 1, 120)), '.eml'), '.eml')"})
-cat.scalar("f70_coerce_code", "lineitem", {"k": LINE, "x": "CASE l_linenumber % 4 WHEN 0 THEN '05' WHEN 1 THEN '03 Verträge' WHEN 2 THEN 'none' ELSE ' 07-x' END"}, {"y": lambda: text.coerce_code(C("x"), ["03", "05", "07"])}, {"y": "CASE (k % 8) % 4 WHEN 0 THEN '05' WHEN 1 THEN '03' WHEN 3 THEN '07' END"})
 cat.scalar("f76_cap_text", "documents", DOC, {"n": lambda: F.length(F.substring(C("x"), 1, 2000))}, {"n": "least(length(x), 2000)"})
 cat.scalar("f77_template", "customer", {"k": "c_custkey", "a": "c_name", "b": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END"}, {"y": lambda: text.filled("{a} / {b}: {a}", {"a": C("a"), "b": C("b")})}, {"y": "concat(a, ' / ', coalesce(b, ''), ': ', a)"})
-cat.scalar("p16_mask_email", "customer", {"k": "c_custkey", "x": "CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE concat('user', CAST(c_custkey AS STRING), '@mail', CAST(c_custkey % 9 AS STRING), '.example') END"}, {"y": lambda: text.mask_email(C("x"))}, {"y": "CASE WHEN k % 4 <> 0 THEN 'u***@m***.example' END"})
-cat.scalar("y19_names_match", "customer", {"k": "c_custkey", "a": "concat('Wohnpark ', c_mktsegment)", "b": "CASE c_custkey % 3 WHEN 0 THEN 'WOHNP. Nord' WHEN 1 THEN 'Haus building' ELSE 'xy' END"}, {"y": lambda: text.names_match(C("a"), C("b"))}, {"y": "CASE k % 3 WHEN 0 THEN true WHEN 1 THEN lower(a) LIKE '%building' ELSE false END"})
 cat.scalar("s24_alnum_ratio", "documents", DOC, {"y": lambda: F.round(text.alnum_ratio(C("x")), 6)}, {"y": "round(coalesce(length(regexp_replace(regexp_replace(x, '\\s', '', 'g'), '[^\\pL\\pN]', '', 'g')) / nullif(length(regexp_replace(x, '\\s', '', 'g')), 0), 0), 6)"})
-cat.scalar("s22_looks_like_html", "pages", {"k": "page_id", "x": "CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN concat('<!-- c -->', html) WHEN 2 THEN concat('text ', html) ELSE 'plain' END"}, {"y": lambda: text.looks_like_html(C("x"))}, {"y": "k % 4 IN (0, 1)"})
-
 # ---- bank data
 IBAN = "concat('de', lpad(CAST(98 - 0 AS STRING), 2, '0'), ' ', lpad(CAST(c_custkey * 7919 + 370400440000000000 AS STRING), 18, '0'))"
 DUCK_IBAN = "concat(substr(upper(replace(x, ' ', '')), 1, 2), replace(substr(upper(replace(x, ' ', '')), 3), 'O', '0'))"
@@ -76,24 +71,13 @@ cat.scalar("f02_normalize_iban", "customer", {"k": "c_custkey", "x": "concat('de
 cat.scalar("f03_mod97", "customer", {"k": "c_custkey", "x": "concat('DE', lpad(CAST(c_custkey % 97 + 2 AS STRING), 2, '0'), CAST((c_custkey - c_custkey % 97) * 7919 + 370400440000000000 AS STRING))"}, {"y": lambda: bank.mod97(C("x"))}, {"y": REST})
 cat.scalar("f04_f19_keyed_hash", "customer", {"k": "c_custkey", "x": "c_name"}, {"y": lambda: bank.hmac_sha256(C("x"), b"fixture-key")}, {"y": "sha256(unhex(concat('" + bytes(b ^ 0x5C for b in b"fixture-key".ljust(64, b"\0")).hex() + "', sha256(unhex(concat('" + bytes(b ^ 0x36 for b in b"fixture-key".ljust(64, b"\0")).hex() + "', hex(encode(x))))))))"})
 # ---- labels and addresses
-LABEL = "CASE p_partkey % 7 WHEN 0 THEN concat('WE 0', CAST(p_partkey % 40 + 1 AS STRING)) WHEN 1 THEN concat('we.', CAST(p_partkey % 40 + 1 AS STRING), 'a') WHEN 2 THEN concat('TG ', CAST(p_partkey % 40 + 1 AS STRING), ' - Hof') WHEN 3 THEN CAST(p_partkey % 40 + 1 AS STRING) WHEN 4 THEN 'Keller' WHEN 5 THEN concat('Stp-', CAST(p_partkey % 40 + 1 AS STRING)) ELSE concat('WE 00', CAST(p_partkey % 40 + 1 AS STRING), ' b') END"
 NUM = "CAST(k % 40 + 1 AS VARCHAR)"
-UNIT_KEY = f"CASE k % 7 WHEN 0 THEN concat('WE', {NUM}) WHEN 1 THEN concat('WE', {NUM}, 'A') WHEN 2 THEN concat('TG', {NUM}) WHEN 3 THEN {NUM} WHEN 4 THEN 'KELLER' WHEN 5 THEN concat('STP', {NUM}) ELSE concat('WE', {NUM}, 'B') END"
-cat.scalar("f43_f44_parse_unit", "part", {"k": "p_partkey", "x": LABEL}, {c: (lambda c=c: labels.parse_unit(C("x"), {"WE": "apartment", "TG": "garage"})[c]) for c in ("key", "number", "suffix", "rest", "type")}, {"key": UNIT_KEY, "number": f"CASE WHEN k % 7 <> 4 THEN {NUM} END", "suffix": "CASE k % 7 WHEN 1 THEN 'a' WHEN 6 THEN 'b' ELSE '' END", "rest": "CASE WHEN k % 7 = 2 THEN 'Hof' END", "type": "CASE k % 7 WHEN 0 THEN 'apartment' WHEN 1 THEN 'apartment' WHEN 6 THEN 'apartment' WHEN 3 THEN 'apartment' WHEN 2 THEN 'garage' ELSE 'other' END"})
-cat.scalar("f45_same_unit", "part", {"k": "p_partkey", "x": LABEL, "z": "concat('WE ', CAST(p_partkey % 40 + 1 AS STRING))"}, {"y": lambda: labels.same_unit(C("x"), C("z"))}, {"y": "k % 7 = 0"})
 cat.scalar("f46_unit_variants", "part", {"k": "p_partkey", "n": "CAST(p_partkey % 40 + 1 AS STRING)"}, {"n_variants": lambda: F.size(labels.unit_variants(["WE", "Whg"], C("n"))), "has": lambda: F.array_contains(labels.unit_variants(["WE", "Whg"], C("n")), F.concat(F.lit("WE-0"), C("n")))}, {"n_variants": "CASE WHEN length(n) = 1 THEN 24 ELSE 16 END", "has": "true"})
-cat.scalar("f38_y12_y22_object_number", "part", {"k": "p_partkey", "x": "CASE p_partkey % 4 WHEN 0 THEN concat('0', CAST(p_partkey % 900 + 10 AS STRING), ' ', p_brand) WHEN 1 THEN concat(CAST(p_partkey % 900 + 10 AS STRING), '_', p_brand) WHEN 2 THEN concat(CAST(p_partkey % 900 + 10 AS STRING), 'x') ELSE p_name END"}, {"number": lambda: labels.object_number(C("x"))["number"], "rest": lambda: labels.object_number(C("x"))["rest"]}, {"number": "CASE WHEN k % 4 < 2 THEN k % 900 + 10 END", "rest": "CASE WHEN k % 4 < 2 THEN regexp_extract(x, '(Brand.*)$', 1) END"})
 cat.scalar("f39_normalize_object_number", "part", {"k": "p_partkey", "x": "concat('Obj. 00', CAST(p_partkey AS STRING))"}, {"y": lambda: labels.normalize_object_number(C("x"), 3)}, {"y": "lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INT), '0')"})
 cat.scalar("f40_folder_name", "customer", {"k": "c_custkey", "city": "CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Köln' END", "street": "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Ring' END"}, {"y": lambda: labels.object_folder_name("{number} {city}, {street}", number=C("k"), city=C("city"), street=C("street"))}, {"y": "concat(CAST(k AS VARCHAR), CASE WHEN city = '' THEN '' ELSE ' Köln' END, CASE WHEN street = '' THEN '' ELSE ', Ring' END)"})
-cat.scalar("f41_f42_loose_match", "part", {"k": "p_partkey", "a": "CASE p_partkey % 3 WHEN 0 THEN '05_Verträge' WHEN 1 THEN '5 Vertraege' ELSE 'Belege' END"}, {"norm": lambda: labels.folder_norm(C("a")), "loose": lambda: labels.loose_match(C("a"), F.lit("05 Verträge"))}, {"norm": "CASE k % 3 WHEN 0 THEN '05 vertraege' WHEN 1 THEN '5 vertraege' ELSE 'belege' END", "loose": "k % 3 < 2"})
-HOUSE = "CASE s_suppkey % 5 WHEN 0 THEN CAST(s_suppkey % 90 + 1 AS STRING) WHEN 1 THEN concat(CAST(s_suppkey % 90 + 1 AS STRING), ' a') WHEN 2 THEN concat(CAST(s_suppkey % 90 + 1 AS STRING), ' - ', CAST(s_suppkey % 90 + 5 AS STRING)) WHEN 3 THEN concat(CAST(s_suppkey % 90 + 5 AS STRING), '-', CAST(s_suppkey % 90 + 1 AS STRING)) ELSE 'ohne' END"
-cat.scalar("f53_house_number", "supplier", {"k": "s_suppkey", "x": HOUSE}, {c: (lambda c=c: labels.house_number(C("x"))[c]) for c in ("num", "suffix", "upto")}, {"num": "CASE k % 5 WHEN 3 THEN k % 90 + 5 WHEN 4 THEN NULL ELSE k % 90 + 1 END", "suffix": "CASE WHEN k % 5 = 1 THEN 'a' ELSE '' END", "upto": "CASE WHEN k % 5 = 2 THEN k % 90 + 5 END"})
-cat.scalar("j16_f49_house_overlap", "supplier", {"k": "s_suppkey", "x": HOUSE}, {"y": lambda: labels.house_numbers_overlap(labels.house_number(C("x")), labels.house_number(F.lit("10-40")))}, {"y": "CASE k % 5 WHEN 0 THEN k % 90 + 1 BETWEEN 10 AND 40 WHEN 2 THEN k % 90 + 1 <= 40 AND k % 90 + 5 >= 10 WHEN 3 THEN k % 90 + 5 BETWEEN 10 AND 40 ELSE false END"})
 cat.scalar("f55_address_variants", "supplier", {"k": "s_suppkey", "n": "CAST(s_suppkey AS STRING)"}, {"y": lambda: F.array_join(labels.address_variants(F.lit("Lange Straße"), C("n"), F.lit("50667"), F.lit("Köln")), "|")}, {"y": "concat('langestr ', n, '|langestr ', n, ' 50667 koeln|langestr ', n, ' koeln')"})
 cat.scalar("f52_repair_ocr", "supplier", {"k": "s_suppkey", "x": "CASE s_suppkey % 6 WHEN 0 THEN 'l2' WHEN 1 THEN '1o' WHEN 2 THEN '3l4' WHEN 3 THEN '12b' WHEN 4 THEN 'o8-lo' ELSE 'Ios5' END"}, {"y": lambda: labels.repair_ocr_digits(C("x"))}, {"y": "CASE k % 6 WHEN 0 THEN '12' WHEN 1 THEN '10' WHEN 2 THEN '314' WHEN 3 THEN '12b' WHEN 4 THEN '08-lo' ELSE 'ios5' END"})
-cat.scalar("f32_strip_legal_form", "customer", {"k": "c_custkey", "x": "CASE c_custkey % 4 WHEN 0 THEN 'Muster GmbH & Co. KG' WHEN 1 THEN 'Haus AG' WHEN 2 THEN 'GmbH' ELSE 'Agentur Bau' END"}, {"y": lambda: labels.strip_legal_form(C("x"), ["GmbH & Co. KG", "GmbH", "AG", "KG"])}, {"y": "CASE k % 4 WHEN 0 THEN 'Muster' WHEN 1 THEN 'Haus' WHEN 2 THEN 'GmbH' ELSE 'Agentur Bau' END"})
 PREFIX = {"apartment": "WE", "garage": "TG", "other": "VE"}
-cat.scalar("f33_unit_token", "part", {"k": "p_partkey", "x": LABEL}, {"y": lambda: labels.unit_token(C("x"), F.lit("garage"), PREFIX)}, {"y": f"CASE WHEN k % 7 = 4 THEN 'Keller' ELSE concat('TG', lpad({NUM}, 2, '0'), CASE k % 7 WHEN 1 THEN 'a' WHEN 6 THEN 'b' ELSE '' END) END"})
 cat.scalar("f34_f35_f37_owner_folder", "customer", {"k": "c_custkey", "label": "concat('WE ', CAST(c_custkey % 30 + 1 AS STRING))", "names": "CASE c_custkey % 3 WHEN 0 THEN array('Weiß', 'Abel') WHEN 1 THEN array('Zorn') ELSE array('C', 'B', 'A') END".replace("array(", "array(")}, {"y": lambda: labels.owner_folder_name(C("label"), F.lit("apartment"), C("names"), PREFIX)}, None)
 ORACLE_SQL["f34_f35_f37_owner_folder"] = "SELECT c_custkey AS k, concat('WE', lpad(CAST(c_custkey % 30 + 1 AS VARCHAR), 2, '0'), '_', CASE c_custkey % 3 WHEN 0 THEN 'Abel_Weiss' WHEN 1 THEN 'Zorn' ELSE 'A_u_a' END) AS y FROM customer"
 

@@ -9,6 +9,7 @@ from ..functions import evidence, people, similarity
 from ..operators import classifier, mapping, records, rules
 from ..sources import formats, tables
 from .base import C, Catalogue, table
+from .imports import one_of
 
 cat = Catalogue()
 QUERIES, ORACLE_SQL = cat.queries, cat.oracles
@@ -102,12 +103,26 @@ def gazetteer(spark, sf_dir):
     return rules.gazetteer_hits(pages, n).groupBy(C("page_id").alias("doc_id"), C("object_id").alias("n_nationkey")).agg(F.count("*").alias("hits"))
 
 
-@cat.query("s18_s19_kinds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'image' ELSE 'unsupported' END AS kind FROM pages")
+FILE_NAME = one_of("page_id", "'a.PDF'", "'b.tmp'", "'c'", "'d.xyz'", "'e.Jpeg'", "'f.docx'", "'g.html'", "'h.eml'", "'i.xls'", "'j.crdownload'", "'k.tar.gz'")
+MEDIA = one_of("page_id", "'application/octet-stream'", "'image/png'", "'text/html'", "'application/pdf'", "'message/rfc822'", "'application/vnd.google-apps.document'")
+FILE_TEXT = one_of("page_id", "html", "concat(chr(10), '%PDF-1.7 ', url)", "concat('From: a@b.example', chr(10), 'Subject: ', url, chr(10), chr(10), 'x')", "'plain'")
+
+
+@cat.query("s18_s19_kinds", f"""
+    WITH f AS (SELECT page_id, {FILE_NAME} AS name, {MEDIA} AS mime, {FILE_TEXT} AS body FROM pages),
+    x AS (SELECT *, lower(regexp_extract(name, '[.]([^.]+)$', 1)) AS suffix FROM f),
+    n AS (SELECT *, CASE WHEN mime = 'application/vnd.google-apps.document' THEN 'google_doc' WHEN suffix = 'pdf' THEN 'pdf'
+              WHEN suffix IN ('jpg', 'jpeg', 'png', 'tif', 'tiff', 'gif', 'bmp', 'webp') THEN 'image' WHEN suffix IN ('docx', 'xlsx', 'odt', 'ods', 'csv', 'txt') THEN 'office'
+              WHEN suffix IN ('eml', 'msg') THEN 'email' WHEN suffix IN ('html', 'htm') THEN 'html' WHEN suffix IN ('doc', 'xls', 'ppt', 'rtf') THEN 'office_legacy'
+              WHEN starts_with(mime, 'image/') THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime = 'text/html' THEN 'html' WHEN mime = 'message/rfc822' THEN 'email' ELSE 'unsupported' END AS by_name FROM x),
+    o AS (SELECT *, by_name = 'unsupported' OR regexp_matches(lower(name), '[.](tmp|part|crdownload)$') AS odd FROM n)
+    SELECT page_id, odd AS content_checked, CASE WHEN NOT odd THEN by_name WHEN contains(substr(body, 1, 1024), '%PDF') THEN 'pdf' WHEN starts_with(lower(ltrim(body)), '<html') OR starts_with(lower(ltrim(body)), '<!doctype html') THEN 'html'
+              WHEN starts_with(body, 'From:') THEN 'email' ELSE 'unsupported' END AS kind FROM o""")
 def kinds(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("name", F.element_at(F.array(*map(F.lit, ("a.PDF", "b.tmp", "c", "d.xyz"))), (C("page_id") % 4 + 1).cast("int")))
-    mime = F.when(C("page_id") % 4 == 2, "image/png").otherwise("application/octet-stream")
-    content = F.when(C("page_id") % 4 == 3, "plain").otherwise(C("html")).cast("binary")
-    return p.select("page_id", formats.kind_checked(C("name"), mime, content)["kind"].alias("kind"))
+    """The name decides, the content where the name says nothing or is temporary."""
+    f = table(spark, sf_dir, "pages").selectExpr("page_id", f"{FILE_NAME} AS name", f"{MEDIA} AS mime", f"{FILE_TEXT} AS body")
+    checked = formats.kind_checked(C("name"), C("mime"), C("body").cast("binary"))
+    return f.select("page_id", checked.alias("c")).select("page_id", "c.content_checked", "c.kind")
 
 
 @cat.query("s20_s21_sniff", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'email' WHEN 2 THEN 'png' END AS kind FROM pages")
@@ -128,12 +143,23 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", formats.html_to_text(C("html")).alias("text"))
 
 
-@cat.query("s30_header_block", "SELECT conv_id, turn, 'Betr ' || conv_id AS subject, 'Max ' || turn AS from_name, 'max' || turn || '@haus.example' AS from_address FROM conversations")
+HEADED = one_of("turn", "concat('Von: Max ', CAST(turn AS STRING), ' <MAX', CAST(turn AS STRING), '@haus.example>', chr(10), 'An: x', chr(10), 'Betreff: Betr ', CAST(conv_id AS STRING), chr(10), chr(10), 'Betreff: other')", "concat('Betreff:  ', role, chr(10), 'Von: ', role, '@Mail.example', chr(10), 'Datum: heute', chr(10))", "concat('Guten Tag', chr(10), chr(10), 'Von: niemand')", "coalesce(text, '')")
+HEAD = "regexp_replace(x, '\\n\\s*\\n[\\s\\S]*$', '')"
+
+
+def headed(name: str) -> str:
+    return f"nullif(trim(regexp_extract(array_to_string(string_split({HEAD}, chr(10))[:8], chr(10)), '(?m)^{name}:(.*)$', 1)), '')"
+
+
+@cat.query("s30_header_block", f"""
+    WITH p AS (SELECT conv_id, turn, {HEADED} AS x FROM conversations)
+    SELECT conv_id, turn, {headed("Betreff")} AS subject, nullif(trim(regexp_extract({headed("Von")}, '^([^<]*)<', 1)), '') AS from_name,
+           lower(nullif(regexp_extract({headed("Von")}, '([^\\s<>]+@[^\\s<>]+)', 1), '')) AS from_address, {headed("Datum")} AS date FROM p""")
 def header_block(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    page = F.concat(F.lit("Von: Max "), C("turn").cast("string"), F.lit(" <MAX"), C("turn").cast("string"), F.lit("@haus.example>\nAn: x\nBetreff: Betr "), C("conv_id").cast("string"), F.lit("\n\nBetreff: other"))
-    h = formats.header_block(page)
-    return c.select("conv_id", "turn", h["subject"].alias("subject"), h["from_name"].alias("from_name"), h["from_address"].alias("from_address"))
+    """Fields from the head of a page that begins like a message."""
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{HEADED} AS x")
+    h = formats.header_block(C("x"))
+    return c.select("conv_id", "turn", h["subject"].alias("subject"), h["from_name"].alias("from_name"), h["from_address"].alias("from_address"), h["date"].alias("date"))
 
 
 @cat.query("s06_s07_s08_profiles", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'vendor' WHEN 1 THEN 'contacts' ELSE 'generic' END AS profile FROM part")
