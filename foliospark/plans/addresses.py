@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import addresses
+from ..functions import addresses, leases
 from .base import C, Catalogue, table
 from .imports import one_of
 
@@ -94,3 +94,23 @@ cat.query(
     .select("k", addresses.role_hint(F.lower("b"), C("a")).alias("r"))
     .select("k", "r.role", "r.word")
 )
+
+
+START = "CAST(o_orderdate AS DATE)"
+LEASE = f"""concat('Mietvertrag. Mietbeginn: ', CAST(day({START}) AS STRING), '.', CAST(month({START}) AS STRING), '.', CAST(year({START}) AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN concat(', befristet bis 31.12.', CAST(year({START}) + 3 AS STRING)) ELSE '' END,
+ '. Kaltmiete ', CAST(o_custkey % 900 + 100 AS STRING), ',50 EUR; Nebenkosten: ', CAST(o_custkey % 90 + 10 AS STRING), ',- €; ', CASE o_orderkey % 4 WHEN 0 THEN concat('Kaution ', CAST(o_orderkey % 4000 + 10 AS STRING), ',00 Euro') WHEN 1 THEN 'Kaution: zwei Kaltmieten' ELSE 'keine Sicherheit' END)"""
+cat.query(
+    "e03_lease_terms",
+    f"""
+    WITH t AS (SELECT o_orderkey AS k, {LEASE} AS text FROM orders),
+    a AS (SELECT k, text, CAST(replace(regexp_extract(text, 'Kaltmiete ([0-9]+,50)', 1), ',', '.') AS DECIMAL(18, 2)) AS rent, CAST(replace(nullif(regexp_extract(text, 'Kaution ([0-9]+,00)', 1), ''), ',', '.') AS DECIMAL(18, 2)) AS told FROM t),
+    d AS (SELECT *, coalesce(told, CASE WHEN contains(text, 'zwei Kaltmieten') THEN 2 * rent END) AS deposit FROM a)
+    SELECT k, try_strptime(regexp_extract(text, 'Mietbeginn: ([0-9.]+[0-9])', 1), '%d.%m.%Y')::DATE::VARCHAR AS start_date, try_strptime(nullif(regexp_extract(text, 'befristet bis ([0-9.]+[0-9])', 1), ''), '%d.%m.%Y')::DATE::VARCHAR AS end_date,
+           rent AS base_rent, CAST(regexp_extract(text, 'Nebenkosten: ([0-9]+)', 1) AS DECIMAL(18, 2)) AS utilities, CAST(CASE WHEN deposit <= 3 * rent THEN deposit END AS DECIMAL(18, 2)) AS deposit
+    FROM d""",
+)(
+    lambda spark, sf_dir: table(spark, sf_dir, "orders")
+    .selectExpr("o_orderkey AS k", f"{LEASE} AS text")
+    .select("k", leases.lease_terms(C("text")).alias("t"))
+    .select("k", C("t.start_date").cast("string").alias("start_date"), C("t.end_date").cast("string").alias("end_date"), C("t.base_rent").alias("base_rent"), C("t.utilities_prepayment").alias("utilities"), C("t.deposit_amount").alias("deposit"))
+)
