@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import asked_of, bitmap_of, whole_text, written
+from .common import asked_of, bitmap_of, whole_text, with_own_names, written
 from .grouped import components, join_by_key, map_groups
 from .words import WordHasher, mix, ngrams
 
@@ -240,14 +241,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     members = picks.select("rep", "run", F.explode(F.col("levels")[0]).alias("token")).select("rep", "run", F.xxhash64(F.lit(0).cast("long"), F.col("run"), "token").alias("path"))
     found = []
     for level in range(LEVELS):
-        sizes = members.groupBy("path").agg(F.count("*").cast("int").alias("members")).where("members > 1")
-        sized = written(members.join(sizes, "path"), f"paths{level}")
+        sizes = written(members.groupBy("path").agg(F.count("*").cast("int").alias("members")).where("members > 1").withColumn("n", F.col("members")), f"sizes{level}")
+        sized = written(join_by_key(members, sizes, "path", "n"), f"paths{level}")
         last = level == LEVELS - 1
         found.append(sized.where(F.lit(True) if last else F.col("members") <= limit).select("path", "rep", "members"))
         if last or not sized.where(F.col("members") > limit).limit(1).count():
             break
         deeper = sig.select("rep", F.posexplode("picks").alias("run", "levels")).select("rep", "run", F.col("levels")[level + 1].alias("next"))
-        members = sized.where(F.col("members") > limit).join(deeper, ["rep", "run"]).select("rep", "run", "path", F.explode("next").alias("token")).select("rep", "run", F.xxhash64("path", "run", "token").alias("path"))
+        again = sized.where(F.col("members") > limit).join(deeper, ["rep", "run"]).select("rep", "run", "path", F.explode("next").alias("token"))
+        members = written(again.select("rep", "run", F.xxhash64("path", "run", "token").alias("path")), f"members{level + 1}")
     buckets = found[0]
     for more in found[1:]:
         buckets = buckets.unionByName(more)
@@ -302,11 +304,12 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The rows of ``docs`` that stay, with all their columns: of each class the one with the least id.
 
     Only texts that may have to go travel: a bitmap of fixed size tells them from the rest. They meet the ids that
-    stay by text and id, so the copies of one frequent text spread over all tasks. Column names that begin with two
-    underscores are reserved.
+    stay by text and id, so the copies of one frequent text spread over all tasks.
     """
-    if reserved := [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError(f"reserved column names: {reserved}")
+    return with_own_names(docs, partial(first_of_classes, **options), id_column=id_column, text_column=text_column)
+
+
+def first_of_classes(docs: DataFrame, id_column: str, text_column: str, **options) -> DataFrame:
     found = written(classes(docs, id_column=id_column, text_column=text_column, **options).where("class_size > 1 and head is not null").select("doc_id", "rep", "head", "class_id"), "near-found")
     bitmap = written(bitmap_of(found.select("rep"), "rep"), "near-bitmap")
     stay = found.where("rep = head and doc_id <=> class_id").select(F.col("rep").alias("__stay"), F.col("doc_id").alias("__id")).distinct()
