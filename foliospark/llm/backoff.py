@@ -11,7 +11,7 @@ count that the places (.., a, b) and (a, b, c) need counts rows that have the sa
 they meet the n-grams that they count without another shuffle, and the terms are summed by document.
 
 A frequent word would gather in one task, so the key is as long as it must be: the rows of a frequent word are dealt
-by its 2-gram, those of a frequent 2-gram by the 3-gram, once looking back (a, b) and once looking ahead (b, c). Which
+by its 2-grams, and those of a frequent 2-gram by the 3-gram. Which
 n-grams are frequent comes from a sample of ``SAMPLE`` places; there can be only about ``SHARE`` of each length. Their counts
 are exact, over all documents, and are broadcast; a wrong guess would cost time and change no result. Places whose n-grams
 are all frequent are scored where they are.
@@ -43,7 +43,7 @@ MIN_COUNT = 2
 #: Places in the sample that tells which n-grams are frequent, and the part of it that makes one so.
 SAMPLE = 1 << 22
 SHARE = 16_384
-SLICES = 8
+SLICES = 5
 #: Words that a task looks at together.
 STEP = 1 << 18
 #: Terms are summed as two whole numbers of these units: large terms of opposite sign cancel exactly, in any order.
@@ -54,8 +54,9 @@ START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 AHEAD, FIRST, SECOND, LAST = 1, 2, 4, 8
 
 WORDS = "doc_id long, n_tokens int, words array<long>"
-BY_WORD = "row long, key long, near long, far long, kind int"
-BY_PAIR = "row long, key long, far long, kind int, n_word long, n_pair long"
+BY_WORD = "row long, key long, prev long, next long, kind int"
+BY_PAIR = "row long, key long, prev long, next long, kind int, n_x long, n_y long"
+BY_THREE = "row long, key long, kind int, n_word long, n_pair long"
 
 
 def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -203,42 +204,53 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
 
 
 def asked_by_word(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Two rows for each place of a word that isn't frequent: back, ``near`` is a and ``far`` c; ahead, ``near`` is c and ``far`` a."""
+    """One row for each place of a word that isn't frequent, between ``prev`` and ``next``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in places(batches):
             on = np.flatnonzero(slice_of(p.b, slices) == slice_no)
             on = on[known(p.b[on]) == 0]
-            if not len(on):
-                continue
-            kind = kinds(p, on)
-            for ahead, near, far in ((0, p.a, p.c), (AHEAD, p.c, p.a)):
-                yield batch_of(row=p.row[on], key=mix(p.b[on] ^ np.uint64(ahead)), near=near[on], far=far[on], kind=kind | np.int32(ahead))
+            if len(on):
+                yield batch_of(row=p.row[on], key=p.b[on], prev=p.a[on], next=p.c[on], kind=kinds(p, on))
 
     return run
 
 
 def asked_by_pair(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """At most two rows for each place of a frequent word: back, by (a, b) with ``far`` c; ahead, by (b, c) with ``far`` a.
+    """One row for each 2-gram (x, y) that isn't frequent and has a frequent word, between ``prev`` and ``next``.
 
-    If the 2-gram is frequent too, the key is the 3-gram, and ``far`` is empty.
+    It answers what y asks looking back and what x asks looking ahead, as far as they are frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in places(batches):
-            frequent_word = known(p.b)
-            for ahead, pairs, ends, far in ((0, p.ab, p.first, p.c), (AHEAD, p.bc, p.last, p.a)):
-                on = np.flatnonzero((frequent_word > 0) & ~ends & (slice_of(pairs, slices) == slice_no))
-                if not len(on):
-                    continue
-                pair, three = pairs[on], p.abc[on]
-                n_pair = known(pair)
-                other = (p.last if ahead == 0 else p.first)[on]  # no 3-gram there
-                open_ = (n_pair == 0) | ~other & (known(three) == 0)
-                on, pair, three, n_pair = on[open_], pair[open_], three[open_], n_pair[open_]
-                rare = n_pair == 0
-                key = mix(np.where(rare, pair, three) ^ np.uint64(ahead + 1))
-                yield batch_of(row=p.row[on], key=key, far=np.where(rare, far[on], np.uint64(0)), kind=kinds(p, on) | np.int32(ahead), n_word=frequent_word[on], n_pair=n_pair)
+            on = np.flatnonzero(~p.first & (slice_of(p.ab, slices) == slice_no))
+            n_x, n_y = known(p.a[on]), known(p.b[on])
+            open_ = ((n_x > 0) | (n_y > 0)) & (known(p.ab[on]) == 0)
+            on, n_x, n_y = on[open_], n_x[open_], n_y[open_]
+            if len(on):  # the word before a document's second word is its first one
+                prev = np.where(p.at[on] == 1, START, p.a[on - 1])
+                yield batch_of(row=p.row[on], key=p.ab[on], prev=prev, next=p.c[on], kind=kinds(p, on), n_x=n_x, n_y=n_y)
+
+    return run
+
+
+def asked_by_three(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """At most two rows for each place of a frequent word, one for each frequent 2-gram in a 3-gram that isn't frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in places(batches):
+            on = np.flatnonzero(~p.first & ~p.last & (slice_of(p.abc, slices) == slice_no))
+            n_word = known(p.b[on])
+            on, n_word = on[n_word > 0], n_word[n_word > 0]
+            open_ = known(p.abc[on]) == 0
+            on, n_word = on[open_], n_word[open_]
+            for ahead, pairs in ((0, p.ab), (AHEAD, p.bc)):
+                n_pair = known(pairs[on])
+                hit = n_pair > 0
+                if hit.any():
+                    at = on[hit]
+                    yield batch_of(row=p.row[at], key=mix(p.abc[at] ^ np.uint64(ahead)), kind=kinds(p, at) | np.int32(ahead), n_word=n_word[hit], n_pair=n_pair[hit])
 
     return run
 
@@ -248,40 +260,68 @@ def kinds(p: Places, on: np.ndarray) -> np.ndarray:
     return ((at == 0) * FIRST + (at == 1) * SECOND + p.last[on] * LAST).astype(np.int32)
 
 
-def terms(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int, total: int) -> tuple[Column, Column]:
-    """What a row adds to its document's score and number of full matches."""
+def back_term(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int, total: int) -> Column:
+    """What a place asks looking back: its own share if its 2-gram is too rare, and the context of the place behind it."""
     has = lambda bit: kind.bitwiseAND(bit) != 0
-    step = math.log(alpha)
-    whole = ~has(FIRST) & ~has(LAST) & (three >= min_count)
-    # Looking back: the place's own share if its 2-gram is too rare, and the context of the place behind it.
     steps = F.when(has(FIRST), 0).when(has(SECOND), 1).otherwise(2)
-    share = F.when(has(FIRST) | (pair < min_count), steps * step + F.log(word) - math.log(max(total, 1))).otherwise(0.0)
-    back = share - F.when(whole, F.log(pair)).otherwise(0.0)
-    # Looking ahead: the place behind it by its 3-gram, else by its 2-gram.
-    by_pair = F.when(has(FIRST), 0.0).otherwise(step) + F.log(pair) - F.log(word)
-    ahead = F.when(has(LAST), 0.0).when(whole, F.log(three)).when(pair >= min_count, by_pair).otherwise(0.0)
-    full = F.when(has(AHEAD), whole | has(FIRST) & ~has(LAST) & (pair >= min_count)).otherwise(has(FIRST))
-    return F.when(has(AHEAD), ahead).otherwise(back), full.cast("long")
+    share = F.when(has(FIRST) | (pair < min_count), steps * math.log(alpha) + F.log(word) - math.log(max(total, 1))).otherwise(0.0)
+    return share - F.when(~has(FIRST) & ~has(LAST) & (three >= min_count), F.log(pair)).otherwise(0.0)
+
+
+def ahead_term(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int) -> tuple[Column, Column]:
+    """What a place asks looking ahead: the place behind it by its 3-gram, else by its 2-gram; and whether that is a full match."""
+    has = lambda bit: kind.bitwiseAND(bit) != 0
+    whole = ~has(FIRST) & ~has(LAST) & (three >= min_count)
+    by_pair = F.when(has(FIRST), 0.0).otherwise(math.log(alpha)) + F.log(pair) - F.log(word)
+    value = F.when(has(LAST), 0.0).when(whole, F.log(three)).when(pair >= min_count, by_pair).otherwise(0.0)
+    return value, whole | has(FIRST) & ~has(LAST) & (pair >= min_count)
+
+
+def pair_terms(kind: Column, alpha: float, min_count: int, total: int) -> tuple[Column, Column]:
+    """What a row of ``asked_by_pair`` adds, with the counts ``pair``, ``n_prev`` and ``n_next`` of its n-grams."""
+    step, pair = math.log(alpha), F.log("pair")
+    second, last, often = kind.bitwiseAND(SECOND) != 0, kind.bitwiseAND(LAST) != 0, F.col("pair") >= min_count
+    share = F.when(often, 0.0).otherwise(F.when(second, step).otherwise(2 * step) + F.log("n_y") - math.log(max(total, 1)))
+    back = share - F.when(~last & (F.col("n_next") >= min_count), pair).otherwise(0.0)
+    whole = ~second & (F.col("n_prev") >= min_count)
+    ahead = F.when(whole, F.log("n_prev")).when(often, F.when(second, 0.0).otherwise(step) + pair - F.log("n_x")).otherwise(0.0)
+    asks_x = F.col("n_x") > 0
+    full = asks_x & (whole | second & often)
+    return F.when(F.col("n_y") > 0, back).otherwise(0.0) + F.when(asks_x, ahead).otherwise(0.0), full.cast("long")
+
+
+def dealt(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition(order[0]).sortWithinPartitions(*order)
 
 
-def counted(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` with ``n1``, ``n2``, ..: how many have the same first key, the same first two, and so on."""
-    out = rows.repartition(keys[0]).sortWithinPartitions(*keys)
-    for k in range(len(keys)):
-        out = out.withColumn(f"n{k + 1}", F.count("*").over(Window.partitionBy(*keys[: k + 1])))
-    return out
+def rows_of(*keys: str) -> Column:
+    """How many rows have the same keys."""
+    return F.count("*").over(Window.partitionBy(*keys))
 
 
 def answered(words: DataFrame, known: Known, slice_no: int, slices: int, alpha: float, min_count: int, total: int) -> DataFrame:
     """Sums by row of the questions of one slice."""
-    value = lambda word, pair, three: [c.alias(n) for c, n in zip(terms(word, pair, three, F.col("kind"), alpha, min_count, total), ("score", "full"), strict=True)]
-    n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
-    by_word = counted(words.mapInArrow(asked_by_word(known, slice_no, slices), BY_WORD), "key", "near", "far").select("row", *value(n1, n2, n3))
-    pair = F.when(F.col("n_pair") > 0, F.col("n_pair")).otherwise(n1)
-    by_pair = counted(words.mapInArrow(asked_by_pair(known, slice_no, slices), BY_PAIR), "key", "far").select("row", *value(F.col("n_word"), pair, n2))
+    kind, n1, n3 = F.col("kind"), F.col("n1"), F.col("n3")
+    named = lambda value, full: (value.alias("score"), full.cast("long").alias("full"))
+    first = (kind.bitwiseAND(FIRST) != 0).cast("long")
+
+    by_word = dealt(words.mapInArrow(asked_by_word(known, slice_no, slices), BY_WORD), "key", "prev", "next")
+    by_word = by_word.withColumn("n1", rows_of("key")).withColumn("n_prev", rows_of("key", "prev")).withColumn("n3", rows_of("key", "prev", "next")).withColumn("n_next", rows_of("key", "next"))
+    value, full = ahead_term(n1, F.col("n_next"), n3, kind, alpha, min_count)
+    every = by_word.select("row", *named(back_term(n1, F.col("n_prev"), n3, kind, alpha, min_count, total) + value, full.cast("long") + first))
+
+    by_pair = dealt(words.mapInArrow(asked_by_pair(known, slice_no, slices), BY_PAIR), "key", "prev")
+    by_pair = by_pair.withColumn("pair", rows_of("key")).withColumn("n_prev", rows_of("key", "prev")).withColumn("n_next", rows_of("key", "next"))
+    every = every.unionByName(by_pair.select("row", *named(*pair_terms(kind, alpha, min_count, total))))
+
+    by_three = dealt(words.mapInArrow(asked_by_three(known, slice_no, slices), BY_THREE), "key").withColumn("n3", rows_of("key"))
+    value, full = ahead_term(F.col("n_word"), F.col("n_pair"), n3, kind, alpha, min_count)
+    ahead = kind.bitwiseAND(AHEAD) != 0
+    back = back_term(F.col("n_word"), F.col("n_pair"), n3, kind, alpha, min_count, total)
+    every = every.unionByName(by_three.select("row", *named(F.when(ahead, value).otherwise(back), ahead & full)))
     scaled = F.col("score") * float(WHOLE)
     parts = (F.sum(F.floor(scaled)).alias("whole"), F.sum(F.floor((scaled - F.floor(scaled)) * float(PART))).alias("part"))
-    return by_word.unionByName(by_pair).groupBy("row").agg(*parts, F.sum("full").alias("full"))
+    return every.groupBy("row").agg(*parts, F.sum("full").alias("full"))
 
 
 def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: int, total: int) -> DataFrame:
