@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_search, backoff, exact_dedup, language, mixing, near_join, packed_tokens, quality, sentencepieces, toxicity
+from . import additive_search, backoff, divergence, exact_dedup, fill_middle, language, mixing, near_join, packed_tokens, packing, quality, sentencepieces, toxicity
 from .common import fold, table, written
 
 #: The public vocabulary files are parameters of the operators; these are the production ones.
-WORD_BPE, PIECE_MODEL = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE, PIECE_MODEL, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_additive_quantisation, op3_toxicity, op4_source_mixing, op5_ngram_jaccard_join, op6_language_fusion, op7_packed_tokens, op8_stupid_backoff, op9_sentencepiece, op10_exact_dedup)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_middle.restored(F.col("fim_form"), F.col("fim_text"))
+    digests = digest(F.col("fim_text")).alias("output_sha256"), digest(back).alias("restored_sha256")
+    return made.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), *digests)
+
+
+OPERATORS = (
+    op1_quality_classifier,
+    op2_additive_quantisation,
+    op3_toxicity,
+    op4_source_mixing,
+    op5_ngram_jaccard_join,
+    op6_language_fusion,
+    op7_packed_tokens,
+    op8_stupid_backoff,
+    op9_sentencepiece,
+    op10_exact_dedup,
+    op11_packing,
+    op12_source_divergence,
+    op13_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL = {
     "op8_stupid_backoff": r"""
@@ -101,4 +133,54 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op12_source_divergence": r"""
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        occurrences AS (SELECT lang, source, unnest(w) AS term FROM docs),
+        df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 3),
+        n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM occurrences JOIN df USING (lang, term) GROUP BY ALL),
+        v AS (SELECT d.lang, count(df.term) AS v FROM (SELECT DISTINCT lang FROM docs) d LEFT JOIN df ON df.lang = d.lang GROUP BY d.lang),
+        grp AS (
+            SELECT g.lang, g.source, v.v, coalesce(sum(n.n), 0)::HUGEINT AS total
+            FROM (SELECT DISTINCT lang, source FROM docs) g JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+            GROUP BY ALL),
+        ln AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY ALL),
+        lt AS (SELECT lang, sum(n)::HUGEINT AS total FROM ln GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, df.term, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 1)) // (g.total + g.v) AS p
+            FROM grp g JOIN df ON df.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = df.term),
+        q AS (SELECT ln.lang, ln.term, 1 + (1000000000 * (ln.n + 1)) // (lt.total + v.v) AS q FROM ln JOIN lt ON lt.lang = ln.lang JOIN v ON v.lang = ln.lang),
+        pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0)::BIGINT AS value
+            FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+            LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+            GROUP BY ALL),
+        term AS (
+            SELECT p.lang, p.source, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // q.q)::BIGINT AS value
+            FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+        UNION ALL
+        SELECT * FROM (
+            SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM term)
+        WHERE rank <= 200""",
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (
+            SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                   CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+            FROM d),
+        c AS (
+            SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM k),
+        parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts""",
 }
