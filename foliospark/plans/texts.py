@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, people, similarity
+from ..functions import evidence, similarity
 from ..operators import classifier, mapping, records, rules
 from ..sources import formats, tables
 from .base import C, Catalogue, table
@@ -194,19 +194,6 @@ def row_cells(spark, sf_dir):
     return cells.select("page", "row_no", "column_no", "text", F.size(F.split("text", " ")).alias("words"), "conf")
 
 
-@cat.query("f23_f24_f25_names", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'person' WHEN 2 THEN 'legal_entity' ELSE 'community' END AS kind, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS persons, CASE c_custkey % 4 WHEN 0 THEN 'Muster' WHEN 1 THEN 'Weber' END AS last FROM customer")
-def names(spark, sf_dir):
-    """Parties of free-text names."""
-    text = F.element_at(F.array(*map(F.lit, ("Eheleute Max und Erika Muster", "Dr. Weber, Anna", "Haus GmbH", "Erbengemeinschaft Klein"))), (C("c_custkey") % 4 + 1).cast("int"))
-    s = people.split_names(text)
-    return table(spark, sf_dir, "customer").select("c_custkey", s.alias("s")).select("c_custkey", C("s.kind").alias("kind"), F.size("s.persons").alias("persons"), F.try_element_at("s.persons", F.lit(1))["last"].alias("last"))
-
-
-@cat.query("f26_legal_form", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'gmbh' END AS form FROM customer")
-def legal_form(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", people.has_marker(F.when(C("c_custkey") % 2 == 0, "Bau GmbH, Köln").otherwise("Agenda")).alias("form"))
-
-
 #: Customers of a nation that one task scores for a supplier at a time.
 FUZZY_BLOCK = 2048
 
