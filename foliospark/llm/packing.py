@@ -21,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +35,16 @@ WIDTH = 2_048
 #: Ids that open windows of one task may hold (4 bytes each) before all are closed.
 OPEN_IDS = 4 << 20
 #: Units of one generation that a worker remembers, and the characters of the longest of them.
-REMEMBERED, LONGEST = 200_000, 128
+REMEMBERED, LONGEST = 400_000, 128
 #: Units that go to the library at once; characters that are encoded at once.
 SLICE, PART = 4_096, 1 << 20
 #: White space and what follows it up to the next white space: the tokenizer's words never reach across the end of one.
-UNIT = re.compile(r"\s*\S+|\s+")
+UNIT = re.compile(r"\s*\S+")
+#: Marks that are a word of their own behind a letter, and the letters for which every library's tables agree.
+MARKS, NEAR = ".,;:!?", "\u0530"
+NEAR_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ʯͰ-ϿЀ-ԯ]+").fullmatch
+#: Leads the key of a unit that doesn't begin with a space; no text holds this character.
+BARE = "\ud800"
 #: A place where a long text may be cut, whatever a library takes for white space.
 BORDER = re.compile(r"(?<=[!-~])[ \n](?=[!-~])")
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -50,7 +56,7 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -60,29 +66,106 @@ class UnitEncoder:
         if any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
             raise ValueError("an added token of this tokenizer takes white space")
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character a byte
+        # The model's own view of text: each byte is a character, printable ones themselves, the others from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self.byte_letters = {b: 256 + k for k, b in enumerate(others) if b != ord("\n")}
+        self.of_words = Tokenizer(self.tokenizer.model)
+        self.of_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.marks = dict(zip(MARKS, self.library(list(MARKS)), strict=True))
+        self.known: dict[str, bytes | None] = {BARE: b""}
+        self.before: dict[str, bytes | None] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def cut(self, ids: list[int], units: list[str]) -> list[bytes] | None:
+        """The ids of units that were encoded in one go; the ids' bytes tell where each ends. None if they don't."""
+        own = np.array(ids, dtype="<u4")
+        ends, want = np.cumsum(self.bytes_of[own]), np.cumsum([len(u.encode()) for u in units])
+        cuts = np.searchsorted(ends, want)
+        if len(ends) <= cuts[-1] or not np.array_equal(ends[cuts], want):
+            return None
+        raw, at = own.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+        return [raw[i:j] for i, j in zip(at, at[1:])]  # noqa: B905
+
+    def units(self, new: list[str]) -> list[bytes]:
+        """The ids of units that begin with white space and end with none."""
+        out: dict[str, bytes] = {}
+        for k in range(0, len(new), SLICE):  # the library's results are large
+            some = new[k : k + SLICE]
+            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
+            out.update(zip(some, self.cut(ids, some) or self.library(some), strict=True))
+        return [out[u] for u in new]
+
+    def words(self, new: list[str]) -> list[bytes]:
+        """The ids of a space and ``new``, which are letters: single words for the tokenizer, so its model gets them parted by newlines."""
+        out: dict[str, bytes] = {}
+        space = chr(self.byte_letters[ord(" ")])
+        for ascii in (True, False):
+            own = [w for w in new if w.isascii() == ascii]
+            for k in range(0, len(own), SLICE):
+                some = own[k : k + SLICE]
+                mapped = space + f"\n{space}".join(some) if ascii else "\n".join([f" {w}" for w in some]).encode().decode("latin-1").translate(self.byte_letters)
+                led = [f" {w}" for w in some]
+                out.update(zip(some, self.cut(self.of_words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, led) or self.library(led), strict=True))
+        return [out[w] for w in new]
+
+    def learn(self, keys: set[str]) -> list[str]:
+        """Make all keys known and return the new ones. A key is a unit without its first space, or ``BARE`` and a unit.
+
+        A unit that ends in white space, or holds a control that Python takes for it, can't be told from its neighbours: None.
+        """
+        known, before = self.known, self.before
+        new = keys.difference(known)
+        again = {k for k in new if k in before}
+        known.update((k, before[k]) for k in again)
+        new -= again
+        unclear = {k for k in new if not k or k[-1].isspace()}
+        if ODD_SPACE.search("".join(new)):
+            unclear |= {k for k in new if ODD_SPACE.search(k)}
+        known.update(dict.fromkeys(unclear))
+        new -= unclear
+        marked = {k for k in new if k[-1] in MARKS and k[-2:-1].isalpha() and k[-2] < NEAR}
+        fresh = (new - marked) | {k[:-1] for k in marked}.difference(known)
+        plain = [k for k in fresh if NEAR_LETTERS(k) and k.isalpha()]
+        known.update(zip(plain, self.words(plain), strict=True))
+        fresh.difference_update(plain)
+        led = [k for k in fresh if k[0] != BARE or k[1] == "\n"]
+        known.update(zip(led, self.units([k[1:] if k[0] == BARE else f" {k}" for k in led]), strict=True))
+        bare = list(fresh.difference(led))
+        known.update(zip(bare, self.library([k[1:] for k in bare]), strict=True))
+        known.update((k, known[k[:-1]] + self.marks[k[-1]]) for k in marked)
+        return [*new, *plain, *fresh]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; together they should have about ``PART`` characters."""
-        split = [None if ODD_SPACE.search(t) or any(a in t for a in self.added) else UNIT.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:  # the units of one generation back are kept, so frequent ones stay
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        new = set().union(*filter(None, split)).difference(known)
-        again = {u for u in new if u in before}
-        known.update((u, before[u]) for u in again)
-        fresh = list(new - again)
-        for k in range(0, len(fresh), SLICE):  # the library's results are large
-            known.update(zip(fresh[k : k + SLICE], self.library(fresh[k : k + SLICE]), strict=True))
-        get = known.__getitem__
-        out = [self.library([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        for u in fresh:
-            if len(u) > LONGEST:
-                del known[u]
+            self.before, self.known = self.known, {BARE: b""}
+        bodies = [t.rstrip() for t in texts]
+        split = [b.replace("\n", f" {BARE}\n").split(" ") for b in bodies]
+        for words in split:
+            words[0] = BARE + words[0]
+        learnt = self.learn(set().union(*split))
+        get, out = self.known.__getitem__, []
+        for text, body, words in zip(texts, bodies, split, strict=True):
+            ids = None
+            if not any(a in text for a in self.added):
+                try:
+                    ids = b"".join(map(get, words))
+                except TypeError:  # white space beside other white space
+                    words = [u[1:] if u[0] == " " else BARE + u for u in UNIT.findall(body)]
+                    learnt += self.learn(set(words))
+                    with suppress(TypeError):
+                        ids = b"".join(map(get, words))
+            tail = text[len(body) :]
+            out.append(self.library([text])[0] if ids is None or ODD_SPACE.search(tail) else ids + self.library([tail])[0] if tail else ids)
+        for k in learnt:
+            if len(k) > LONGEST:
+                self.known.pop(k, None)
         return out
 
     def whole(self, text: str) -> bytes:

@@ -17,7 +17,7 @@ from foliospark.llm import divergence, fill_middle, packing, queries
 from tests.oracle import same
 
 SMALL = "/root/testdata/sf0.001"
-ODD = ["", "  ", "a\x1cb c!\x1f! d", "x <|endoftext|> y", "it's don't I'LL", "é é ́a\xa0 b\x85 c", "tab\tand\r\n lines\n\n", "漢字 かな 🙂", "  two  spaces ", "x" * 500 + " y"]
+ODD = ["", "  ", "a\x1cb c!\x1f! d", "x <|endoftext|> y", "it's don't I'LL", "é é ́a\xa0 b\x85 c", "tab\tand\r\n lines\n\n", "漢字 かな 🙂", "  two  spaces ", "x" * 500 + " y", "a's 'sb !'s 1's 'll’s _'t", "x²5 ½a 5³", "q\u02b0 e\u0301x Ⅷ9", "snake_case_1'd", "end. ", " lead, a  b\n", "x.\n y!\x1c", "z.\x1c"]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def library(encoder, text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sa1.\x1c\xa0"), st.characters(codec="utf-8")), max_size=30), max_size=4))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sal1._²\x1c\xa0é,!"), st.characters(codec="utf-8")), max_size=30), max_size=4))
 def test_units_encode_like_whole_texts(units, texts):
     assert units.encode(texts) == [library(units, t) for t in texts]
 
