@@ -45,9 +45,10 @@ LEVELS = 2
 LIMIT = 1024
 #: Sets of one side of a tile.
 BLOCK = 1024
-SKETCH = 32
-#: Common sketch values that a similar pair falls short of with a probability of about one in a million.
-SKETCH_NEED = 14
+#: Least values of a sketch, and the probability that a similar pair shares fewer of them than ``sketch_plan`` asks for.
+SKETCH, MISSED = 32, 1e-6
+#: Of small sets, whose sketches are the sets, this share of what a similar pair has in common is asked for.
+SMALL_SHARE = 0.875
 TEXT_BYTES = 2 << 20
 
 
@@ -62,6 +63,20 @@ def runs_needed(recall: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
+def sketch_plan(threshold: float, least: int = SKETCH, missed: float = MISSED) -> tuple[int, int]:
+    """How many values a sketch has, and how many of them a pair at the threshold shares but for a chance of ``missed``.
+
+    Each of the least values of both sets together is common with a probability of the threshold, so the shared ones are
+    binomial; a low threshold needs a larger sketch to share any.
+    """
+    size = max(least, math.ceil(math.log(missed) / math.log(1 - threshold))) if threshold < 1 else least
+    need, below = 0, (1 - threshold) ** size
+    while need < size and below <= missed:
+        need += 1
+        below += math.comb(size, need) * threshold**need * (1 - threshold) ** (size - need)
+    return size, max(1, need)
+
+
 def shingle_sets(texts: list[str], hasher: WordHasher, n: int = N) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words, starts = hasher(texts)
@@ -87,7 +102,7 @@ def signatures(reps: DataFrame, runs: int, threshold: float, n: int, levels: int
     schema = "rep binary, size int, sketch array<long>, picks array<array<array<long>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, (kept, _) = WordHasher(), sketch_plan(threshold)
         seeds = mix(np.arange(1, runs * levels + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -111,7 +126,7 @@ def signatures(reps: DataFrame, runs: int, threshold: float, n: int, levels: int
                 inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts.ravel())]).astype(np.int32)), pa.array(flat))
                 middle = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * runs * levels + 1, levels, dtype=np.int32)), inner)
                 outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * runs + 1, runs, dtype=np.int32)), middle)
-                low = [s[:SKETCH].view(np.int64) for s in sets]
+                low = [s[:kept].view(np.int64) for s in sets]
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int32()), sketch, outer], ["rep", "size", "sketch", "picks"])
 
@@ -173,28 +188,36 @@ def split_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(array.values.to_numpy()[offsets[0] : offsets[-1]], (offsets[1:-1] - offsets[0]).tolist())
 
 
-def plausible(groups: list[pa.Table]) -> pa.Table:
-    """Buckets (path, i, j, rep, size, sketch) as (a, b): each set with the root of those that it may resemble."""
-    a_out, b_out = [], []
-    for g in groups:
-        if g.num_rows < 2:
-            continue
-        reps, sizes, sketches = g.column("rep").to_pylist(), g.column("size").to_numpy(), split_lists(g.column("sketch"))
-        if g.num_rows == 2:
-            if len(np.intersect1d(*sketches, assume_unique=True)) >= max(1, min(SKETCH_NEED, int(0.7 * sizes.min()))) and sizes.min() >= 0.79 * sizes.max():
-                a_out.append(max(reps))
-                b_out.append(min(reps))
-            continue
+def plausible(threshold: float):
+    _, need = sketch_plan(threshold)
 
-        def similar(common: np.ndarray, x: np.ndarray, y: np.ndarray, sizes=sizes) -> np.ndarray:
-            low, high = np.minimum(sizes[x][:, None], sizes[y][None, :]), np.maximum(sizes[x][:, None], sizes[y][None, :])
-            return (common >= np.maximum(1, np.minimum(SKETCH_NEED, np.floor(0.7 * low)))) & (low >= 0.79 * high)
+    def asked(low: np.ndarray) -> np.ndarray:
+        return np.maximum(1, np.minimum(need, np.floor(SMALL_SHARE * threshold * low)))
 
-        root = roots(square(sketches, similar))
-        for k in np.flatnonzero(root != np.arange(len(root))).tolist():
-            a_out.append(reps[k])
-            b_out.append(reps[root[k]])
-    return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+    def work(groups: list[pa.Table]) -> pa.Table:
+        """Buckets (path, i, j, rep, size, sketch) as (a, b): each set with the root of those that it may resemble."""
+        a_out, b_out = [], []
+        for g in groups:
+            if g.num_rows < 2:
+                continue
+            reps, sizes, sketches = g.column("rep").to_pylist(), g.column("size").to_numpy(), split_lists(g.column("sketch"))
+            if g.num_rows == 2:
+                if len(np.intersect1d(*sketches, assume_unique=True)) >= asked(sizes.min()) and sizes.min() >= threshold * sizes.max() - 1e-6:
+                    a_out.append(max(reps))
+                    b_out.append(min(reps))
+                continue
+
+            def similar(common: np.ndarray, x: np.ndarray, y: np.ndarray, sizes=sizes) -> np.ndarray:
+                low, high = np.minimum(sizes[x][:, None], sizes[y][None, :]), np.maximum(sizes[x][:, None], sizes[y][None, :])
+                return (common >= asked(low)) & (low >= threshold * high - 1e-6)
+
+            root = roots(square(sketches, similar))
+            for k in np.flatnonzero(root != np.arange(len(root))).tolist():
+                a_out.append(reps[k])
+                b_out.append(reps[root[k]])
+        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+
+    return work
 
 
 def exact_links(threshold: float):
@@ -254,11 +277,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     for more in found[1:]:
         buckets = buckets.unionByName(more)
     tiles = blocks_of(buckets.join(sig.select("rep", "size", "sketch"), "rep"), "path", limit).select("path", "i", "j", "rep", "size", "sketch")
-    near = map_groups(tiles, ["path", "i", "j"], plausible, "a binary, b binary").distinct()
+    near = map_groups(tiles, ["path", "i", "j"], plausible(threshold), "a binary, b binary").distinct()
     comp = written(components(near).select(F.col("node").alias("rep"), F.col("root").alias("comp")), "near-components")
 
     copies = keys.join(comp.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.count("*").alias("copies"))
-    counted = comp.join(comp.groupBy("comp").agg(F.count("*").alias("members")), "comp").join(copies, "rep")
+    sizes = written(comp.groupBy("comp").agg(F.count("*").alias("members"), F.count("*").alias("n")), "near-sizes")
+    counted = join_by_key(comp, sizes, "comp", "n").join(copies, "rep")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()

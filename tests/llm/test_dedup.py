@@ -95,6 +95,40 @@ def test_near_join_equals_brute_force(docs_of, limits):
     assert got[901] == (900, 1)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_near_join_at_other_thresholds(docs_of, threshold):
+    """Pairs of equal and of unequal sizes around the threshold: 0.99 of the links are found, and no other."""
+    rng, rows = random.Random(int(100 * threshold)), []
+    for k in range(150):
+        words = [f"u{rng.randrange(10**7)}" for _ in range(rng.choice((12, 40, 120)))]
+        other = words[: max(5, int(len(words) * rng.uniform(0.85, 1.15) * threshold))]
+        if k % 3 == 0:  # of one size: some words changed
+            other = list(words)
+            for _ in range(max(1, int(len(words) * (1 - threshold) / 8))):
+                other[rng.randrange(len(other))] = f"v{rng.randrange(10**7)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = brute(rows, threshold)
+    got = {r["doc_id"]: r["n_links"] for r in near_join.join(docs_of(rows), threshold=threshold).collect()}
+    assert all(got[i] <= n for i, (_, n) in want.items())
+    assert sum(n for _, n in want.values()) >= 60
+    assert sum(got.values()) >= 0.99 * sum(n for _, n in want.values())
+
+
+def test_near_join_keeps_links_below_the_usual_threshold(docs_of):
+    words = [f"w{k}" for k in range(100)]
+    pair = lambda n: [(1, " ".join(words)), (2, " ".join(words[:n]))]
+    for threshold, n in ((0.7, 75), (0.5, 60), (0.2, 30)):
+        assert [r["n_links"] for r in near_join.join(docs_of(pair(n)), threshold=threshold).collect()] == [1, 1]
+
+
+def test_sketch_plan():
+    """The chance to share fewer values than asked for is a millionth at most."""
+    for threshold in (0.1, 0.3, 0.5, 0.8, 0.9):
+        size, need = near_join.sketch_plan(threshold)
+        below = sum(math.comb(size, k) * threshold**k * (1 - threshold) ** (size - k) for k in range(need))
+        assert size >= 32 and need >= 1 and below <= 1.01e-6
+
+
 def test_near_keep_one(docs_of):
     rows = [(5, "a b c d e f g"), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None), (6, ""), (7, "other words that stand alone here")]
     docs = docs_of(rows)
