@@ -58,6 +58,17 @@ def with_own_names(docs: DataFrame, run: Callable[..., DataFrame], **columns: st
     return run(docs.toDF(*names), **{k: names[docs.columns.index(v)] for k, v in columns.items()}).select(*names).toDF(*docs.columns)
 
 
+def adding(docs: DataFrame, run: Callable[..., DataFrame], added: list[str], **columns: str) -> DataFrame:
+    """``run`` on ``docs`` under neutral column names, with the columns of ``docs`` and those that it adds: ``added``.
+
+    ``columns`` are as in ``with_own_names``; an input column of a new one's name gives way to it.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    out = run(docs.toDF(*names), **{k: names[docs.columns.index(v)] for k, v in columns.items()})
+    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in added]
+    return out.select(*kept, *added)
+
+
 def replacing(docs: DataFrame, *added: str) -> list[str]:
     """The columns of ``docs`` that stay beside new ones: an input column of a new one's name gives way to it."""
     return [c for c in docs.columns if c not in added]

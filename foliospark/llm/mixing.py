@@ -28,7 +28,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replacing, with_own_names
+from .common import adding, with_own_names
 
 #: Slots of one cycle; weights are rounded to multiples of its reciprocal.
 CYCLE = 1024
@@ -125,6 +125,12 @@ def ranked(docs: DataFrame, weights: dict[str, float], id_column: str, source_co
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, seed: int = 5) -> DataFrame:
     """``docs`` with ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_position`` (0, 1, 2, ... in mixed order)."""
+    run = partial(placed, weights=weights, block_rows=block_rows, cycle=cycle, seed=seed)
+    return adding(docs, run, ADDED, id_column=id_column, source_column=source_column)
+
+
+def placed(docs: DataFrame, id_column: str, source_column: str, weights: dict[str, float] | None, block_rows: int, cycle: int, seed: int) -> DataFrame:
+    """``mix`` for columns whose names begin with no underscore."""
     weights = TARGETS if weights is None else weights
     want = targets(weights)
     rows = docs.groupBy(source_key(weights, source_column).alias("s")).agg(F.count("*").alias("n")).collect()  # one row for each named source and the pool
@@ -140,10 +146,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
         for s, n in phase["slots"].items():
             tails.append((s, k, phase["before"][s], n, phase["before"][s] + n * phase["cycles"], phase["start"], sum(phase["slots"].values())))
     spark = docs.sparkSession
-    kept = replacing(docs, *ADDED)
     extra = ["mix_source string", "mix_block long", "mix_slot long", "mix_position long"]
     if not plan:
-        return docs.limit(0).select(*kept, *(F.lit(None).cast(e.split()[1]).alias(e.split()[0]) for e in extra))
+        return docs.limit(0).select(*docs.columns, *(F.lit(None).cast(e.split()[1]).alias(e.split()[0]) for e in extra))
     # Both tables are bounded by the number of named sources and the cycle, whatever the input's size.
     pieces = spark.createDataFrame(tails, "__source string, __phase int, __from long, __share int, __to long, __start long, __slots int")
     places = spark.createDataFrame(cells, "__phase int, __source string, __j int, __place int")
@@ -161,7 +166,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
                 place = next(p for (kk, ss, jj, p) in cells if (kk, ss, jj) == (k, s, j))
                 gap_slots.append((phase["start"] + cycle_no * sum(phase["slots"].values()) + place, gap))
     missing = sum((F.when(F.col("mix_slot") > slot, F.lit(gap)).otherwise(F.lit(0)) for slot, gap in gap_slots), F.lit(0))
-    placed = (
+    slots = (
         owned.join(F.broadcast(pieces), "__source")
         .where(F.col("mix_block").between(F.col("__from"), F.col("__to") - 1))
         .withColumn("__k", F.col("mix_block") - F.col("__from"))
@@ -169,7 +174,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
         .join(F.broadcast(places), ["__phase", "__source", "__j"])
         .withColumn("mix_slot", (F.col("__start") + F.floor(F.col("__k") / F.col("__share")) * F.col("__slots") + F.col("__place")).cast("long"))
     )
-    return placed.withColumn("mix_position", (F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - missing).cast("long")).select(*kept, F.col("__source").alias("mix_source"), *ADDED[1:])
+    return slots.withColumn("mix_position", (F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - missing).cast("long")).select(*docs.columns, F.col("__source").alias("mix_source"), *ADDED[1:])
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", **options) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replacing, whole_text
+from .common import adding, whole_text
 
 MARK = "▁"
 #: Score of a byte piece, below that of any ordinary piece's.
@@ -159,9 +159,12 @@ def encode(docs: DataFrame, model_path: str, text_column: str = "text", verify:
             same = [model.decode(np.frombuffer(o, dtype="<i4").tolist()) == t for o, t in zip(out, texts, strict=True)] if verify else [None] * len(out)
             yield pa.StructArray.from_arrays([lists(out), pa.array([len(o) // 4 for o in out], pa.int64()), pa.array(same, pa.bool_())], ["piece_ids", "n_pieces", "round_trip"])
 
-    added = docs.withColumn("__enc", run(whole_text(text_column)))
     new = ["piece_ids", "n_pieces", *(["round_trip"] if verify else [])]
-    return added.select(*replacing(docs, *new), *(f"__enc.{c}" for c in new))
+
+    def with_pieces(own: DataFrame, text: str) -> DataFrame:
+        return own.withColumn("encoded", run(whole_text(text))).select("*", *(f"encoded.{c}" for c in new))
+
+    return adding(docs, with_pieces, new, text=text_column)
 
 
 def decode(column: Column | str, model_path: str) -> Column:

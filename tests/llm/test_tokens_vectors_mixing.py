@@ -327,3 +327,14 @@ def test_shared_words_are_hashed_alike():
     words, starts = many(texts)
     assert [words[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == alone
     assert near_join.shingle_sets(["x y"], one)[0].shape == (1,)
+
+
+def test_columns_of_any_name_stay(docs_of):
+    """Input columns that are named like the operators' own come back as they went in."""
+    names = ("__enc", "encoded", "c0", "__phase", "__source", "__rank", "__k", "__j", "__slice", "s")
+    docs = docs_of([(k, f"some text {k}") for k in range(20)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for out, new in ((mixing.mix(docs), mixing.ADDED), (sentencepieces.encode(docs, queries.PIECE_MODEL), ["piece_ids", "n_pieces", "round_trip"])):
+        assert out.columns == [*docs.columns, *new]
+        rows = out.collect()
+        assert len(rows) == 20 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert sorted(r["mix_position"] for r in mixing.mix(docs).collect()) == list(range(20))
