@@ -91,9 +91,9 @@ def loose_match(a: Column, b: Column) -> Column:
 
 
 def house_number(x: Column) -> Column:
-    """number, suffix and upper end; an end below the start is dropped."""
+    """number of four digits at most, suffix and upper end; an end below the start is dropped."""
     t = F.regexp_replace(normalize_text(x), r"\s*([-/])\s*", "$1")
-    shape = r"^([0-9]{1,5})\s?([a-z]?)(?:[-/]([0-9]{1,5})[a-z]?)?$"
+    shape = r"^([0-9]{1,4})\s?([a-z]?)(?:[-/]([0-9]{1,4})\s?[a-z]?)?$"
     num, to = F.regexp_extract(t, shape, 1).try_cast("int"), F.regexp_extract(t, shape, 3).try_cast("int")
     good = t.rlike(shape)
     return F.struct(F.when(good, num).alias("num"), F.when(good, F.regexp_extract(t, shape, 2)).otherwise("").alias("suffix"), F.when(good & (to >= num), to).alias("upto"))

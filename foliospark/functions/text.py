@@ -13,7 +13,7 @@ MARKED = "áàâãåéèêëíìîïóòôõúùûñçýÿÁÀÂÃÅÉÈÊËÍÌ
 PLAIN = "aaaaaeeeeiiiioooouuuncyyAAAAAEEEEIIIIOOOOUUUNCY"
 SEARCH_PAIRS = [("ae", "ä"), ("oe", "ö"), ("ue", "ü"), ("ss", "ß")]
 DASHES = "‐‑‒–—−"
-CITY_WORDS = ["am", "an der", "bei"]
+CITY_WORDS = ["am", "an der", r"a\.", r"a\. d\.", r"i\.", "bei"]
 
 
 def swapped(x: Column, pairs: dict[str, str]) -> Column:
@@ -45,23 +45,21 @@ def clean_text(x: Column, forbidden: str = r'[\\/:*?"<>|]') -> Column:
 
 
 def normalize_text(x: Column) -> Column:
-    """lower case, one kind of dash, umlauts to two letters, single spaces; punctuation stays."""
-    lower = F.translate(F.lower(F.coalesce(x, F.lit(""))), DASHES, "-" * len(DASHES))
+    """lower case, one kind of dash and of space, letters with marks spelled plainly; punctuation stays."""
+    lower = F.translate(F.lower(F.coalesce(x, F.lit(""))), DASHES + "\u00a0\u202féèáà", "-" * len(DASHES) + "  eeaa")
     return F.trim(F.regexp_replace(swapped(lower, {k: v for k, v in UMLAUTS.items() if k.islower()}), r"\s+", " "))
 
 
 def normalize_street(x: Column) -> Column:
-    """search form of a street; any form of the word for street becomes "str"."""
-    t = normalize_text(x)
-    t = F.regexp_replace(t, r"[ -]*(strasse|str\.)", "str")
-    t = F.regexp_replace(F.regexp_replace(t, r"[-/]", " "), r"[.,;:()]", " ")
-    return F.trim(F.regexp_replace(t, r" +", " "))
+    """search form of a street; any form of the word for street becomes "str", joined to the name in front of it."""
+    t = F.regexp_replace(normalize_text(x), r"(?:(?<=[a-z])[ -]*|\b)str(?:asse|\.)?(?![a-z])", "str")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9 ]+", " "), r" +", " "))
 
 
 def normalize_city(x: Column) -> Column:
     """without words for a place's position."""
-    t = F.regexp_replace(normalize_text(x), r"(^|[ -])(am|an der|bei)($|[ -])", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[-.,;:()]", " "), r" +", " "))
+    t = F.regexp_replace(normalize_text(x), rf"\b(?:{'|'.join(CITY_WORDS)})\b", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9/ ]+", " "), r" +", " "))
 
 
 def normalize_number(x: Column) -> Column:

@@ -12,9 +12,10 @@ cat = Catalogue()
 QUERIES, ORACLE_SQL = cat.queries, cat.oracles
 
 
-@cat.query("r01_r02_high_water_mark", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15' ORDER BY ts LIMIT 2000")
+@cat.query("r01_r02_high_water_mark", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15' OR ts = TIMESTAMP '2024-01-15' AND event_id > 100 ORDER BY ts, event_id LIMIT 2000")
 def poll(spark, sf_dir):
-    return incremental.since(table(spark, sf_dir, "events").where(C("ts") > F.lit("2024-01-15").cast("timestamp")), "ts", None, 2000).select("event_id")
+    """One poll behind the mark that the last one left."""
+    return incremental.since(table(spark, sf_dir, "events"), "ts", "event_id", ("2024-01-15", 100), 2000).select("event_id")
 
 
 @cat.query("r03_apply_changes", """

@@ -116,7 +116,7 @@ HOUSE = one_of(
     f"concat({SUPP}, 'b-', CAST(s_suppkey % 90 + 9 AS STRING), 'c')",
     "''",
 )
-HOUSE_SHAPE = "^([0-9]{1,5})\\s?([a-z]?)(?:[-/]([0-9]{1,5})[a-z]?)?$"
+HOUSE_SHAPE = "^([0-9]{1,4})\\s?([a-z]?)(?:[-/]([0-9]{1,4})\\s?[a-z]?)?$"
 TIDY = "regexp_replace(trim(lower(x)), '\\s*([-/])\\s*', '\\1', 'g')"
 GOOD = f"regexp_matches({TIDY}, '{HOUSE_SHAPE}')"
 NUM, TO = (f"TRY_CAST(regexp_extract({TIDY}, '{HOUSE_SHAPE}', {k}) AS INT)" for k in (1, 3))

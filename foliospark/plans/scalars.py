@@ -46,7 +46,7 @@ DOC = {"k": "doc_id", "x": "text"}
 cat.scalar("f30_transliterate", "documents", DOC, {"y": lambda: F.sha2(text.transliterate(C("x")), 256)}, {"y": f"sha256({DUCK_TR.format(x='x')})"})
 cat.scalar("f27_norm_name", "documents", DOC, {"y": lambda: F.sha2(text.norm_name(C("x")), 256)}, {"y": f"sha256(trim(regexp_replace(regexp_replace(lower({DUCK_TR.format(x='x')}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')))"})
 cat.scalar("f28_norm_header", "documents", DOC, {"y": lambda: F.sha2(text.norm_header(C("x")), 256)}, {"y": "sha256(regexp_replace(translate(replace(lower(x), 'ß', 'ss'), 'äöü" + text.MARKED + "', 'aou" + text.PLAIN + "'), '[^a-z0-9]', '', 'g'))"})
-DUCK_NORM = "trim(regexp_replace(replace(replace(replace(replace(lower({x}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+DUCK_NORM = "trim(regexp_replace(replace(replace(replace(replace(translate(lower({x}), 'éèáà–—‐‑\u00a0', 'eeaa---- '), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 cat.scalar("f50_normalize_text", "documents", DOC, {"y": lambda: F.sha2(text.normalize_text(C("x")), 256)}, {"y": f"sha256({DUCK_NORM.format(x='x')})"})
 STREETS = "CASE c_custkey % 5 WHEN 0 THEN 'Karl-Marx-Straße' WHEN 1 THEN 'Lange  Str.' WHEN 2 THEN 'Bergstrasse' WHEN 3 THEN 'Am Markt' ELSE 'Grüner Weg' END"
 cat.scalar("f51_normalize_street", "customer", {"k": "c_custkey", "x": STREETS}, {"y": lambda: text.normalize_street(C("x"))}, {"y": "CASE k % 5 WHEN 0 THEN 'karl marxstr' WHEN 1 THEN 'langestr' WHEN 2 THEN 'bergstr' WHEN 3 THEN 'am markt' ELSE 'gruener weg' END"})

@@ -185,7 +185,7 @@ def merge_pages(spark, sf_dir):
 @cat.query("s13_s15_row_cells", """
     WITH w AS (SELECT event_id // 64 AS page, event_type AS text, event_id * 37 % 900 AS x0, event_id % 13 * 10 + event_id % 3 AS top, value AS conf, event_id % 13 AS line FROM events),
     r AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY line) - 1 AS row_no, CASE WHEN x0 + 3 >= 500 THEN 2 WHEN x0 + 3 >= 200 THEN 1 ELSE 0 END AS column_no FROM w)
-    SELECT page, row_no, column_no, string_agg(text, ' ' ORDER BY x0, text) AS text, count(*) AS words, round(avg(conf), 1) AS conf FROM r GROUP BY 1, 2, 3""")
+    SELECT page, row_no, column_no, string_agg(text, ' ' ORDER BY x0, text) AS text, count(*) AS words, ((2 * sum(round(conf * 100)::BIGINT) + 10 * count(conf)) // (20 * count(conf)))::BIGINT / 10 AS conf FROM r GROUP BY 1, 2, 3""")
 def row_cells(spark, sf_dir):
     """The words of each page to rows, by their tops, and to cells, by the columns' bounds."""
     left, top = (C("event_id") * 37 % 900).cast("double"), (C("event_id") % 13 * 10 + C("event_id") % 3).cast("double")

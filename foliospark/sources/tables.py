@@ -33,11 +33,18 @@ def row_clusters(words: DataFrame, page: str) -> DataFrame:
     return words.groupBy(page).applyInPandas(walk, schema)
 
 
+def mean_of_hundredths(x: Column) -> Column:
+    """The mean to one place, halves up, of numbers from 0 taken in whole hundredths; so it doesn't depend on the order of rows."""
+    total, n = F.sum(F.round(x * 100).cast("long")), F.count(x)
+    return F.when(n > 0, F.call_function("div", 2 * total + 10 * n, F.nullif(20 * n, F.lit(0))) / 10)
+
+
 def build_cells(words: DataFrame, bounds: Column) -> DataFrame:
     """Words to columns by their centre, joined text and mean confidence; needs page, row_no, text, x0, x1, conf."""
     column = F.size(F.filter(bounds, lambda b: b <= (F.col("x0") + F.col("x1")) / 2))
     parts = F.array_sort(F.collect_list(F.struct("x0", "text")))
-    return words.withColumn("column_no", column).groupBy("page", "row_no", "column_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.round(F.avg("conf"), 1).alias("conf"))
+    cells = words.withColumn("column_no", column).groupBy("page", "row_no", "column_no")
+    return cells.agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), mean_of_hundredths(F.col("conf")).alias("conf"))
 
 
 def is_footer(cells: Column) -> Column:

@@ -15,10 +15,15 @@ def file_feed(spark: SparkSession, path: str, schema, files_per_trigger: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def since(df: DataFrame, column: str, mark, most: int) -> DataFrame:
-    """Rows behind a high-water mark, oldest first, at most so many for one poll."""
-    new = df if mark is None else df.where(F.col(column) > F.lit(mark))
-    return new.orderBy(column).limit(most)
+def since(df: DataFrame, time: str, key: str, mark: tuple | None, most: int) -> DataFrame:
+    """Rows behind the high-water mark ``(time, key)`` of the last poll's last row, oldest first, at most so many.
+
+    Rows of one time are ordered by their key, so a poll that ends among them leaves none out. Rows without a time are never read;
+    of one time, a null key comes first and is behind no mark of that time.
+    """
+    at, own = F.col(time), F.col(key)
+    new = df.where(at.isNotNull()) if mark is None else df.where((at > F.lit(mark[0]).cast(df.schema[time].dataType)) | ((at == F.lit(mark[0]).cast(df.schema[time].dataType)) & (own > F.lit(mark[1]))))
+    return new.orderBy(at, own.asc_nulls_first()).limit(most)
 
 
 def run_available(stream: DataFrame, path: str, keys: list[str], mode: str = "update") -> DataFrame:

@@ -244,6 +244,19 @@ def test_messages(spark, tmp_path):
     assert "Hallo" in r["text"]
 
 
+def test_polls_leave_no_row_of_one_time_out(spark):
+    """Every poll ends among rows of one time; together they read each row once, and none without a time."""
+    rows = [(k, None if k == 30 else k // 7) for k in range(40)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "event_id long, ts long").repartition(4)
+    seen, mark = [], None
+    while got := incremental.since(df, "ts", "event_id", mark, 3).collect():
+        seen += [(r["ts"], r["event_id"]) for r in got]
+        mark = seen[-1]
+        if mark[1] is None:
+            mark = (mark[0], -1)
+    assert seen == sorted(((t, k) for k, t in rows if t is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+
+
 def test_debounce_stream(spark, tmp_path):
     """The stream swallows what comes within a minute of the request that armed the timer."""
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:30"), (1, "2024-01-01 00:01:10"), (2, "2024-01-01 00:00:05"), (3, "2024-01-01 05:00:00")]
