@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import addresses, leases
+from ..functions import addresses, designations, leases
 from .base import C, Catalogue, table
 from .imports import one_of
 
@@ -16,14 +16,14 @@ NO = "CAST(p_partkey % 190 + 1 AS STRING)"
 CODE = "lpad(CAST(p_partkey * 37 % 90000 + 10000 AS STRING), 5, '0')"
 NAMES = one_of(
     "p_partkey",
-    f"concat('Aachener Straße ', {NO}, ', Erkelenz')",
-    f"concat('Ratheim, Shalomweg ', {NO}, 'a')",
-    f"concat('Am Fließ ', {NO}, ' ', {CODE}, ' Erkelenz')",
-    f"concat('Südwall ', {NO}, '-', {NO}, ', ', {CODE}, ' Mönchengladbach (Hof)')",
-    f"concat('Kaiserstraße ', {NO}, ' u. 79, Windmühlenstraße ', {NO})",
-    f"concat('Seesen Jacobsonstraße ', {NO})",
-    "concat('Straße des 17. Juni ', p_brand)",
-    f"concat('Wanloer Str. ', {NO}, '+30 & An der Sandkaule 5')",
+    f"concat('Föhrener Straße ', {NO}, ', Auenstadt')",
+    f"concat('Neuweiler, Amselgasse ', {NO}, 'a')",
+    f"concat('Am Quell ', {NO}, ' ', {CODE}, ' Auenstadt')",
+    f"concat('Nordwall ', {NO}, '-', {NO}, ', ', {CODE}, ' Rheinau (Hof)')",
+    f"concat('Gerberstraße ', {NO}, ' u. 81, Ziegelhofstraße ', {NO})",
+    f"concat('Talheim Kornblumenstraße ', {NO})",
+    "concat('Platz des 3. Mai ', p_brand)",
+    f"concat('Auer Str. ', {NO}, '+30 & An der Furt 5')",
     "'  '",
 )
 
@@ -31,15 +31,15 @@ NAMES = one_of(
 @cat.query("f47_addresses_in_name")
 def f47_addresses_in_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F47 over every designation; no SQL form."""
-    found = addresses.addresses_in_name(C("name"))
+    found = designations.addresses_in_name(C("name"))
     return table(spark, sf_dir, "part").selectExpr("p_partkey AS k", f"{NAMES} AS name").select("k", found.alias("f")).select("k", C("f.items").alias("items"), C("f.notes").alias("notes"))
 
 
 @cat.query("f48_addresses_in_lines")
 def f48_addresses_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """each designation with two more lines; no SQL form."""
-    src = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", f"concat({NAMES}, '\n\n Kaiserstraße ', {NO}, '\nohne Nummer 1a2b 3') AS text")
-    return src.select("k", addresses.addresses_in_lines(C("text")).alias("f")).select("k", C("f.items").alias("items"), C("f.bad").alias("bad"))
+    src = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", f"concat({NAMES}, '\n\n Gerberstraße ', {NO}, '\nohne Nummer 1a2b 3') AS text")
+    return src.select("k", designations.addresses_in_lines(C("text")).alias("f")).select("k", C("f.items").alias("items"), C("f.bad").alias("bad"))
 
 
 STREET, TOWN = addresses.ONE_STREET, addresses.ONE_TOWN
@@ -70,7 +70,7 @@ cat.query(
 def y33_addresses_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Y33 over whole documents with an address in front and one behind; no SQL form."""
     house = "CAST(doc_id % 190 + 1 AS STRING)"
-    text = f"concat('WEG Lindenallee ', {house}, '\n 47051 Duisburg\n', coalesce(text, ''), '\nan die Ringstr. ', {house}, ', 41812 Erkelenz, Lindenallee ', {house}, ', 47051 Duisburg.')"
+    text = f"concat('WEG Ulmenpark ', {house}, '\n 12321 Rheinau\n', coalesce(text, ''), '\nan die Mühlstr. ', {house}, ', 54321 Auenstadt, Ulmenpark ', {house}, ', 12321 Rheinau.')"
     found = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{text} AS text").select("doc_id", addresses.addresses_in_text(C("text")).alias("a"))
     return found.select("doc_id", F.posexplode("a").alias("place", "a")).select("doc_id", "place", "a.street", "a.house_number", "a.postal_code", "a.city", "a.community")
 
