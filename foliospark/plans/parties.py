@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import people
+from ..functions import people, text
+from ..operators import fuzzy
 from .base import C, Catalogue, table
 from .imports import one_of
 
@@ -98,3 +99,48 @@ FORMS_SQL = "['Erbengemeinschaft', 'Genossenschaft', 'Gemeinschaft', 'Stiftung',
 def legal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the longest legal form that stands as a whole word."""
     return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"{LEGAL} AS raw").select("k", people.has_marker(C("raw")).alias("form"))
+
+def word(key: str, letters: int, salt: str) -> str:
+    """A word of letters from a key; hardly any two are alike."""
+    return f"translate(substr(md5(concat('{salt}', CAST(({key}) AS STRING))), 1, {letters}), '0123456789abcdef', 'aeioulnrstbdghkm')"
+
+
+def owner_row(key: str) -> dict[str, str]:
+    """The columns of an owner from a key; every sixth is a company."""
+    natural = f"({key}) % 6 <> 0"
+    return {
+        "kind": f"CASE WHEN {natural} THEN 'natural_person' ELSE 'legal_entity' END",
+        "first_name": f"CASE WHEN {natural} AND ({key}) % 11 <> 0 THEN initcap({word(key, 4, 'f')}) END",
+        "last_name": f"CASE WHEN {natural} THEN initcap({word(key, 9, 'l')}) END",
+        "company_name": f"CASE WHEN {natural} THEN NULL ELSE concat(initcap({word(key, 9, 'c')}), ' Bau GmbH') END",
+        "email": f"CASE WHEN ({key}) % 5 = 0 THEN concat('p', CAST(({key}) AS STRING), '@haus.example') END",
+        "postal_code": f"lpad(CAST(({key}) % 97 AS STRING), 5, '4')",
+        "street": f"concat('Gasse ', CAST(({key}) % 1009 AS STRING))",
+        "iban_hash": f"CASE WHEN ({key}) % 7 = 0 THEN sha2(CAST(({key}) AS STRING), 256) END",
+    }
+
+
+def columns(made: dict[str, str]) -> list[str]:
+    return [f"{v} AS {k}" for k, v in made.items()]
+
+
+@cat.query("j09_j10_owner_match")
+def owner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons of a list against all owners; their names are misspelled, cut or exact. No SQL form."""
+    owners = table(spark, sf_dir, "customer").selectExpr("c_custkey AS owner_id", *columns(owner_row("c_custkey")), "array(c_custkey % 5000) AS unit_ids", "c_custkey % 2 = 0 AS in_object")
+    made = owner_row("s_suppkey * 13")
+    typo = lambda c: f"CASE s_suppkey % 3 WHEN 0 THEN {c} WHEN 1 THEN concat(substr({c}, 1, 3), substr({c}, 5)) ELSE concat(substr({c}, 1, 5), 'x', substr({c}, 6)) END"
+    made |= {k: typo(made[k]) for k in ("last_name", "company_name")} | {"email": f"CASE WHEN s_suppkey % 4 = 0 THEN {made['email']} END", "street": f"CASE WHEN s_suppkey % 4 = 1 THEN {made['street']} END"}
+    persons = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS person_id", *columns(made), "CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey * 13 % 5000 END AS unit_id")
+    return fuzzy.owner_match(persons, owners).withColumn("score", F.round("score", 6))
+
+
+@cat.query("j11_party_search")
+def party_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suppliers' keys type into the search for parties: beginnings, misspelled names and parts of names. No SQL form."""
+    parties = table(spark, sf_dir, "customer").selectExpr("c_custkey AS party_id", *columns(owner_row("c_custkey"))).withColumn("search_name", text.search_name(F.when(C("kind") == "natural_person", "person").otherwise("company"), C("first_name"), C("last_name"), C("company_name")))
+    made = owner_row("s_suppkey * 7")
+    name = f"coalesce({made['last_name']}, {made['company_name']})"
+    typed = one_of("s_suppkey", f"substr({name}, 1, 2)", f"concat(substr({name}, 1, 4), 'x', substr({name}, 5))", f"upper(substr({name}, 3))", name, "''")
+    queries = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS query_id", f"{typed} AS text")
+    return fuzzy.party_search(parties, queries).withColumn("score", F.round("score", 6))
