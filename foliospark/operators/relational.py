@@ -125,6 +125,26 @@ def top_of(edges: DataFrame, node: str, parent: str, rounds: int = 64) -> DataFr
     raise RuntimeError(f"the tree is higher than 2**{rounds} levels, or has a cycle")
 
 
+def multiset_digest(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Number of rows and a digest of each group's values, which doesn't depend on their order.
+
+    The digest is two sums of sixty bits each of the values' hashes, so parts of a group are added up where they lie and no group is
+    collected. Equal values count as often as they occur; null counts as an empty value.
+    """
+    own = F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256)
+    part = lambda k: F.sum(F.conv(F.substring(own, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.concat_ws("-", part(0).cast("string"), part(1).cast("string")).alias("digest"))
+
+
+def superseded(df: DataFrame, content: str, id_column: str) -> DataFrame:
+    """One row for each earlier upload of a content: (content, id, current). The largest id is the current one.
+
+    Contents with several ids only, so the join meets few keys; a content with very many rows is split by the adaptive join.
+    """
+    several = df.groupBy(content).agg(F.max(id_column).alias("current"), F.min(id_column).alias("__least")).where("current <> __least").drop("__least")
+    return df.select(content, id_column).join(several, content).where(F.col(id_column) != F.col("current")).distinct()
+
+
 def stratified(df: DataFrame, stratum: str, id_column: str, most: int, seed: int) -> DataFrame:
     """At most so many rows of each stratum, by a seeded hash."""
     w = Window.partitionBy(stratum).orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")), 256), id_column)

@@ -298,16 +298,34 @@ def completeness(spark, sf_dir):
     return checks.summary(checks.owner_checks(*check_inputs(spark, sf_dir), [1995, 1996]), "object_id").select("object_id", "fulfilled", "missing", "ratio", "worst")
 
 
-@cat.query("c02_tenant_checks", """WITH l AS (SELECT l_partkey % 100 + 1 AS object_id, l_partkey AS unit_id, l_orderkey AS a, CASE WHEN l_quantity > 10 THEN 1 END AS rent, CASE WHEN l_discount > 0.05 THEN 1 END AS deposit, CASE l_returnflag WHEN 'N' THEN 'unknown' WHEN 'A' THEN 'indexed' END AS adj FROM lineitem)
-  SELECT 'deposit' AS check_code, CASE WHEN rent IS NOT NULL AND deposit IS NOT NULL THEN 'fulfilled' WHEN rent IS NOT NULL OR deposit IS NOT NULL THEN 'partial' ELSE 'missing' END AS status, count(*) AS n FROM l GROUP BY ALL
-  UNION ALL SELECT 'rent_adjustment', CASE WHEN adj = 'unknown' THEN 'partial' WHEN adj IS NOT NULL THEN 'fulfilled' ELSE 'missing' END, count(*) FROM l GROUP BY ALL
-  UNION ALL SELECT 'lease_terms', CASE WHEN rent IS NOT NULL THEN 'fulfilled' ELSE 'missing' END, count(*) FROM l GROUP BY ALL
-  UNION ALL SELECT 'tenant_per_unit', CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.unit_id = p_partkey) THEN 'fulfilled' ELSE 'missing' END, count(*) FROM part GROUP BY ALL""")
+TENANT_ORACLE = CHECK_SRC[: CHECK_SRC.index("  f AS (")] + """
+  l AS (SELECT l_partkey % 100 + 1 AS object_id, l_partkey AS unit_id, CASE WHEN l_quantity > 10 THEN 1 END AS rent, CASE WHEN l_discount > 0.05 THEN 1 END AS deposit, CASE l_returnflag WHEN 'N' THEN 'unknown' WHEN 'A' THEN 'indexed' END AS adj,
+               CASE WHEN l_linestatus = 'O' THEN 'm' END AS email, CASE WHEN l_tax > 0.04 THEN 'a' END AS account FROM lineitem),
+  kinds AS (SELECT object_id, CASE kind WHEN 'credits' THEN 'tenant_accounts' WHEN 'special_levy' THEN 'tenant_dunning_procedure' ELSE kind END AS kind, confirmed FROM docs),
+  found AS (
+  SELECT 'deposit' AS check_code, CASE WHEN rent IS NOT NULL AND deposit IS NOT NULL THEN 'fulfilled' WHEN rent IS NOT NULL OR deposit IS NOT NULL THEN 'partial' ELSE 'missing' END AS status FROM l
+  UNION ALL SELECT 'rent_adjustment', CASE WHEN adj = 'unknown' THEN 'partial' WHEN adj IS NOT NULL THEN 'fulfilled' ELSE 'missing' END FROM l
+  UNION ALL SELECT 'lease_terms', CASE WHEN rent IS NOT NULL THEN 'fulfilled' ELSE 'missing' END FROM l
+  UNION ALL SELECT 'tenant_contact_data', CASE WHEN email IS NOT NULL THEN 'fulfilled' ELSE 'missing' END FROM l
+  UNION ALL SELECT 'tenant_sepa_mandate', CASE WHEN sepa_used IS NULL THEN 'partial' WHEN NOT sepa_used THEN 'not_applicable' WHEN account IS NOT NULL THEN 'fulfilled' ELSE 'missing' END FROM l JOIN objects USING (object_id)
+  UNION ALL SELECT 'tenant_per_unit', CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.unit_id = u.unit_id AND l.object_id = u.object_id) THEN 'fulfilled' ELSE 'missing' END FROM units u
+  UNION ALL SELECT 'tenant_list_complete', CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.object_id = o.object_id) THEN 'fulfilled' ELSE 'missing' END FROM objects o
+  UNION ALL SELECT k, CASE WHEN sum(confirmed) > 0 THEN 'fulfilled' WHEN count(confirmed) > 0 THEN 'partial' ELSE 'missing' END FROM objects o CROSS JOIN (VALUES ('tenant_accounts'), ('tenant_dunning_procedure')) t(k) LEFT JOIN kinds d ON d.object_id = o.object_id AND d.kind = k GROUP BY o.object_id, k)
+  SELECT check_code, status, count(*) AS n FROM found GROUP BY ALL"""
+
+
+@cat.query("c02_tenant_checks", TENANT_ORACLE)
 def tenant_checks(spark, sf_dir):
+    """All nine checks of rented units."""
     objects, units, _, docs = check_inputs(spark, sf_dir)
-    leases = table(spark, sf_dir, "lineitem").select((C("l_partkey") % 100 + 1).alias("object_id"), C("l_partkey").alias("unit_id"), (C("l_orderkey") * 8 + C("l_linenumber")).alias("assignment_id"), F.when(C("l_quantity") > 10, 1).alias("rent"), F.when(C("l_discount") > 0.05, 1).alias("deposit"), F.when(C("l_returnflag") == "N", "unknown").when(C("l_returnflag") == "A", "indexed").alias("adjustment"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("account"))
-    f = checks.tenant_checks(objects, units, leases, docs)
-    return f.where(C("check_code").isin("deposit", "rent_adjustment", "lease_terms", "tenant_per_unit")).groupBy("check_code", "status").agg(F.count("*").alias("n"))
+    kind = F.when(C("kind") == "credits", "tenant_accounts").when(C("kind") == "special_levy", "tenant_dunning_procedure").otherwise(C("kind"))
+    leases = table(spark, sf_dir, "lineitem").select(
+        (C("l_partkey") % 100 + 1).alias("object_id"), C("l_partkey").alias("unit_id"), (C("l_orderkey") * 8 + C("l_linenumber")).alias("assignment_id"), F.when(C("l_quantity") > 10, 1).alias("rent"),
+        F.when(C("l_discount") > 0.05, 1).alias("deposit"), F.when(C("l_returnflag") == "N", "unknown").when(C("l_returnflag") == "A", "indexed").alias("adjustment"),
+        F.when(C("l_linestatus") == "O", "m").alias("email"), F.when(C("l_tax") > 0.04, "a").alias("account"),
+    )
+    f = checks.tenant_checks(objects, units, leases, docs.withColumn("kind", kind))
+    return f.groupBy("check_code", "status").agg(F.count("*").alias("n"))
 
 
 @cat.query("c03_catalogue_checks", CHECK_SRC + ", w AS (SELECT object_id, c, kinds FROM objects, (VALUES ('levy', ['special_levy', 'credits']), ('plan', ['business_plan_year'])) t(c, kinds)) SELECT w.object_id, c AS check_code, CASE WHEN sum(confirmed) > 0 THEN 'fulfilled' WHEN count(confirmed) > 0 THEN 'partial' ELSE 'missing' END AS status FROM w LEFT JOIN docs d ON d.object_id = w.object_id AND list_contains(kinds, d.kind) GROUP BY 1, 2")

@@ -164,11 +164,17 @@ def empty_folders(spark, sf_dir):
     return parts.select(C("p_partkey").alias("node")).join(op.with_marked_below(tree, kept, "node", "parent"), "node", "left_anti")
 
 
-@cat.query("y23_s33_tree_digest", TREE + "SELECT ancestor AS root, count(*) AS files, sha256(string_agg(CAST(node AS VARCHAR), chr(10) ORDER BY CAST(node AS VARCHAR))) AS digest FROM up WHERE ancestor < 7 GROUP BY 1")
+SIXTY_BITS = "sum(CAST('0x' || substr(sha256(CAST(node AS VARCHAR)), {at}, 15) AS BIGINT))"
+
+
+@cat.query(
+    "y23_s33_tree_digest",
+    TREE + f"SELECT ancestor AS root, count(*) AS files, {SIXTY_BITS.format(at=1)}::VARCHAR || '-' || {SIXTY_BITS.format(at=16)}::VARCHAR AS digest FROM up WHERE ancestor < 7 GROUP BY 1",
+)
 def tree_digest(spark, sf_dir):
-    """Number of descendants and a digest over their sorted ids."""
+    """Number of descendants and a digest of their ids, summed up without collecting a tree."""
     tree = table(spark, sf_dir, "part").select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent"))
-    return op.top_of(tree, "node", "parent").groupBy(C("top").alias("root")).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(C("node").cast("string"))), "\n"), 256).alias("digest"))
+    return op.multiset_digest(op.top_of(tree, "node", "parent"), ["top"], "node").select(C("top").alias("root"), C("rows").alias("files"), "digest")
 
 
 @cat.query("j26_w06_owner_groups", SPANS + "SELECT id, dense_rank() OVER (PARTITION BY unit ORDER BY valid_to IS NULL DESC, valid_from, coalesce(valid_to, DATE '9999-12-31')) AS grp FROM spans")
@@ -316,17 +322,16 @@ def fill(spark, sf_dir):
     return op.fill_empty(c, {"note": "c_mktsegment"}).select("c_custkey", "note")
 
 
-@cat.query("d06_old_uploads", "SELECT text_hash, CAST(list_sort(list_distinct(list(doc_id)))[:-2] AS VARCHAR) AS old FROM (SELECT doc_id, md5(text) AS text_hash FROM documents) GROUP BY 1 HAVING count(*) >= 2")
+@cat.query("d06_old_uploads", "SELECT text_hash, doc_id, current FROM (SELECT doc_id, md5(text) AS text_hash, max(doc_id) OVER (PARTITION BY text) AS current FROM documents) WHERE doc_id <> current")
 def old_uploads(spark, sf_dir):
-    """Earlier uploads of a file, without the current one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_hash"))
-    g = d.groupBy("text_hash").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count("*").alias("n"), F.max("doc_id").alias("now")).where("n >= 2")
-    return g.select("text_hash", F.concat(F.lit("["), F.array_join(F.array_except("ids", F.array("now")), ", "), F.lit("]")).alias("old"))
+    """Earlier uploads of a file, one row each, with the current one."""
+    return op.superseded(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_hash")), "text_hash", "doc_id")
 
 
-@cat.query("d07_rule_mining", "SELECT source, n_chars % 10 AS b, min(lang) AS target, count(DISTINCT doc_id) AS n_documents FROM documents WHERE n_chars % 10 < 9 GROUP BY 1, 2 HAVING count(DISTINCT lang) = 1 AND count(DISTINCT doc_id) >= 2 AND NOT bool_or(n_chars % 100 = 7)")
+@cat.query("d07_rule_mining", "SELECT source, n_chars % 40 AS b, min(lang) AS target, count(DISTINCT doc_id) AS n_documents FROM documents GROUP BY 1, 2 HAVING count(DISTINCT lang) = 1 AND count(DISTINCT doc_id) >= 2 AND NOT bool_or(n_chars % 100 = 7)")
 def rule_mining(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("b", C("n_chars") % 10).where("b < 9")
+    """Pairs of source and length class with one language, over all documents; a length that ends in 07 speaks against."""
+    d = table(spark, sf_dir, "documents").withColumn("b", C("n_chars") % 40)
     return op.agreed_targets(d, ["source", "b"], "lang", "doc_id", 2, d.where("n_chars % 100 = 7")).select("source", "b", "target", "n_documents")
 
 
