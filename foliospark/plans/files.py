@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import formats, tables, workbooks
+from ..sources import formats, intake, tables, workbooks
 from ..sources.shared import fresh, written
+from ..streaming import incremental
 from .base import C, Catalogue, table
+from .imports import one_of
 
 cat = Catalogue()
 QUERIES, ORACLE_SQL = cat.queries, cat.oracles
@@ -87,3 +89,53 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = found.groupBy(F.regexp_extract("path", r"/file=(\d+)/", 1).alias("file")).agg(F.sum("length").alias("length"))
     kept = formats.not_ignored(named.withColumn("name", F.concat(F.lit("part-"), "file", F.lit(".txt"))), "name", ["part-3.*", "PART-5.txt"])
     return kept.select("name", "length")
+
+
+UPLOAD = one_of(
+    "page_id",
+    "concat('/in/', CAST(page_id AS STRING), '.HTML')",
+    "concat('C:\\\\alt\\\\', CAST(page_id AS STRING), '.pdf')",
+    "concat('/in/', CAST(page_id AS STRING), '.exe')",
+    "'/in/.html'",
+    "concat('/in/ohne Endung ', CAST(page_id AS STRING), '/')",
+    "concat('/in/leer.', CAST(page_id AS STRING), '.txt')",
+    "'   '",
+)
+UPLOADED = "CASE WHEN page_id % 7 = 5 THEN '' WHEN page_id % 3 = 2 THEN repeat(html, 40) ELSE html END"
+MOST = 100_000
+
+
+@cat.query("s32_d01_intake", f"""
+    WITH f AS (SELECT page_id, {UPLOAD.replace("AS STRING", "AS VARCHAR").replace(chr(92) * 2, chr(92))} AS path, encode({UPLOADED}) AS content FROM pages),
+    n AS (SELECT *, coalesce(nullif(trim(replace(regexp_extract(path, '([^/]*)/*$', 1), chr(92), '_')), ''), 'dokument') AS name FROM f),
+    s AS (SELECT *, lower(regexp_extract(name, '[^/]([.][^./]+)$', 1)) AS suffix FROM n),
+    r AS (SELECT *, CASE WHEN suffix NOT IN ('.html', '.pdf', '.txt') THEN 'suffix' WHEN octet_length(content) > {MOST} THEN 'too_large' WHEN octet_length(content) = 0 THEN 'empty' END AS reason FROM s)
+    SELECT page_id, name, suffix, octet_length(content)::BIGINT AS bytes, CASE suffix WHEN '.html' THEN 'text/html' WHEN '.pdf' THEN 'application/pdf' WHEN '.txt' THEN 'text/plain' END AS mime_type,
+           CASE WHEN reason IS NULL THEN sha256(content) END AS content_hash, CASE WHEN reason IS NULL THEN 'registered' ELSE 'refused' END AS status, reason FROM r""")
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of uploads, taken or refused, with the hashes of what is taken."""
+    feed = incremental.file_feed(spark, f"{sf_dir}/pages*.parquet", table(spark, sf_dir, "pages").schema)
+    files = feed.selectExpr("page_id", f"{UPLOAD} AS path", f"CAST({UPLOADED} AS BINARY) AS content")
+    return incremental.run_available(intake.accepted(files, MOST).drop("path"), fresh(spark, "intake"), ["page_id"], mode="append")
+
+
+LIST_NAME = one_of("c_custkey", "'einheiten.CSV'", "'liste.xlsx'", "'liste.tsv'", "'scan.JPG'", "'daten.dat'", "'kontakte.txt'", "CAST(NULL AS STRING)")
+HEADINGS = one_of("floor(c_custkey / 7)", "'x;y|Objekt; Einheit ;MIETER;Miete'", "'Name;Telefon|E-Mail;Name'", "'Objekt;Einheit;Objekt;Objekt'", "'1|2|3|4|5|Objekt;Einheit;Mieter'")
+CHOSEN = one_of("c_custkey", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "'second_vendor_export'", "'unknown'", "CAST(NULL AS STRING)")
+HITS = "len(list_intersect(list_distinct(list_transform(string_split({row}, ';'), lambda c: lower(trim(c)))), {heads}))"
+
+
+@cat.query("u03_s09_readers", f"""
+    WITH f AS (SELECT c_custkey AS k, {LIST_NAME.replace("AS STRING", "AS VARCHAR")} AS name, {HEADINGS} AS rows, {CHOSEN.replace("AS STRING", "AS VARCHAR")} AS manual FROM customer),
+    s AS (SELECT *, lower(regexp_extract(coalesce(name, ''), '[^/]([.][^./]+)$', 1)) AS suffix,
+                 len(list_filter(string_split(rows, '|')[1:5], lambda r: {HITS.format(row="r", heads="['objekt', 'einheit', 'mieter', 'miete']")} >= 3 OR {HITS.format(row="r", heads="['name', 'telefon', 'e-mail']")} >= 2)) > 0 AS vendor FROM f)
+    SELECT k, CASE WHEN manual = 'second_vendor_export' THEN manual WHEN suffix IN ('.csv', '.txt') AND vendor THEN 'vendor_export' WHEN suffix = '.jpg' THEN 'image_scan' WHEN suffix = '.xlsx' THEN 'xlsx_generic'
+                   WHEN suffix IN ('.csv', '.txt', '.tsv') THEN 'csv_generic' ELSE 'generic_table' END AS code,
+           CASE WHEN manual = 'second_vendor_export' THEN 0.0 WHEN suffix IN ('.csv', '.txt') AND vendor THEN 0.95 WHEN suffix = '.jpg' THEN 0.8 WHEN suffix = '.xlsx' THEN 0.7
+                WHEN suffix IN ('.csv', '.txt', '.tsv') THEN 0.6 ELSE 0.1 END::DOUBLE AS score FROM s""")
+def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered reader that fits a file best, or the one that was chosen by hand."""
+    registry = intake.standard([(["objekt", "einheit", "mieter", "miete"], 3), (["name", "telefon", "e-mail"], 2)])
+    src = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"{LIST_NAME} AS name", f"{HEADINGS} AS rows", f"{CHOSEN} AS manual")
+    rows = F.transform(F.split("rows", r"\|"), lambda r: F.split(r, ";"))
+    return src.select("k", registry.choose(C("name"), rows, C("manual")).alias("c")).select("k", "c.code", "c.score")

@@ -103,7 +103,7 @@ def gazetteer(spark, sf_dir):
     return rules.gazetteer_hits(pages, n).groupBy(C("page_id").alias("doc_id"), C("object_id").alias("n_nationkey")).agg(F.count("*").alias("hits"))
 
 
-FILE_NAME = one_of("page_id", "'a.PDF'", "'b.tmp'", "'c'", "'d.xyz'", "'e.Jpeg'", "'f.docx'", "'g.html'", "'h.eml'", "'i.xls'", "'j.crdownload'", "'k.tar.gz'")
+FILE_NAME = one_of("page_id", "'a.PDF'", "'b.tmp'", "'c'", "'d.xyz'", "'e.Jpeg'", "'f.docx'", "'g.html'", "'h.eml'", "'i.xls'", "'j.crdownload'", "'k.tar.gz'", "'l.hed'", "'m.Indir'", "'n.herunterladen'")
 MEDIA = one_of("page_id", "'application/octet-stream'", "'image/png'", "'text/html'", "'application/pdf'", "'message/rfc822'", "'application/vnd.google-apps.document'")
 FILE_TEXT = one_of("page_id", "html", "concat(chr(10), '%PDF-1.7 ', url)", "concat('From: a@b.example', chr(10), 'Subject: ', url, chr(10), chr(10), 'x')", "'plain'")
 
@@ -115,7 +115,7 @@ FILE_TEXT = one_of("page_id", "html", "concat(chr(10), '%PDF-1.7 ', url)", "conc
               WHEN suffix IN ('jpg', 'jpeg', 'png', 'tif', 'tiff', 'gif', 'bmp', 'webp') THEN 'image' WHEN suffix IN ('docx', 'xlsx', 'odt', 'ods', 'csv', 'txt') THEN 'office'
               WHEN suffix IN ('eml', 'msg') THEN 'email' WHEN suffix IN ('html', 'htm') THEN 'html' WHEN suffix IN ('doc', 'xls', 'ppt', 'rtf') THEN 'office_legacy'
               WHEN starts_with(mime, 'image/') THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime = 'text/html' THEN 'html' WHEN mime = 'message/rfc822' THEN 'email' ELSE 'unsupported' END AS by_name FROM x),
-    o AS (SELECT *, by_name = 'unsupported' OR regexp_matches(lower(name), '[.](tmp|part|crdownload)$') AS odd FROM n)
+    o AS (SELECT *, by_name = 'unsupported' OR suffix IN ('', 'tmp', 'herunterladen', 'indir', 'hed', 'part', 'crdownload') AS odd FROM n)
     SELECT page_id, odd AS content_checked, CASE WHEN NOT odd THEN by_name WHEN contains(substr(body, 1, 1024), '%PDF') THEN 'pdf' WHEN starts_with(lower(ltrim(body)), '<html') OR starts_with(lower(ltrim(body)), '<!doctype html') THEN 'html'
               WHEN starts_with(body, 'From:') THEN 'email' ELSE 'unsupported' END AS kind FROM o""")
 def kinds(spark, sf_dir):

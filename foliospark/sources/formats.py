@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Kinds by suffix and by leading bytes.
 SUFFIXES = {"pdf": ["pdf"], "image": ["jpg", "jpeg", "png", "tif", "tiff", "gif", "bmp", "webp"], "office": ["docx", "xlsx", "odt", "ods", "csv", "txt"], "email": ["eml", "msg"], "html": ["html", "htm"], "office_legacy": ["doc", "xls", "ppt", "rtf"]}
 MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("474946383761", "gif"), ("474946383961", "gif"), ("D0CF11E0A1B11AE1", "ole"), ("504B0304", "zip"), ("7B5C727466", "rtf")]
+TEMPORARY = ("", "tmp", "herunterladen", "indir", "hed", "part", "crdownload")
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "article", "section"}
 SKIPPED = {"script", "style", "head"}
 
@@ -34,6 +35,7 @@ def kind_by_content(content: Column) -> Column:
     for sign, kind in MAGIC:
         out = out.when(head.startswith(sign), kind)
     out = out.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
+    out = out.when(head.startswith("424D") & (F.substring(head, 13, 8) == "00000000") & (F.length(content) > 26), "bmp")
     from ..functions.text import looks_like_html
 
     return out.when(looks_like_html(text), "html").when(looks_like_email(text), "email")
@@ -47,7 +49,7 @@ def looks_like_email(text: Column) -> Column:
 def kind_checked(name: Column, mime: Column, content: Column) -> Column:
     """Content decides only where the name says nothing or is temporary."""
     by_name = kind_by_name(name, mime)
-    odd = (by_name == "unsupported") | F.lower(name).rlike(r"\.(tmp|part|crdownload)$")
+    odd = (by_name == "unsupported") | F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*TEMPORARY)
     return F.struct(F.when(odd, F.coalesce(kind_by_content(content), F.lit("unsupported"))).otherwise(by_name).alias("kind"), odd.alias("content_checked"))
 
 
