@@ -121,7 +121,7 @@ def gazetteer_hits(pages: DataFrame, streets: DataFrame) -> DataFrame:
     ``pages``: page_id, text (normalised); ``streets``: object_id, street_key (one word), number.
     """
     words = F.split("text", r"\s+")
-    near = F.transform(words, lambda w, k: F.struct(w.alias("street_key"), F.try_element_at(words, k + 2).alias("next")))
+    near = F.arrays_zip(words.alias("street_key"), F.slice(words, 3, F.size(words)).alias("next"))
     tokens = pages.select("page_id", F.posexplode(near).alias("at", "token")).select("page_id", "at", "token.*")
     hits = tokens.join(streets, "street_key")
     return hits.select("page_id", "object_id", "street_key", "at", F.coalesce(F.regexp_extract("next", r"^([0-9]+)", 1).try_cast("int") == F.col("number"), F.lit(False)).alias("number_match"))
