@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.periods import overlaps
 from ..sources.shared import written
@@ -117,7 +121,7 @@ def top_of(edges: DataFrame, node: str, parent: str, rounds: int = 64) -> DataFr
     """
     now = written(edges.select(F.col(node).alias("__node"), F.coalesce(F.col(parent), F.col(node)).alias("__top")), "tops")
     for _ in range(rounds):
-        further = now.select(F.col("__node").alias("__top"), F.col("__top").alias("__next"))
+        further = now.select(F.col("__node").alias("__top"), F.col("__top").alias("__next")).distinct()  # a repeated node stays one parent
         new = written(now.join(further, "__top", "left").select("__node", F.coalesce("__next", "__top").alias("__top"), (F.col("__next") != F.col("__top")).alias("__moved")), "tops")
         now = new.drop("__moved")
         if new.where("__moved").isEmpty():
@@ -125,15 +129,32 @@ def top_of(edges: DataFrame, node: str, parent: str, rounds: int = 64) -> DataFr
     raise RuntimeError(f"the tree is higher than 2**{rounds} levels, or has a cycle")
 
 
-def multiset_digest(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Number of rows and a digest of each group's values, which doesn't depend on their order.
+def sorted_digest(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Number of rows and the SHA-256 of each group's values, sorted as strings and joined by line breaks, as (key, rows, digest).
 
-    The digest is two sums of sixty bits each of the values' hashes, so parts of a group are added up where they lie and no group is
-    collected. Equal values count as often as they occur; null counts as an empty value.
+    The sort of a shuffle, which spills, brings a group's values to its task in order, and the digest takes them as a stream: no group is
+    collected. Equal values count as often as they occur; rows with a null value or key are left out.
     """
-    own = F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"), 256)
-    part = lambda k: F.sum(F.conv(F.substring(own, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.concat_ws("-", part(0).cast("string"), part(1).cast("string")).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, digest = None, 0, hashlib.sha256()
+        done = lambda: pa.RecordBatch.from_pydict({"key": [group], "rows": [rows], "digest": [digest.hexdigest()]}, out)
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if rows and k == group:
+                    digest.update(b"\n")
+                elif rows:
+                    yield done()
+                    rows, digest = 0, hashlib.sha256()
+                group, rows = k, rows + 1
+                digest.update(value.encode())
+        if rows:
+            yield done()
+
+    own = df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("value")).where("key is not null and value is not null")
+    form = StructType([StructField("key", own.schema["key"].dataType), StructField("rows", LongType()), StructField("digest", StringType())])
+    out = to_arrow_schema(form)
+    return own.repartition("key").sortWithinPartitions("key", "value").mapInArrow(run, form).withColumnRenamed("key", key)
 
 
 def superseded(df: DataFrame, content: str, id_column: str) -> DataFrame:

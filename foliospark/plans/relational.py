@@ -164,17 +164,11 @@ def empty_folders(spark, sf_dir):
     return parts.select(C("p_partkey").alias("node")).join(op.with_marked_below(tree, kept, "node", "parent"), "node", "left_anti")
 
 
-SIXTY_BITS = "sum(CAST('0x' || substr(sha256(CAST(node AS VARCHAR)), {at}, 15) AS BIGINT))"
-
-
-@cat.query(
-    "y23_s33_tree_digest",
-    TREE + f"SELECT ancestor AS root, count(*) AS files, {SIXTY_BITS.format(at=1)}::VARCHAR || '-' || {SIXTY_BITS.format(at=16)}::VARCHAR AS digest FROM up WHERE ancestor < 7 GROUP BY 1",
-)
+@cat.query("y23_s33_tree_digest", TREE + "SELECT ancestor AS root, count(*) AS files, sha256(string_agg(CAST(node AS VARCHAR), chr(10) ORDER BY CAST(node AS VARCHAR))) AS digest FROM up WHERE ancestor < 7 GROUP BY 1")
 def tree_digest(spark, sf_dir):
-    """Number of descendants and a digest of their ids, summed up without collecting a tree."""
-    tree = table(spark, sf_dir, "part").select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent"))
-    return op.multiset_digest(op.top_of(tree, "node", "parent"), ["top"], "node").select(C("top").alias("root"), C("rows").alias("files"), "digest")
+    """Number of descendants and a digest over their sorted ids, read as a stream."""
+    tree = table(spark, sf_dir, "part").where("p_partkey is not null").select(C("p_partkey").alias("node"), F.when(C("p_partkey") >= 7, F.floor(C("p_partkey") / 7)).alias("parent"))
+    return op.sorted_digest(op.top_of(tree, "node", "parent").where("top < 7"), "top", "node").select(C("top").alias("root"), C("rows").alias("files"), "digest")
 
 
 @cat.query("j26_w06_owner_groups", SPANS + "SELECT id, dense_rank() OVER (PARTITION BY unit ORDER BY valid_to IS NULL DESC, valid_from, coalesce(valid_to, DATE '9999-12-31')) AS grp FROM spans")
