@@ -83,5 +83,6 @@ def y10_tenant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def y32_manual_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("finding"))
     status = F.when(C("l_returnflag") == "R", "fulfilled").when(C("l_returnflag") == "A", "").otherwise("missing")
-    decisions = table(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("finding"), C("l_linenumber").alias("seq"), status.alias("manual_status"), F.when(C("l_quantity") > 20, C("l_linestatus")).otherwise(" ").alias("manual_reason"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index")  # the table repeats numbers; the first row of a number counts
+    decisions = table(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("finding"), C("l_linenumber").alias("seq"), place.alias("place"), status.alias("manual_status"), F.when(C("l_quantity") > 20, C("l_linestatus")).otherwise(" ").alias("manual_reason"))
     return selections.with_manual(findings, decisions, "finding")
