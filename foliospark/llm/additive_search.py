@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by cosine with additive quantisation.
 
-A vector's direction is coded as a sum of one entry from each of ``books`` full-dimensional codebooks. The codebooks
-are trained one after another on residuals of a bounded sample; a beam search chooses the entries; the norm
-of the coded vector is stored. A query is scored against all codes with lookup tables of its products with
-all entries, and the best ``shortlist`` codes are ranked again by the exact cosine on the original vectors.
+A vector's direction, taken from the sample's mean and in units of the sample's spread, is coded as a sum of one entry from each of
+``books`` full-dimensional codebooks, one for each four dimensions or more. The codebooks are trained one after another on residuals of a
+bounded sample; a beam search chooses the entries; two norms, of the vector and of its code, are stored. A query is scored against all
+codes with lookup tables of its products with all entries, and the best codes are ranked again by the exact cosine on the original vectors,
+which lie beside their codes: so only the best few of a block leave its task, however long the shortlist is.
+
+How many are ranked again is measured, as it depends on how far apart the vectors lie: ``PROBES`` of the queries are compared with every
+vector, and the shortlist is as long as it takes to hold nearly all of their nearest ones, but at least ``shortlist``.
 
 Vectors are scaled by a power of two, which brings the largest component near 1 and changes no digit: so neither
 very large nor very small components overflow or vanish in a product. Equal vectors are one entry with their smallest
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +41,14 @@ BEAM = 4
 #: Bound of the training sample, in vectors.
 SAMPLE = 10_000
 SHORTLIST = 192
-#: Vectors of one block of codes, queries of one block at most, and bytes of their vectors.
+#: Queries whose true neighbours set the length of the shortlist, the share of neighbours it must hold, and what it is multiplied with.
+PROBES, HELD, SPARE = 128, 0.99, 1.5
+#: Vectors of one block of codes and queries of one block at most, and bytes of their vectors.
 CODE_BLOCK = 65_536
 QUERY_BLOCK = 32_768
-QUERY_BYTES = 16 << 20
+BLOCK_BYTES = 16 << 20
+#: How far sums in another order may lie from each other.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
@@ -73,20 +82,49 @@ class Codebooks:
         return sum(book[codes[:, m]] for m, book in enumerate(self.entries))
 
     def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Estimated cosines (queries, codes) from lookup tables and stored norms."""
-        out = np.zeros((len(queries), len(codes)), dtype=np.float32)
+        """Estimated products of queries and coded unit vectors (queries, codes) from lookup tables and stored norms."""
+        out = np.zeros((len(queries), len(codes)))
         for m in range(0, len(self.entries), 2):  # one table for two books: half as many lookups
             pair = self.entries[m : m + 2]
             place = codes[:, m].astype(np.intp)
-            table = (queries @ pair[0].T).astype(np.float32)
+            table = queries @ pair[0].T.astype(np.float64)
             if len(pair) == 2:
                 place = place * len(pair[1]) + codes[:, m + 1]
-                table = (table[:, :, None] + (queries @ pair[1].T).astype(np.float32)[:, None, :]).reshape(len(queries), -1)
+                table = (table[:, :, None] + (queries @ pair[1].T.astype(np.float64))[:, None, :]).reshape(len(queries), -1)
             for q in range(len(queries)):
                 out[q] += table[q].take(place)
         return out / np.maximum(norms, 1e-12)
 
 
+@dataclass(frozen=True)
+class Coder:
+    """Codebooks over directions less their ``mean``, in units of ``spread``."""
+
+    books: Codebooks
+    mean: np.ndarray
+    spread: float
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        return (unit(x) - self.mean) / self.spread
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and for each vector its own length, the length of its code."""
+        own = self.placed(x)
+        codes, norms = self.books.encode(own.astype(np.float32))
+        return codes, np.column_stack([np.linalg.norm(own, axis=1), norms])
+
+    def estimates(self, queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(queries, codes), largest for the nearest: half the square of the distance, from below, less what only the query tells."""
+        return self.books.scores(queries, codes, lengths[:, 1]) * lengths[:, 0] - lengths[:, 0] ** 2 / 2
+
+
+def coder(sample: np.ndarray, books: int) -> Coder:
+    x = unit(sample)
+    mean = x.mean(axis=0)
+    spread = float(np.sqrt(((x - mean) ** 2).sum(axis=1).mean())) or 1.0
+    return Coder(train((x - mean) / spread, max(books, -(-x.shape[1] // 4))), mean, spread)
+
+
 def train(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int = 8, seed: int = 3) -> Codebooks:
     rng = np.random.default_rng(seed)
     rest, out = x.astype(np.float32), []
@@ -111,7 +149,7 @@ def usable(column: str) -> Column:
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -142,6 +180,54 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return written(own.select(F.monotonically_increasing_id().alias("cid"), "vector", "ids"), "vectors")
 
 
+def code_block(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, codes and lengths of one row of blocks."""
+    ids, code, lengths = (np.frombuffer(batch.column(i)[row].as_py(), dtype=t) for i, t in ((0, np.int64), (1, np.uint8), (2, np.float64)))
+    return ids, code.reshape(len(ids), -1), lengths.reshape(len(ids), 2)
+
+
+def enough(model: Broadcast, queries: DataFrame, every: DataFrame, codes: DataFrame, k: int) -> int:
+    """How many codes a shortlist needs, by the ranks of the true neighbours of some ``queries`` among all codes.
+
+    Only ``PROBES`` queries and their ``k`` nearest pass through the driver, whatever the number of vectors.
+    """
+    probes = queries.orderBy(F.xxhash64("qid", F.lit(3)), "qid").limit(PROBES).collect()
+    if not probes:
+        return 0
+    own, given = np.array([r["qid"] for r in probes]), np.array([r["vector"] for r in probes], dtype=np.float64)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = unit(given)
+        for batch in batches:
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            # Half the square of the distance; from the mean, so near vectors differ in more digits than by their products.
+            at, centre = unit(x) - model.value.mean, asked - model.value.mean
+            s = np.where(ids[None, :] == own[:, None], -np.inf, centre @ at.T - (at**2).sum(axis=1) / 2)
+            keep = min(k, len(ids))
+            best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            code = model.value.encode(x[best.ravel()])
+            guess = [model.value.estimates(model.value.placed(given[p : p + 1]), *(c[p * keep : (p + 1) * keep] for c in code))[0] for p in range(len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own), dtype=np.int32), keep)), pa.array(np.take_along_axis(s, best, 1).ravel()), pa.array(np.concatenate(guess))], ["p", "s", "estimate"])
+
+    true = every.select("cid", "vector").mapInArrow(nearest, "p int, s double, estimate double").where(F.col("s") > float("-inf"))
+    first = true.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(F.col("s").desc()))).where(F.col("n") <= k)
+    marks: list[list[float]] = [[] for _ in probes]
+    for r in first.collect():
+        marks[r["p"]].append(r["estimate"])
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = model.value.placed(given)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, code, lengths = code_block(batch, row)
+                for p, mark in enumerate(marks):
+                    s = model.value.estimates(asked[p : p + 1], code, lengths)[0]
+                    yield pa.RecordBatch.from_pydict({"p": [p] * len(mark), "j": list(range(len(mark))), "n": [int((s >= m - 1e-9 * abs(m)).sum()) for m in mark]}, pa.schema([("p", pa.int32()), ("j", pa.int32()), ("n", pa.int64())]))
+
+    ranks = [r[0] for r in codes.mapInArrow(above, "p int, j int, n long").groupBy("p", "j").agg(F.sum("n").alias("n")).select("n").collect()]
+    return int(np.ceil(SPARE * np.quantile(ranks, HELD))) + 1 if ranks else 0
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", shortlist: int = SHORTLIST, books: int = BOOKS) -> DataFrame:
     """For each row of ``vectors`` that ``queries`` selects, its ``k`` nearest other rows.
 
@@ -156,7 +242,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
         return spark.createDataFrame([], out)
     sizes = [len(v) for v in sample]
     dimension = max(sorted(set(sizes)), key=sizes.count)
-    model = spark.sparkContext.broadcast(train(unit(np.array([v for v in sample if len(v) == dimension], dtype=np.float64)), books))
+    model = spark.sparkContext.broadcast(coder(np.array([v for v in sample if len(v) == dimension], dtype=np.float64), books))
 
     double = F.col(vector_column).cast("array<double>")
     rows = sound.where(F.size(vector_column) == dimension).select(F.col(id_column).cast("long").alias("id"), scaled(double).alias("vector"), queries.alias("asked"))
@@ -164,26 +250,28 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     chosen = rows.where("asked").select("id", "vector").distinct().join(every.select("cid", "vector"), "vector")
     asked = written(chosen.select(F.col("id").alias("query_id"), F.col("cid").alias("qid"), "vector"), "queries")
     distinct_queries = asked.select("qid", "vector").dropDuplicates(["qid"])
-    n_blocks = max(1, -(-distinct_queries.count() // min(QUERY_BLOCK, max(64, QUERY_BYTES // (8 * dimension)))))
+    n_blocks = max(1, -(-distinct_queries.count() // min(QUERY_BLOCK, max(64, BLOCK_BYTES // (8 * dimension)))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def block() -> pa.RecordBatch:
-            ids, codes, norms = (np.concatenate([h[i] for h in held]) for i in range(3))
+            columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, codes, norms)], ["ids", "codes", "norms"])
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["ids", "codes", "lengths", "vectors"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 some = batch.slice(a, 2048)
-                held.append((some.column(0).to_numpy(), *model.value.encode(unit(matrix(some.column(1))))))
-                if sum(len(h[0]) for h in held) >= CODE_BLOCK:
+                x = matrix(some.column(1))
+                held.append((some.column(0).to_numpy(), *model.value.encode(x), x))
+                if sum(len(h[0]) for h in held) >= min(CODE_BLOCK, BLOCK_BYTES // (8 * dimension)):
                     yield block()
         if held:
             yield block()
 
-    codes = written(every.select("cid", "vector").mapInArrow(encode, "ids binary, codes binary, norms binary"), "codes")
+    codes = written(every.select("cid", "vector").mapInArrow(encode, "ids binary, codes binary, lengths binary, vectors binary"), "codes")
+    shortlist = max(shortlist, enough(model, distinct_queries, every, codes.drop("vectors"), k))
     parts = max(1, -(-codes.count() // n_blocks))
     spread = F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")
     left = codes.withColumns({"s": spread, "q": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
@@ -191,23 +279,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     blocks = distinct_queries.withColumn("q", block_of).groupBy("q").agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("vector")).alias("parts"))
     right = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
+    few = 2 * (k + 1)  # one for the query itself, and as many again for the order of sums
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, code, norm = (np.frombuffer(batch.column(i)[row].as_py(), dtype=t) for i, t in ((0, np.int64), (1, np.uint8), (2, np.float32)))
-                code = code.reshape(len(ids), -1)
-                qids = batch.column(3)[row].values.to_numpy()
-                asked_for = unit(batch.column(4)[row].values.to_numpy().reshape(len(qids), -1))
+                ids, code, lengths = code_block(batch, row)
+                vectors = np.frombuffer(batch.column(3)[row].as_py()).reshape(len(ids), -1)
+                qids = batch.column(4)[row].values.to_numpy()
+                given = batch.column(5)[row].values.to_numpy().reshape(len(qids), -1)
+                placed, asked_for = model.value.placed(given), unit(given)
                 for a in range(0, len(qids), 64):
-                    s = model.value.scores(asked_for[a : a + 64], code, norm)
+                    s = model.value.estimates(placed[a : a + 64], code, lengths)
                     keep = min(shortlist, len(ids))
                     best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                    value = np.take_along_axis(s, best, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[a : a + 64], keep)), pa.array(ids[best].ravel()), pa.array(value.ravel())], ["qid", "cid", "estimate"])
-
-    near = left.join(right, ["q", "s"]).select("ids", "codes", "norms", "qids", "parts").mapInArrow(score, "qid long, cid long, estimate float")
-    by_estimate = Window.partitionBy("qid").orderBy(F.col("estimate").desc(), "cid")
-    short = near.withColumn("n", F.row_number().over(by_estimate)).where(F.col("n") <= shortlist).select("qid", "cid")
+                    for q, own in enumerate(best, a):
+                        near = unit(vectors[own]) @ asked_for[q]
+                        least = np.partition(near, -few)[-few] if len(near) > few else -np.inf
+                        top = near >= least - ROUNDING
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(top.sum(), qids[q])), pa.array(ids[own[top]]), pa.array(near[top])], ["qid", "cid", "near"])
+
+    near = left.join(right, ["q", "s"]).select("ids", "codes", "lengths", "vectors", "qids", "parts").mapInArrow(score, "qid long, cid long, near double")
+    by_near = Window.partitionBy("qid").orderBy(F.round("near", 12).desc())
+    short = near.withColumn("n", F.rank().over(by_near)).where(F.col("n") <= few).select("qid", "cid")
     # The query's own class always takes part: it holds the query's copies.
     short = short.unionByName(distinct_queries.select("qid", F.col("qid").alias("cid"))).distinct()
     pairs = short.join(distinct_queries.withColumnRenamed("vector", "own"), "qid").join(every, "cid")
