@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, similarity
-from ..operators import classifier, mapping, records, rules
+from ..functions import evidence
+from ..operators import classifier, fuzzy, mapping, records, rules
 from ..sources import formats, tables
 from .base import C, Catalogue, table
 from .imports import one_of
@@ -205,14 +205,10 @@ def fuzzy_join(spark, sf_dir):
     The tables have no signal for J09 but the shared nation, which counts as the address, and no first names for
     J10. A nation's customers form blocks whose number grows with them; the two best of each block meet at the end.
     """
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("a"), C("s_nationkey").alias("n"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("name"), C("c_nationkey").alias("n"))
-    blocks = c.groupBy("n").agg(F.ceil(F.count("*") / FUZZY_BLOCK).cast("int").alias("blocks"))
-    c = c.join(F.broadcast(blocks), "n").withColumn("b", F.pmod(F.xxhash64("c_custkey"), C("blocks")).cast("int")).drop("blocks")
-    s = s.join(F.broadcast(blocks), "n").withColumn("b", F.explode(F.sequence(F.lit(0), C("blocks") - 1))).drop("blocks")
-    scored = s.join(c, ["n", "b"]).withColumn("score", similarity.owner_score(similarity.similarity(C("a"), C("name"), "token_set"), F.lit(False), F.lit(True), F.lit(False), F.lit(False), F.lit(False)))
+    s = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("l"), F.lower("s_name").alias("a"), C("s_nationkey").alias("n"))
+    c = table(spark, sf_dir, "customer").select(C("c_custkey").alias("r"), F.lower("c_name").alias("b"), C("c_nationkey").alias("n"))
+    two = fuzzy.best_two(s, c, "n", fuzzy.WEIGHTS["same_address"], FUZZY_BLOCK).select(C("l").alias("s_suppkey"), C("r").alias("c_custkey"), "score")
     best = [C("score").desc(), "c_custkey"]
-    two = scored.withColumn("k", F.row_number().over(Window.partitionBy("s_suppkey", "b").orderBy(*best))).where("k <= 2")
     w = Window.partitionBy("s_suppkey").orderBy(*best)
     ranked = two.withColumns({"rank": F.row_number().over(w), "second": F.lead("score").over(w)}).where("rank = 1")
     return ranked.select("s_suppkey", "c_custkey", F.round("score", 6).alias("score"), evidence.verdict(C("score") / 100, C("second") / 100, F.lit(False)).alias("outcome"))
