@@ -16,7 +16,7 @@ with the name of a new one gives way to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -204,14 +204,23 @@ class Network:
         return np.where(np.isnan(logits), self.prior, sigmoid(self.slope * np.nan_to_num(logits) + self.intercept))
 
 
-def log_odds(present: list[set], labels: np.ndarray) -> dict:
-    """Smoothed log odds of things by the labels of the documents that hold them; at least three documents."""
-    seen: dict = {}
-    for things, y in zip(present, labels.tolist(), strict=True):
-        for x in things:
-            seen.setdefault(x, [0, 0])[y] += 1
+def log_odds(present: Iterable[np.ndarray], labels: np.ndarray, things: int) -> dict[int, float]:
+    """Smoothed log odds of things, numbered below ``things``, by the labels of the documents that hold them; at least three documents.
+
+    ``present`` holds the distinct things of one document after the other, so only the counts are kept.
+    """
+    seen = np.zeros((2, things), dtype=np.int64)
+    for own, y in zip(present, labels.tolist(), strict=True):
+        seen[y, own] += 1
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
-    return {x: float(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))) for x, (a, b) in seen.items() if a + b >= 3}
+    return {x: float(np.log((seen[1, x] + 0.5) / (n1 + 1)) - np.log((seen[0, x] + 0.5) / (n0 + 1))) for x in np.flatnonzero(seen.sum(axis=0) >= 3).tolist()}
+
+
+def numbered(lists: Iterable[list[str]]) -> tuple[list[np.ndarray], list[str]]:
+    """Each list as numbers of its words, and the different words in the order of their first places; one list is held at a time."""
+    index: dict[str, int] = {}
+    seqs = [np.fromiter((index.setdefault(w, len(index)) for w in ws), dtype=np.int64, count=len(ws)) for ws in lists]
+    return seqs, list(index)
 
 
 def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: int = 256, informed: bool = True) -> Network:
@@ -225,7 +234,6 @@ def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: i
     y = np.array([r[2] for r in fit_rows], dtype=np.int64)
     rate = min(max(base_rate, 1e-3), 1 - 1e-3)
     prior = float(np.log(rate / (1 - rate)))
-    words = [tokens(r[1]) for r in fit_rows]
     shape = {"wi": (WORD_DIM + CHAR_DIM, 6 * HIDDEN), "uf": (HIDDEN, 3 * HIDDEN), "ub": (HIDDEN, 3 * HIDDEN), "wa": (2 * HIDDEN, HIDDEN), "va": (HIDDEN,), "wo": (2 * HIDDEN,)}
     p = {k: rng.normal(0, 0.4 / np.sqrt(s[0] / 8), s).astype(np.float32) for k, s in shape.items()} | {"bi": np.zeros(6 * HIDDEN, np.float32), "ba": np.zeros(HIDDEN, np.float32), "bo": np.zeros(1, np.float32)}
     net = Network({}, p, prior=rate)
@@ -233,14 +241,13 @@ def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: i
     if len(set(y.tolist())) < 2 or len({r[2] for r in curve_rows}) < 2:
         net.slope, net.intercept = 0.0, prior
         return net
-    odds = log_odds([{w.strip(EDGE) for w in ws} for ws in words], y)
-    unique = list(dict.fromkeys(w for ws in words for w in ws))
-    index = {w: k for k, w in enumerate(unique)}
+    seqs, unique = numbered(tokens(r[1]) for r in fit_rows)
+    (bare,), stems = numbered([[w.strip(EDGE) for w in unique]])
+    odds = {stems[k]: v for k, v in log_odds((np.unique(bare[s]) for s in seqs), y, len(stems)).items()}
     grams, begins = char_grams(unique)
-    seqs = [np.array([index[w] for w in ws], dtype=np.int64) for ws in words]
-    held = [set(np.concatenate([grams[begins[k] : begins[k + 1]] for k in set(s.tolist())]).tolist()) if len(s) else set() for s in seqs]
+    held = (np.unique(np.concatenate([grams[begins[k] : begins[k + 1]] for k in np.unique(s).tolist()])) if len(s) else s for s in seqs)
     gram_odds = np.zeros(BUCKETS)
-    for g, v in log_odds(held, y).items():
+    for g, v in log_odds(held, y, BUCKETS).items():
         gram_odds[g] = v
     net.vocabulary = {w: k + 1 for k, w in enumerate(sorted(odds))}
     net.p["words"] = rng.normal(0, 0.1, (len(net.vocabulary) + 1, WORD_DIM)).astype(np.float32)
@@ -258,11 +265,11 @@ def train(rows: list, base_rate: float, seed: int = 7, epochs: int = 6, batch: i
     for epoch in range(epochs):
         if epoch in (2, 4):  # the network itself now names the windows
             score = np.empty(len(windows))
-            table = net.inputs(unique)[3] @ net.p["wi"] + net.p["bi"]
+            table = np.concatenate([net.inputs(unique[a : a + 16_384])[3] for a in range(0, len(unique), 16_384)]) @ net.p["wi"] + net.p["bi"]
             for a in range(0, len(windows), 4096):
                 o, f = owner[a : a + 4096], first[a : a + 4096]
                 ids, mask = gather(seqs, o, f)
-                score[a : a + 4096] = net.forward(table[ids].astype(np.float32), mask)
+                score[a : a + 4096] = net.forward(table[ids].astype(np.float32, copy=False), mask)
         order = np.lexsort((-score, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         positive = order[(y[owner[order]] == 1) & (rank < 1)]
