@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core among which ``spread`` deals rows.
+TASKS_A_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores, for costly work on each: a narrow table lies in few row groups, each of which one task reads."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Catalogue:
     """Collects the queries of a module with their oracles."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import formats, intake, tables, workbooks
 from ..sources.shared import fresh, written
 from ..streaming import incremental
-from .base import C, Catalogue, table
+from .base import C, Catalogue, spread, table
 from .imports import one_of
 
 cat = Catalogue()
@@ -75,7 +75,8 @@ MAIL = "concat('From: ', c_name, ' <K', CAST(c_custkey AS STRING), '@Haus.exampl
 @cat.query("s27_s29_messages", "SELECT 'AW: Miete ' || c_custkey AS subject, trim(c_name) AS from_name, 'k' || c_custkey || '@haus.example' AS from_address, '2024-01-01T10:00:00+00:00' AS date FROM customer")
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole message texts as headers and pages."""
-    raw = table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), C("c_custkey").cast("string"), F.lit(".eml")).alias("path"), F.expr(MAIL).cast("binary").alias("content"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    raw = customers.select(F.concat(F.lit("m"), C("c_custkey").cast("string"), F.lit(".eml")).alias("path"), F.expr(MAIL).cast("binary").alias("content"))
     return formats.parse_messages(raw).select("subject", "from_name", "from_address", "date")
 
 

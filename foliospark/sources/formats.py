@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +17,8 @@ MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tiff"),
 TEMPORARY = ("", "tmp", "herunterladen", "indir", "hed", "part", "crdownload")
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "article", "section"}
 SKIPPED = {"script", "style", "head"}
+#: Headers of messages that a task remembers.
+REMEMBERED_HEADERS = 4096
 
 
 def kind_by_name(name: Column, mime: Column) -> Column:
@@ -121,6 +124,12 @@ def parse_messages(files: DataFrame) -> DataFrame:
         from email.parser import BytesParser
         from email.utils import parseaddr, parsedate_to_datetime
 
+        # A message parses a header anew each time that it is asked for, which takes most of the time; many messages share some.
+        shown = lru_cache(maxsize=REMEMBERED_HEADERS)(lambda name, raw: str(policy.default.header_fetch_parse(name, raw)))
+
+        def header(m, name: str) -> str:
+            return next((shown(k, raw) for k, raw in m.raw_items() if k.lower() == name), "")
+
         for pdf in batches:
             out = []
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -129,14 +138,15 @@ def parse_messages(files: DataFrame) -> DataFrame:
                 text = "" if body is None else body.get_content()
                 if body is not None and body.get_content_type() == "text/html":
                     text = html_text(text)
-                who, address = parseaddr(str(m.get("From", "")))
+                sender, to, sent, subject = (header(m, h) for h in ("from", "to", "date", "subject"))
+                who, address = parseaddr(sender)
                 try:
-                    date = parsedate_to_datetime(str(m["Date"])).isoformat() if m["Date"] else None
+                    date = parsedate_to_datetime(sent).isoformat() if sent else None
                 except ValueError:
                     date = None
                 files = [a.get_filename() or "" for a in m.iter_attachments()]
-                page = "\n".join([f"Von: {m.get('From', '')}", f"An: {m.get('To', '')}", f"Datum: {m.get('Date', '')}", f"Betreff: {m.get('Subject', '')}", "", text.strip(), *([f"Anhänge: {', '.join(files)}"] if files else [])])
-                out.append((name, str(m.get("Subject", "")), who or None, address.lower() or None, str(m.get("To", "")) or None, date, page, files))
+                page = "\n".join([f"Von: {sender}", f"An: {to}", f"Datum: {sent}", f"Betreff: {subject}", "", text.strip(), *([f"Anhänge: {', '.join(files)}"] if files else [])])
+                out.append((name, subject, who or None, address.lower() or None, to or None, date, page, files))
             yield pd.DataFrame(out, columns=["path", "subject", "from_name", "from_address", "to", "date", "text", "attachments"])
 
     return files.select("path", "content").mapInPandas(read, "path string, subject string, from_name string, from_address string, to string, date string, text string, attachments array<string>")
