@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import addresses, designations, leases
-from .base import C, Catalogue, table
+from .base import C, Catalogue, spread, table
 from .imports import one_of
 
 cat = Catalogue()
@@ -71,7 +71,7 @@ def y33_addresses_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Y33 over whole documents with an address in front and one behind; no SQL form."""
     house = "CAST(doc_id % 190 + 1 AS STRING)"
     text = f"concat('WEG Ulmenpark ', {house}, '\n 12321 Rheinau\n', coalesce(text, ''), '\nan die Mühlstr. ', {house}, ', 54321 Auenstadt, Ulmenpark ', {house}, ', 12321 Rheinau.')"
-    found = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{text} AS text").select("doc_id", addresses.addresses_in_text(C("text")).alias("a"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr("doc_id", f"{text} AS text").select("doc_id", addresses.addresses_in_text(C("text")).alias("a"))
     return found.select("doc_id", F.posexplode("a").alias("place", "a")).select("doc_id", "place", "a.street", "a.house_number", "a.postal_code", "a.city", "a.community")
 
 
