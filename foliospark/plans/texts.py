@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence
 from ..operators import classifier, fuzzy, mapping, records, rules
 from ..sources import formats, tables
-from .base import C, Catalogue, table
+from .base import C, Catalogue, spread, table
 from .imports import one_of
 
 cat = Catalogue()
@@ -217,10 +217,10 @@ def fuzzy_join(spark, sf_dir):
 @cat.query("e18_e22_classifier")
 def trained_stage(spark, sf_dir):
     """A model trained on labelled documents, applied to all of them; no SQL form."""
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d, l = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "labels")
     text = classifier.input_text(F.array("source"), C("text"))
     samples = d.join(l, "doc_id").select(C("doc_id").alias("id"), text.alias("text"), C("quality").cast("string").alias("label"))
-    model = classifier.pipeline(1 << 12).fit(classifier.with_weights(samples))
+    model = classifier.fitted(classifier.with_weights(samples), 1 << 12)
     return classifier.predict(model, d.select("doc_id", text.alias("text"))).select("doc_id", "top", F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"))
 
 
