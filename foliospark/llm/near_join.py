@@ -30,6 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ BLOCK = 1024
 SKETCH, MISSED = 32, 1e-6
 #: Of small sets, whose sketches are the sets, this share of what a similar pair has in common is asked for.
 SMALL_SHARE = 0.875
-TEXT_BYTES = 2 << 20
+#: Text that a task looks at together; its words and shingles take some ten times as much.
+TEXT_BYTES = 512 << 10
 
 
 def text_key(text: Column) -> Column:
@@ -87,14 +89,15 @@ def shingle_sets(texts: list[str], hasher: WordHasher, n: int = N) -> list[np.nd
     return out
 
 
-def batched(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``TEXT_BYTES`` characters."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= TEXT_BYTES or k == len(texts) - 1:
-            yield start, k + 1
-            start, size = k + 1, 0
+def batched(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``TEXT_BYTES`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+        yield start, end
+        start = end
 
 
 def signatures(reps: DataFrame, runs: int, threshold: float, n: int, levels: int = LEVELS, seed: int = 17) -> DataFrame:
@@ -105,9 +108,8 @@ def signatures(reps: DataFrame, runs: int, threshold: float, n: int, levels: int
         hasher, (kept, _) = WordHasher(), sketch_plan(threshold)
         seeds = mix(np.arange(1, runs * levels + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in batched(texts):
-                sets = shingle_sets(texts[a:b], hasher, n)
+            for a, b in batched(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), hasher, n)
                 sizes = np.array([len(s) for s in sets])
                 every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
                 owner = np.repeat(np.arange(len(sets)), sizes)
@@ -287,9 +289,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in batched(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b], hasher, n)], pa.binary())], ["rep", "shingles"])
+            for a, b in batched(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), hasher, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
     # The same plan at every size: the few texts that take part meet their keys in a shuffle.
     chosen = own.select("rep", "text").join(comp.select("rep").hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])

@@ -12,10 +12,11 @@ with the name of a new one gives way to it in ``score`` (``keep_good`` keeps all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ DICTIONARY_BYTES = 112_640
 PER_CLASS = 2_000
 LEVEL = 3
 THRESHOLD = 0.3
+#: Texts that are turned into Python strings at once.
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -121,10 +124,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
     """Every row of ``docs`` with ``quality_score`` and ``quality_ok`` added; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def quality(batches: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = shared.value.scorer()
-        return batches.map(one).astype(float)
+        for batch in batches:
+            yield pa.array([one(t) for k in range(0, len(batch), ROWS) for t in batch.slice(k, ROWS).to_pylist()], pa.float64())
 
     scored = docs.withColumn("quality_score", quality(whole_text())).withColumn("quality_ok", F.col("quality_score") >= threshold)
     return scored.select(*replacing(docs, "quality_score", "quality_ok"), "quality_score", "quality_ok")

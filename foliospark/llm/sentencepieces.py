@@ -33,13 +33,15 @@ from .common import adding, whole_text
 MARK = "▁"
 #: Score of a byte piece, below that of any ordinary piece's.
 BYTE_SCORE = -1e6
-#: Words of one generation that a worker remembers.
+#: Words of one generation that a worker remembers; it keeps two, of about 250 bytes a word, also while it works for other stages.
 REMEMBERED = 250_000
+#: Texts that are turned into Python strings at once.
+ROWS = 512
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Pieces:
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, remembered: int = REMEMBERED):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -60,6 +62,7 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.normal):
             raise ValueError("a piece of this model reaches over a word's border")
         self.automaton.make_automaton()
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -97,7 +100,7 @@ class Pieces:
     def ids(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= REMEMBERED:  # the words of one generation back are kept, so frequent ones stay
+            if len(self.known) >= self.remembered:  # the words of one generation back are kept, so frequent ones stay
                 self.before, self.known = self.known, {}
             found = self.before.get(word) or np.array(self.best(word), dtype="<i4").tobytes()
             self.known[word] = found
@@ -136,9 +139,9 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(model_path: str) -> Pieces:
+def pieces(model_path: str, remembered: int = REMEMBERED) -> Pieces:
     """One automaton for each worker process."""
-    return Pieces(model_path)
+    return Pieces(model_path, remembered)
 
 
 def lists(parts: list[bytes]) -> pa.Array:
@@ -147,16 +150,19 @@ def lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
 
 
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", verify: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", verify: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``piece_ids array<int>``, ``n_pieces long`` and, if ``verify``, ``round_trip boolean``."""
 
     @F.arrow_udf("struct<piece_ids: array<int>, n_pieces: long, round_trip: boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = pieces(model_path)
+        model = pieces(model_path, remembered)
         for batch in batches:
-            texts = batch.to_pylist()
-            out = [model.encode(t) for t in texts]
-            same = [model.decode(np.frombuffer(o, dtype="<i4").tolist()) == t for o, t in zip(out, texts, strict=True)] if verify else [None] * len(out)
+            out, same = [], []
+            for k in range(0, len(batch), ROWS):
+                texts = batch.slice(k, ROWS).to_pylist()
+                some = [model.encode(t) for t in texts]
+                out += some
+                same += [model.decode(np.frombuffer(o, dtype="<i4").tolist()) == t for o, t in zip(some, texts, strict=True)] if verify else [None] * len(some)
             yield pa.StructArray.from_arrays([lists(out), pa.array([len(o) // 4 for o in out], pa.int64()), pa.array(same, pa.bool_())], ["piece_ids", "n_pieces", "round_trip"])
 
     new = ["piece_ids", "n_pieces", *(["round_trip"] if verify else [])]

@@ -17,12 +17,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are summed at once; the tables of powers and all temporaries have this size.
+BLOCK = 1 << 16
+
+
 class WordHasher:
     """Hashes of lower-case, white-space-separated words by prefix sums of a polynomial over the bytes."""
 
     def __init__(self) -> None:
-        self.powers = np.ones(1, dtype=np.uint64)
-        self.inverses = np.ones(1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            self.powers, self.inverses = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, x)]), dtype=np.uint64) for x in (BASE, INVERSE))
+
+    def sums(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The polynomials of the words ``raw[first:last]``: at most ``BLOCK`` bytes of words, or one long word."""
+        with np.errstate(over="ignore"):
+            if len(raw) > BLOCK:
+                pieces = (raw[k : k + BLOCK].astype(np.uint64) + np.uint64(1) for k in range(0, len(raw), BLOCK))
+                total = sum(int((x * self.powers[: len(x)]).sum(dtype=np.uint64)) * pow(int(BASE), k * BLOCK, 1 << 64) for k, x in enumerate(pieces))
+                return np.array([total % (1 << 64)], np.uint64)
+            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
+            return (sums[last] - sums[first]) * self.inverses[first]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and where each text's words begin (one more entry than texts)."""
@@ -32,18 +47,16 @@ class WordHasher:
         if not starts[-1]:
             return np.zeros(0, dtype=np.uint64), starts
         raw = np.frombuffer(" ".join([" ".join(p) for p in parts if p]).encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        if len(raw) > len(self.powers):
-            n = max(len(raw), 1 << 20)
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]), dtype=np.uint64)
-                self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]), dtype=np.uint64)
+        del parts
+        gaps = np.flatnonzero(raw == 32)
+        first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+        out, i = np.empty(len(first), np.uint64), 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(last, first[i] + BLOCK, "right")))
+            out[i:j] = self.sums(raw[first[i] : last[j - 1]], first[i:j] - first[i], last[i:j] - first[i])
+            i = j
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
-            gaps = np.flatnonzero(raw == 32)
-            first = np.concatenate([[0], gaps + 1])
-            last = np.concatenate([gaps, [len(raw)]])
-            return mix((sums[last] - sums[first]) * self.inverses[first] + (last - first).astype(np.uint64)), starts
+            return mix(out + (last - first).astype(np.uint64)), starts
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:

@@ -15,8 +15,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliospark.llm import additive_search, exact_dedup, mixing, near_join, packed_tokens, quality, queries, sentencepieces
+from foliospark.llm import additive_search, exact_dedup, mixing, near_join, packed_tokens, quality, queries, sentencepieces, words
 from foliospark.llm.common import table
+from foliospark.llm.words import WordHasher
 
 SMALL = "/root/testdata/sf0.001"
 ODD = ["", "  ", "a\x1cb c!\x1f!d", "x<|endoftext|>y <|startoftext|> ΑΣ ΣΣ", "it's don't I'LL 'SS", "é é ́a İ ½ ² 12a3 ١٢", "naïve—dash…‹›", "▁ mark ▁▁", "tab\tand\r\nlines\n\n", "漢字 かな 🙂", "word " * 40_000]
@@ -338,3 +339,32 @@ def test_columns_of_any_name_stay(docs_of):
         rows = out.collect()
         assert len(rows) == 20 and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
     assert sorted(r["mix_position"] for r in mixing.mix(docs).collect()) == list(range(20))
+
+
+def test_words_are_hashed_in_bounded_memory():
+    """Beside the words themselves, hashing takes a few bytes a byte of text; it took some 45."""
+    import tracemalloc
+
+    text = "lorem ipsum dolor " * 200_000
+    tracemalloc.start()
+    hashes, starts = WordHasher()([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hashes) == starts[-1] == 600_000 and len(np.unique(hashes)) == 3
+    assert peak < 25 * len(text)
+
+
+def test_long_words_are_hashed_like_short_ones(monkeypatch):
+    """A word beyond a block is summed in pieces, which gives the same hash as one block."""
+    texts = ["ab " + "xyz" * 50 + " é" + "ü" * 70, "c", " ".join(["ab", "xyz" * 50, "é" + "ü" * 70])]
+    whole = WordHasher()(texts)[0]
+    monkeypatch.setattr(words, "BLOCK", 64)
+    assert (WordHasher()(texts)[0] == whole).all()
+
+
+def test_remembered_words_are_bounded(piece_model):
+    """A small memory of words changes no ids."""
+    small = sentencepieces.Pieces(queries.PIECE_MODEL, 10)
+    text = " ".join(f"w{k % 37} x{k}" for k in range(300))
+    assert small.encode(text) == piece_model.encode(text)
+    assert len(small.known) <= 10 and len(small.before) <= 10
