@@ -7,8 +7,9 @@ backs off from its 2-gram. A document's score is the sum of the logarithms.
 
 Relational form. Each place is a row with its word ``b``, the word before it ``a`` and the word after it ``c``. Every
 count that the places (.., a, b) and (a, b, c) need counts rows that have the same ``b``: b itself, (a, b), (b, c) and
-(a, b, c). So the exploded n-grams are dealt by a hash, the count tables are windows over the same hash partitions, where
-they meet the n-grams that they count without another shuffle, and the terms are summed by document.
+(a, b, c). So the exploded n-grams are dealt by a hash to as many tasks as keep each small; the count tables of its keys are made in
+arrays in the task in which all rows of those keys lie, and joined there to the n-grams that they count without another
+shuffle. The terms are summed by document.
 
 A frequent word would gather in one task, so the key is as long as it must be: the rows of a frequent word are dealt
 by its 2-grams, and those of a frequent 2-gram by the 3-gram. Which
@@ -29,10 +30,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, whole_text, written
@@ -46,17 +48,28 @@ SHARE = 16_384
 SLICES = 5
 #: Words that a task looks at together.
 STEP = 1 << 18
+#: Places whose questions a task answers, on the average: a slice is dealt to as many tasks as that takes, so each holds its rows at once.
+PLACES = 1 << 19
+#: Terms of a document that such a task adds itself, so the rows that it leaves to Spark's sums grow with its questions.
+ADDED = 4
+#: Words of some documents that leave a task together.
+BATCH = 1 << 24
+#: Bits of a key that find its place among known ones.
+LEADING = 18
 #: Terms are summed as two whole numbers of these units: large terms of opposite sign cancel exactly, in any order.
 WHOLE, PART = 1 << 20, 1 << 32
 #: Stand for what is before the first and after the last word.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 #: Bits of ``kind``.
 AHEAD, FIRST, SECOND, LAST = 1, 2, 4, 8
+#: What a question's key is; beside ``kind`` in ``what``, before the places of two frequent n-grams in their table (0: none).
+WORD, PAIR, THREE = 0, 16, 32
+PLACE_BITS = 28
 
-WORDS = "doc_id long, n_tokens int, words array<long>"
-BY_WORD = "row long, key long, prev long, next long, kind int"
-BY_PAIR = "row long, key long, prev long, next long, kind int, n_x long, n_y long"
-BY_THREE = "row long, key long, kind int, n_word long, n_pair long"
+#: A document's words are the hashes in order, 8 bytes each.
+WORDS = "doc_id long, n_tokens int, words binary"
+ASKED = "row long, key long, prev long, next long, what long"
+SUMS = "row long, whole long, part long, full long"
 
 
 def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -71,12 +84,34 @@ class Known:
     keys: np.ndarray
     counts: np.ndarray
 
+    @cached_property
+    def begins(self) -> np.ndarray:
+        """Where the keys with each sequence of leading bits begin."""
+        lead = (self.keys >> np.uint64(64 - LEADING)).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(np.bincount(lead, minlength=1 << LEADING))])
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The places of ``keys`` among the known ones from 1, 0 for those that are not among them."""
+        out = np.zeros(len(keys), np.int64)
+        lead = (keys >> np.uint64(64 - LEADING)).astype(np.int64)
+        at, end = self.begins[lead], self.begins[lead + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], keys[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            out[left[hit]] = at[hit] + 1
+            at += 1
+            on = ~hit & (at < end)
+            left, at, end, wanted = left[on], at[on], end[on], wanted[on]
+        return out
+
+    @cached_property
+    def from_places(self) -> np.ndarray:
+        return np.concatenate([[0], self.counts]).astype(np.int64)
+
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The counts of ``keys``, 0 for those that are not among them."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+        return self.from_places[self.places(keys)]
 
 
 @dataclass(frozen=True)
@@ -105,8 +140,10 @@ class Places:
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
     """Batches of (row, words), some whole documents at a time."""
     for batch in batches:
-        offsets = batch.column(1).offsets.to_numpy().astype(np.int64)
-        flat = batch.column(1).values.to_numpy().view(np.uint64)
+        words = batch.column(1).cast(pa.large_binary())
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        flat = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]].view(np.uint64)
+        offsets = offsets // 8
         rows = batch.column(0).to_numpy()
         k = 0
         while k < len(rows):
@@ -132,11 +169,16 @@ def hashed_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
                 words, starts = hasher(some.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(words.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(starts), pa.int32()), lists], ["doc_id", "n_tokens", "words"])
+                sizes, k = pa.array(np.diff(starts), pa.int32()), 0
+                while k < len(sizes):  # a batch holds less than 2 GB
+                    end = max(k + 1, int(np.searchsorted(starts, starts[k] + BATCH, "right")) - 1)
+                    offsets = ((starts[k : end + 1] - starts[k]) * 8).astype(np.int32)
+                    bodies = pa.Array.from_buffers(pa.binary(), end - k, [None, pa.py_buffer(offsets), pa.py_buffer(words[starts[k] : starts[end]])])
+                    yield pa.RecordBatch.from_arrays([some.column(0)[k:end], sizes[k:end], bodies], ["doc_id", "n_tokens", "words"])
+                    k = end
 
     return written(docs.mapInArrow(run, WORDS).select(F.monotonically_increasing_id().alias("row"), "*"), "ngram-words", compression="zstd")
 
@@ -158,13 +200,18 @@ def frequent(words: DataFrame, total: int, sample: int, share: int) -> Known:
     least = max(1, min(sample, total) // share)
     found = words.mapInArrow(sampled, "key long").groupBy("key").count().where(F.col("count") > least)
     guessed = np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
-    place_of = Known(guessed, np.arange(1, len(guessed) + 1))
+    known = Known(guessed, np.zeros(len(guessed), np.int64))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(guessed) + 1, np.int64)
-        for p in places(batches):
-            for keys in keys_in(p, np.ones(len(p.b), bool)):
-                counts += np.bincount(place_of(keys), minlength=len(counts))
+        for p in places(batches):  # the sample has each n-gram at its middle or last word, so a frequent one lies at a frequent word
+            on = known.places(p.b)
+            counts += np.bincount(on, minlength=len(counts))
+            at = np.flatnonzero((on > 0) & ~p.first)
+            on = known.places(p.ab[at])
+            counts += np.bincount(on, minlength=len(counts))
+            at = at[(on > 0) & ~p.last[at]]
+            counts += np.bincount(known.places(p.abc[at]), minlength=len(counts))
         used = np.flatnonzero(counts[1:])
         yield batch_of(key=guessed[used], n=counts[1:][used])
 
@@ -188,140 +235,176 @@ class Routed:
 def routed(p: Places, known: Known) -> Routed:
     n_word = known(p.b)
     n_back = np.zeros(len(p.b), np.int64)
-    maybe = np.flatnonzero(~p.first)
+    maybe = np.flatnonzero(~p.first & (n_word > 0))
     n_back[maybe] = known(p.ab[maybe])
     n_ahead = np.where(p.last, 0, np.roll(n_back, -1))
     n_three = np.zeros(len(p.b), np.int64)
-    maybe = np.flatnonzero((n_word > 0) & ((n_back > 0) | (n_ahead > 0)) & ~p.first & ~p.last)
+    maybe = np.flatnonzero((n_back > 0) & ~p.first & ~p.last)
     n_three[maybe] = known(p.abc[maybe])
     back_known = (n_word > 0) & (p.first | (n_back > 0) & (p.last | (n_three > 0)))
     ahead_known = (n_word > 0) & (p.last | (n_ahead > 0) & (p.first | (n_three > 0)))
     return Routed(n_word, n_back, n_ahead, n_three, ~back_known, ~ahead_known)
 
 
-def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    return (keys >> np.uint64(8)) % np.uint64(slices)
-
-
-def asked_by_word(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each place of a word that isn't frequent, between ``prev`` and ``next``."""
+def kinds(p: Places, on: np.ndarray) -> np.ndarray:
+    at = p.at[on]
+    return (at == 0) * FIRST + (at == 1) * SECOND + p.last[on] * LAST
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in places(batches):
-            on = np.flatnonzero(slice_of(p.b, slices) == slice_no)
-            on = on[known(p.b[on]) == 0]
-            if len(on):
-                yield batch_of(row=p.row[on], key=p.b[on], prev=p.a[on], next=p.c[on], kind=kinds(p, on))
 
-    return run
+def by_word(p: Places, known: Known, chosen: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """One question for each place of a word that isn't frequent, between ``prev`` and ``next``."""
+    on = np.flatnonzero(chosen(p.b))
+    on = on[known.places(p.b[on]) == 0]
+    yield p.row[on], p.b[on], p.a[on], p.c[on], kinds(p, on) | WORD
 
 
-def asked_by_pair(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each 2-gram (x, y) that isn't frequent and has a frequent word, between ``prev`` and ``next``.
+def by_pair(p: Places, known: Known, chosen: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """One question for each 2-gram (x, y) that isn't frequent and has a frequent word, between ``prev`` and ``next``.
 
     It answers what y asks looking back and what x asks looking ahead, as far as they are frequent.
     """
+    on = np.flatnonzero(~p.first & chosen(p.ab))
+    x, y = known.places(p.a[on]), known.places(p.b[on])
+    open_ = ((x > 0) | (y > 0)) & (known.places(p.ab[on]) == 0)
+    on, x, y = on[open_], x[open_], y[open_]
+    prev = np.where(p.at[on] == 1, START, p.a[on - 1])  # the word before a document's second word is its first one
+    yield p.row[on], p.ab[on], prev, p.c[on], packed(kinds(p, on) | PAIR, x, y)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in places(batches):
-            on = np.flatnonzero(~p.first & (slice_of(p.ab, slices) == slice_no))
-            n_x, n_y = known(p.a[on]), known(p.b[on])
-            open_ = ((n_x > 0) | (n_y > 0)) & (known(p.ab[on]) == 0)
-            on, n_x, n_y = on[open_], n_x[open_], n_y[open_]
-            if len(on):  # the word before a document's second word is its first one
-                prev = np.where(p.at[on] == 1, START, p.a[on - 1])
-                yield batch_of(row=p.row[on], key=p.ab[on], prev=prev, next=p.c[on], kind=kinds(p, on), n_x=n_x, n_y=n_y)
 
-    return run
+def by_three(p: Places, known: Known, chosen: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple]:
+    """At most two questions for each place of a frequent word, one for each frequent 2-gram in a 3-gram that isn't frequent."""
+    on = np.flatnonzero(~p.first & ~p.last & chosen(p.abc))
+    word = known.places(p.b[on])
+    on, word = on[word > 0], word[word > 0]
+    back, ahead_ = known.places(p.ab[on]), known.places(p.bc[on])
+    open_ = np.flatnonzero((back > 0) | (ahead_ > 0))
+    open_ = open_[known.places(p.abc[on[open_]]) == 0]
+    on, word = on[open_], word[open_]
+    for ahead, pair in ((0, back[open_]), (AHEAD, ahead_[open_])):
+        at, none = on[pair > 0], np.zeros(np.count_nonzero(pair), np.uint64)
+        yield p.row[at], mix(p.abc[at] ^ np.uint64(ahead)), none, none, packed(kinds(p, at) | THREE | ahead, word[pair > 0], pair[pair > 0])
 
 
-def asked_by_three(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """At most two rows for each place of a frequent word, one for each frequent 2-gram in a 3-gram that isn't frequent."""
+def packed(what: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return what | one << 6 | other << (6 + PLACE_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in places(batches):
-            on = np.flatnonzero(~p.first & ~p.last & (slice_of(p.abc, slices) == slice_no))
-            n_word = known(p.b[on])
-            on, n_word = on[n_word > 0], n_word[n_word > 0]
-            open_ = known(p.abc[on]) == 0
-            on, n_word = on[open_], n_word[open_]
-            for ahead, pairs in ((0, p.ab), (AHEAD, p.bc)):
-                n_pair = known(pairs[on])
-                hit = n_pair > 0
-                if hit.any():
-                    at = on[hit]
-                    yield batch_of(row=p.row[at], key=mix(p.abc[at] ^ np.uint64(ahead)), kind=kinds(p, at) | np.int32(ahead), n_word=n_word[hit], n_pair=n_pair[hit])
-
-    return run
 
+def asked(known: Known, slice_no: int, slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The questions of one slice as rows, in one pass over the words."""
 
-def kinds(p: Places, on: np.ndarray) -> np.ndarray:
-    at = p.at[on]
-    return ((at == 0) * FIRST + (at == 1) * SECOND + p.last[on] * LAST).astype(np.int32)
-
-
-def back_term(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int, total: int) -> Column:
-    """What a place asks looking back: its own share if its 2-gram is too rare, and the context of the place behind it."""
-    has = lambda bit: kind.bitwiseAND(bit) != 0
-    steps = F.when(has(FIRST), 0).when(has(SECOND), 1).otherwise(2)
-    share = F.when(has(FIRST) | (pair < min_count), steps * math.log(alpha) + F.log(word) - math.log(max(total, 1))).otherwise(0.0)
-    return share - F.when(~has(FIRST) & ~has(LAST) & (three >= min_count), F.log(pair)).otherwise(0.0)
+    def chosen(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(8)) % np.uint64(slices) == slice_no
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in places(batches):
+            parts = [x for form in (by_word, by_pair, by_three) for x in form(p, known, chosen)]
+            row, key, prev, next_, what = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield batch_of(row=row, key=key, prev=prev, next=next_, what=what)
 
-def ahead_term(word: Column, pair: Column, three: Column, kind: Column, alpha: float, min_count: int) -> tuple[Column, Column]:
-    """What a place asks looking ahead: the place behind it by its 3-gram, else by its 2-gram; and whether that is a full match."""
-    has = lambda bit: kind.bitwiseAND(bit) != 0
-    whole = ~has(FIRST) & ~has(LAST) & (three >= min_count)
-    by_pair = F.when(has(FIRST), 0.0).otherwise(math.log(alpha)) + F.log(pair) - F.log(word)
-    value = F.when(has(LAST), 0.0).when(whole, F.log(three)).when(pair >= min_count, by_pair).otherwise(0.0)
-    return value, whole | has(FIRST) & ~has(LAST) & (pair >= min_count)
+    return run
 
 
-def pair_terms(kind: Column, alpha: float, min_count: int, total: int) -> tuple[Column, Column]:
-    """What a row of ``asked_by_pair`` adds, with the counts ``pair``, ``n_prev`` and ``n_next`` of its n-grams."""
-    step, pair = math.log(alpha), F.log("pair")
-    second, last, often = kind.bitwiseAND(SECOND) != 0, kind.bitwiseAND(LAST) != 0, F.col("pair") >= min_count
-    share = F.when(often, 0.0).otherwise(F.when(second, step).otherwise(2 * step) + F.log("n_y") - math.log(max(total, 1)))
-    back = share - F.when(~last & (F.col("n_next") >= min_count), pair).otherwise(0.0)
-    whole = ~second & (F.col("n_prev") >= min_count)
-    ahead = F.when(whole, F.log("n_prev")).when(often, F.when(second, 0.0).otherwise(step) + pair - F.log("n_x")).otherwise(0.0)
-    asks_x = F.col("n_x") > 0
-    full = asks_x & (whole | second & often)
-    return F.when(F.col("n_y") > 0, back).otherwise(0.0) + F.when(asks_x, ahead).otherwise(0.0), full.cast("long")
+def rows_of(keys: np.ndarray) -> np.ndarray:
+    """How many rows have the same key: the count table of the keys, joined to their rows."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(np.append(begins, len(keys)))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
 
 
-def dealt(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.repartition(order[0]).sortWithinPartitions(*order)
+def log(n: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(n, 1))
 
 
-def rows_of(*keys: str) -> Column:
-    """How many rows have the same keys."""
-    return F.count("*").over(Window.partitionBy(*keys))
+@dataclass(frozen=True)
+class Terms:
+    """What questions add to the scores of their documents, and how many full matches they find."""
+
+    alpha: float
+    min_count: int
+    total: int
+
+    def share(self, steps: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return steps * math.log(self.alpha) + log(word) - math.log(max(self.total, 1))
+
+    def back(self, word: np.ndarray, pair: np.ndarray, three: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """What a place asks looking back: its own share if its 2-gram is too rare, and the context of the place behind it."""
+        first, second, last = (kind & bit != 0 for bit in (FIRST, SECOND, LAST))
+        share = np.where(first | (pair < self.min_count), self.share(np.where(first, 0, np.where(second, 1, 2)), word), 0.0)
+        return share - np.where(~first & ~last & (three >= self.min_count), log(pair), 0.0)
+
+    def ahead(self, word: np.ndarray, pair: np.ndarray, three: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a place asks looking ahead: the place behind it by its 3-gram, else by its 2-gram; and whether that is a full match."""
+        first, last = (kind & bit != 0 for bit in (FIRST, LAST))
+        whole = ~first & ~last & (three >= self.min_count)
+        by_pair = np.where(first, 0.0, math.log(self.alpha)) + log(pair) - log(word)
+        value = np.where(last, 0.0, np.where(whole, log(three), np.where(pair >= self.min_count, by_pair, 0.0)))
+        return value, whole | first & ~last & (pair >= self.min_count)
+
+    def of_words(self, key: np.ndarray, prev: np.ndarray, next_: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = joined(prev, key)
+        word, pair, three = rows_of(key), rows_of(before), rows_of(joined(before, next_))
+        value, full = self.ahead(word, rows_of(joined(key, next_)), three, kind)
+        return self.back(word, pair, three, kind) + value, full.astype(np.int64) + (kind & FIRST != 0)
+
+    def of_pairs(self, key: np.ndarray, prev: np.ndarray, next_: np.ndarray, kind: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair, before, behind = rows_of(key), rows_of(joined(prev, key)), rows_of(joined(key, next_))
+        step, often = math.log(self.alpha), pair >= self.min_count
+        second, last = (kind & bit != 0 for bit in (SECOND, LAST))
+        back = np.where(often, 0.0, self.share(np.where(second, 1, 2), n_y)) - np.where(~last & (behind >= self.min_count), log(pair), 0.0)
+        whole = ~second & (before >= self.min_count)
+        ahead = np.where(whole, log(before), np.where(often, np.where(second, 0.0, step) + log(pair) - log(n_x), 0.0))
+        return np.where(n_y > 0, back, 0.0) + np.where(n_x > 0, ahead, 0.0), (n_x > 0) & (whole | second & often)
+
+    def of_threes(self, key: np.ndarray, kind: np.ndarray, n_word: np.ndarray, n_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        three, ahead = rows_of(key), kind & AHEAD != 0
+        value, full = self.ahead(n_word, n_pair, three, kind)
+        return np.where(ahead, value, self.back(n_word, n_pair, three, kind)), ahead & full
+
+
+def summed(row: np.ndarray, value: np.ndarray, full: np.ndarray, most: int = 1 << 62) -> pa.RecordBatch:
+    """Terms by row, in whole numbers, at most ``most`` of them in each sum."""
+    order = np.argsort(row, kind="stable")
+    row, value, full = row[order], value[order] * WHOLE, full[order].astype(np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (np.arange(1, len(row)) % most == 0)
+    begins = np.flatnonzero(new)
+    whole = np.floor(value)
+    parts = {"whole": whole.astype(np.int64), "part": np.floor((value - whole) * PART).astype(np.int64), "full": full}
+    return batch_of(row=row[begins], **{k: np.add.reduceat(v, begins) if len(v) else v for k, v in parts.items()})
 
 
 def answered(words: DataFrame, known: Known, slice_no: int, slices: int, alpha: float, min_count: int, total: int) -> DataFrame:
     """Sums by row of the questions of one slice."""
-    kind, n1, n3 = F.col("kind"), F.col("n1"), F.col("n3")
-    named = lambda value, full: (value.alias("score"), full.cast("long").alias("full"))
-    first = (kind.bitwiseAND(FIRST) != 0).cast("long")
+    terms = Terms(alpha, min_count, total)
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, -(-total // (slices * PLACES)))
 
-    by_word = dealt(words.mapInArrow(asked_by_word(known, slice_no, slices), BY_WORD), "key", "prev", "next")
-    by_word = by_word.withColumn("n1", rows_of("key")).withColumn("n_prev", rows_of("key", "prev")).withColumn("n3", rows_of("key", "prev", "next")).withColumn("n_next", rows_of("key", "next"))
-    value, full = ahead_term(n1, F.col("n_next"), n3, kind, alpha, min_count)
-    every = by_word.select("row", *named(back_term(n1, F.col("n_prev"), n3, kind, alpha, min_count, total) + value, full.cast("long") + first))
-
-    by_pair = dealt(words.mapInArrow(asked_by_pair(known, slice_no, slices), BY_PAIR), "key", "prev")
-    by_pair = by_pair.withColumn("pair", rows_of("key")).withColumn("n_prev", rows_of("key", "prev")).withColumn("n_next", rows_of("key", "next"))
-    every = every.unionByName(by_pair.select("row", *named(*pair_terms(kind, alpha, min_count, total))))
-
-    by_three = dealt(words.mapInArrow(asked_by_three(known, slice_no, slices), BY_THREE), "key").withColumn("n3", rows_of("key"))
-    value, full = ahead_term(F.col("n_word"), F.col("n_pair"), n3, kind, alpha, min_count)
-    ahead = kind.bitwiseAND(AHEAD) != 0
-    back = back_term(F.col("n_word"), F.col("n_pair"), n3, kind, alpha, min_count, total)
-    every = every.unionByName(by_three.select("row", *named(F.when(ahead, value).otherwise(back), ahead & full)))
-    scaled = F.col("score") * float(WHOLE)
-    parts = (F.sum(F.floor(scaled)).alias("whole"), F.sum(F.floor((scaled - F.floor(scaled)) * float(PART))).alias("part"))
-    return every.groupBy("row").agg(*parts, F.sum("full").alias("full"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if held:
+            row, key, prev, next_, what = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            key, prev, next_ = (x.view(np.uint64) for x in (key, prev, next_))
+            value, full = np.zeros(len(row)), np.zeros(len(row), np.int64)
+            sort, mask = what & (PAIR | THREE), (1 << PLACE_BITS) - 1
+            for of in (WORD, PAIR, THREE):
+                on = np.flatnonzero(sort == of)
+                kind, (one, other) = what[on] & 15, (known.from_places[what[on] >> by & mask] for by in (6, 6 + PLACE_BITS))
+                if of == WORD:
+                    value[on], full[on] = terms.of_words(key[on], prev[on], next_[on], kind)
+                elif of == PAIR:
+                    value[on], full[on] = terms.of_pairs(key[on], prev[on], next_[on], kind, one, other)
+                else:
+                    value[on], full[on] = terms.of_threes(key[on], kind, one, other)
+            yield summed(row, value, full, ADDED)
+
+    rows = words.mapInArrow(asked(known, slice_no, slices), ASKED).repartition(tasks, "key")
+    return rows.mapInArrow(run, SUMS).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("whole", "part", "full")))
 
 
 def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: int, total: int) -> DataFrame:
@@ -329,7 +412,6 @@ def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = math.log(alpha)
-        log = lambda n: np.log(np.maximum(n, 1))
         for p in places(batches):
             r = routed(p, known)
             whole = ~p.first & ~p.last & (r.n_three >= min_count)
@@ -339,13 +421,9 @@ def answered_at_once(words: DataFrame, known: Known, alpha: float, min_count: in
             value = np.where(whole, log(r.n_three), np.where(paired, np.where(p.first, 0.0, step) + log(r.n_ahead) - log(r.n_word), 0.0))
             ahead = np.where(r.ask_ahead | p.last, 0.0, value)
             full = (~r.ask_back & p.first).astype(np.int64) + (~r.ask_ahead & (whole | p.first & paired))
-            rows, place = np.unique(p.row, return_inverse=True)
-            value = (back + ahead) * WHOLE
-            whole = np.floor(value)
-            part = np.floor((value - whole) * PART)
-            yield batch_of(row=rows, **{k: np.bincount(place, v).astype(np.int64) for k, v in (("whole", whole), ("part", part), ("full", full))})
+            yield summed(p.row, back + ahead, full)
 
-    return words.mapInArrow(run, "row long, whole long, part long, full long")
+    return words.mapInArrow(run, SUMS)
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, slices: int = SLICES, sample: int = SAMPLE, share: int = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

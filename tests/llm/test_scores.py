@@ -8,6 +8,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,38 @@ def test_stupid_backoff_keeps_repeated_rows(spark):
         assert [(g[0], round(g[1], 5), g[2]) for g in got] == sorted((str(i), round(s, 5), f) for i, (s, f) in zip(kept, want, strict=True))
 
 
+def test_stupid_backoff_asks_in_one_pass(spark, docs_of):
+    """Before, a slice read the words three times, dealt three kinds of rows and counted them in four windows with two sorts."""
+    words = backoff.hashed_words(docs_of([(1, "a b c a b c"), (2, "a b d")])).select("row", "words")
+    known = backoff.frequent(words, 9, 9, 4)
+    plan = backoff.answered(words, known, 0, 1, 0.4, 2, 9)._jdf.queryExecution().sparkPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("Window"), plan.count("parquet")) == (2, 0, 1)
+
+
+def test_stupid_backoff_tasks_follow_the_places(monkeypatch, docs_of):
+    """A slice's questions are dealt to as many tasks as its places need, and no key is parted."""
+    monkeypatch.setattr(backoff, "PLACES", 50)
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(300)}" for _ in range(40))) for k in range(100)]
+    words = backoff.hashed_words(docs_of(rows)).select("row", "words")
+    plan = backoff.answered(words, backoff.frequent(words, 4000, 4000, 8), 0, 2, 0.4, 2, 4000)._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 40)" in plan
+    want = expected_scores([t for _, t in rows])
+    assert scored(docs_of(rows), share=8, slices=2) == sorted((str(i), s, f, True) for (i, _), (s, f) in zip(rows, want, strict=True))
+
+
+@pytest.mark.parametrize("most", [1, 4, 1 << 62])
+def test_stupid_backoff_sums_lose_nothing(most):
+    rng = np.random.default_rng(2)
+    row, value, full = rng.integers(0, 9, 500), rng.integers(-9, 9, 500) / 8, rng.integers(0, 3, 500)
+    got = backoff.summed(row, value, full, most).to_pandas()
+    assert len(got) >= (9 if most > 500 else 500 / most)
+    by_row = (got["whole"] / backoff.WHOLE).groupby(got["row"]).sum()
+    assert [by_row[k] for k in range(9)] == [value[row == k].sum() for k in range(9)]
+    assert got["full"].sum() == full.sum()
+    assert backoff.summed(row[:0], value[:0], full[:0], most).num_rows == 0
+
+
 def test_language(spark, docs_of):
     model = language.fit(table(spark, SMALL, "documents"))
     pages = [(1, "http://a.example.net/x", '<html lang="de"><p>der die und nicht eine</p></html>'), (2, None, None), (3, "odd", ""), (None, "http://u@h:8/", "<p>the and of that with</p>"), (3, "odd", "")]
