@@ -22,6 +22,7 @@ the name of a new one gives way to it in ``mix`` (``mixed`` keeps all).
 from __future__ import annotations
 
 import heapq
+import re
 from fractions import Fraction
 from functools import partial
 
@@ -184,3 +185,24 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_column: s
 
 def in_order(docs: DataFrame, weights: dict[str, float] | None, **options) -> DataFrame:
     return mix(docs, weights, **options).repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+
+
+def with_place(docs: DataFrame, name: str = "mix_position") -> DataFrame:
+    """``docs``, which were read from files, with the place of each row among all (0, 1, 2, ...): files by name, then rows.
+
+    So rows that ``mixed`` put in order and that were written keep their places, whichever task reads which file. Numbers in file names
+    count as numbers. The driver holds one number for each file. An input column of that name gives way to the new one.
+    """
+    def natural(path: str) -> list[str | int]:
+        return [int(x) if k % 2 else x for k, x in enumerate(re.split(r"([0-9]+)", path))]
+
+    own, at = [f"c{k}" for k in range(len(docs.columns))], docs.metadataColumn("_metadata")
+    rows = docs.select("*", at["file_path"], at["row_index"]).toDF(*own, "file", "row")
+    sizes = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}
+    starts, before = [], 0
+    for path in sorted(sizes, key=natural):
+        starts.append((path, before))
+        before += sizes[path]
+    files = docs.sparkSession.createDataFrame(starts, "file string, before long")
+    kept = [F.col(n).alias(c) for n, c in zip(own, docs.columns, strict=True) if c != name]
+    return rows.join(F.broadcast(files), "file").select(*kept, (F.col("before") + F.col("row")).alias(name))
