@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import people, text
 from ..operators import fuzzy
-from .base import C, Catalogue, table
+from .base import C, Catalogue, spread, table
 from .imports import one_of
 
 cat = Catalogue()
@@ -127,18 +127,18 @@ def columns(made: dict[str, str]) -> list[str]:
 @cat.query("j09_j10_owner_match")
 def owner_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons of a list against all owners; their names are misspelled, cut or exact. No SQL form."""
-    owners = table(spark, sf_dir, "customer").selectExpr("c_custkey AS owner_id", *columns(owner_row("c_custkey")), "array(c_custkey % 5000) AS unit_ids", "c_custkey % 2 = 0 AS in_object")
+    owners = spread(table(spark, sf_dir, "customer").select("c_custkey")).selectExpr("c_custkey AS owner_id", *columns(owner_row("c_custkey")), "array(c_custkey % 5000) AS unit_ids", "c_custkey % 2 = 0 AS in_object")
     made = owner_row("s_suppkey * 13")
     typo = lambda c: f"CASE s_suppkey % 3 WHEN 0 THEN {c} WHEN 1 THEN concat(substr({c}, 1, 3), substr({c}, 5)) ELSE concat(substr({c}, 1, 5), 'x', substr({c}, 6)) END"
     made |= {k: typo(made[k]) for k in ("last_name", "company_name")} | {"email": f"CASE WHEN s_suppkey % 4 = 0 THEN {made['email']} END", "street": f"CASE WHEN s_suppkey % 4 = 1 THEN {made['street']} END"}
-    persons = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS person_id", *columns(made), "CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey * 13 % 5000 END AS unit_id")
+    persons = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).selectExpr("s_suppkey AS person_id", *columns(made), "CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey * 13 % 5000 END AS unit_id")
     return fuzzy.owner_match(persons, owners).withColumn("score", F.round("score", 6))
 
 
 @cat.query("j11_party_search")
 def party_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suppliers' keys type into the search for parties: beginnings, misspelled names and parts of names. No SQL form."""
-    parties = table(spark, sf_dir, "customer").selectExpr("c_custkey AS party_id", *columns(owner_row("c_custkey"))).withColumn("search_name", text.search_name(F.when(C("kind") == "natural_person", "person").otherwise("company"), C("first_name"), C("last_name"), C("company_name")))
+    parties = spread(table(spark, sf_dir, "customer").select("c_custkey")).selectExpr("c_custkey AS party_id", *columns(owner_row("c_custkey"))).withColumn("search_name", text.search_name(F.when(C("kind") == "natural_person", "person").otherwise("company"), C("first_name"), C("last_name"), C("company_name")))
     made = owner_row("s_suppkey * 7")
     name = f"coalesce({made['last_name']}, {made['company_name']})"
     typed = one_of("s_suppkey", f"substr({name}, 1, 2)", f"concat(substr({name}, 1, 4), 'x', substr({name}, 5))", f"upper(substr({name}, 3))", name, "''")
